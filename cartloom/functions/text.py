@@ -9,9 +9,17 @@ it costs about 2 ms per pair, the bit-parallel form about 5 microseconds.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+# Ship the helpers of this module inside the task, so that executors don't
+# need the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def process(name: Column) -> Column:
@@ -59,7 +67,7 @@ def ratio_of(a: str, b: str) -> int:
     return round(100 * (2 * lcs_length(a, b) / (len(a) + len(b))))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``ratio_of`` over a batch of already filtered candidate pairs."""
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="int32")
@@ -142,7 +150,7 @@ def weighted_of(a: str, b: str) -> int:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``weighted_of`` over a batch of already filtered candidate pairs."""
     return pd.Series([weighted_of(x, y) for x, y in zip(a, b)], dtype="int32")
