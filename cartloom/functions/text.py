@@ -161,23 +161,15 @@ def character_mask(text: Column) -> Column:
 
     The n-th occurrence of a character sets one bit, so bits set in one
     string and not in the other never exceed the characters it has in excess.
+    In the sorted characters, the n-th occurrence is the one whose place is
+    n - 1 after the first.
     """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    runs = F.transform(
-        F.array_distinct(chars),
-        lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")),
-    )
-    marks = F.flatten(
-        F.transform(
-            runs,
-            lambda r: F.transform(
-                F.sequence(F.lit(1), r["n"]),
-                lambda k: F.pmod(F.hash(r["c"], k), F.lit(64)),
-            ),
-        )
-    )
+    chars = F.array_sort(F.split(text, ""))
     return F.aggregate(
-        F.array_distinct(marks),
+        F.transform(
+            chars,
+            lambda c, i: F.pmod(F.hash(c, i - F.array_position(chars, c).cast("int")), F.lit(64)),
+        ),
         F.lit(0).cast("bigint"),
         lambda acc, bit: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)),
     )

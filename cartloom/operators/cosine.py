@@ -2,8 +2,8 @@
 
 Users fall into three kinds by their number of distinct items:
 
-* up to ``max_degree``: their item pairs are enumerated from a bounded array
-  and summed map-side, so the work is linear in the input;
+* up to ``max_degree``: their item pairs come from a join whose groups are
+  bounded by that number, and are summed map-side before the shuffle;
 * the few hottest ones (at most ``HOT``, a walk-in account may hold a third
   of all rows): no pair is enumerated. Each item gets a bit mask of the hot
   users that bought it; the shared part of a pair is the bit count of the
@@ -13,6 +13,8 @@ Users fall into three kinds by their number of distinct items:
 * the rest: their items are cut into blocks of about ``max_degree`` and the
   block pairs are spread over tasks by their own key.
 
+Without any big user only the first part is planned.
+
 Nothing is dropped: all three parts add up to the exact counts.
 """
 
@@ -21,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartloom.session import settle, shuffled, small_side
+
 HOT = 8
+PAIR = ["x_i", "x_n", "x_m", "y_i", "y_n", "y_m"]
 
 # Sums of whole units don't depend on the order in which tasks deliver them.
 UNITS = 1_000_000_000
@@ -35,29 +40,22 @@ def hot_keys(counted: DataFrame, key: str, count: str, above: int) -> DataFrame:
     return head.select(key, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit"))
 
 
+def _no_bits() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _bits(mask: str) -> Column:
+    every = F.array(*[F.lit(1 << k).cast("bigint") for k in range(HOT)])
+    return F.filter(every, lambda bit: F.col(mask).bitwiseAND(bit) != 0)
+
+
 def shared_classes(members: DataFrame, mask: str, wanted: DataFrame, wanted_mask: str) -> DataFrame:
     """Rows of ``members`` for every wanted mask that has a bit in common.
 
     Both sides hold one row per class times a constant, ``2**HOT`` at most.
     """
-    def by_bit(df: DataFrame, column: str) -> DataFrame:
-        bits = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(HOT - 1)),
-                lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i),
-            ),
-            lambda b: F.col(column).bitwiseAND(b) != 0,
-        )
-        return df.select("*", F.explode(bits).alias("_bit"))
-
-    joined = by_bit(wanted.select(wanted_mask).distinct(), wanted_mask).join(
-        by_bit(members, mask), "_bit"
-    )
-    return joined.drop("_bit").distinct()
-
-
-def _ordered(x: Column, y: Column) -> Column:
-    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    asked = wanted.select(wanted_mask).distinct().withColumn("_bit", F.explode(_bits(wanted_mask)))
+    return asked.join(members.withColumn("_bit", F.explode(_bits(mask))), "_bit").drop("_bit").distinct()
 
 
 def item_cosine(
@@ -72,72 +70,121 @@ def item_cosine(
     Cosine of binary purchase vectors: common users over the root of the
     product of both users' counts. Ties at 12 decimals go to the lower item.
     """
-    pairs = interactions.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct()
+    pairs = settle(
+        interactions.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct(), "purchases"
+    )
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     big = degree.where(F.col("d") > max_degree)
-    hot = hot_keys(degree, "u", "d", max_degree)
+    items = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    if big.isEmpty():
+        known = pairs.join(items.withColumn("m", _no_bits()), "i")
+        counted = _meet(known, known, ["u"])
+    else:
+        big = settle(big, "big-users")
+        hot = hot_keys(big, "u", "d", max_degree)
+        masks = pairs.join(F.broadcast(hot), "u").groupBy("i").agg(F.bit_or("bit").alias("m"))
+        items = settle(
+            items.join(masks, "i", "left").select("i", "n", F.coalesce("m", _no_bits()).alias("m")),
+            "item-masks",
+        )
+        known = pairs.join(items, "i")
+        small = known.join(big.select("u"), "u", "left_anti")
+        rest = big.join(hot.select("u"), "u", "left_anti")
+        through_hot = _hot_pairs(items) if top is None else _hot_candidates(items, top)
+        counted = (
+            _meet(small, small, ["u"])
+            .unionByName(_meet(*_blocks(known, rest, max_degree), ["u", "lo", "hi"]))
+            .unionByName(through_hot)
+        )
+    scored = _cosines(counted)
+    if top is None:
+        return _both_ways(scored)
+    return _best_per_item(settle(scored, "item-pairs"), top, pairs.agg(F.count_distinct("i")).first()[0])
 
-    masks = pairs.join(F.broadcast(hot), "u").groupBy("i").agg(F.bit_or("bit").alias("m"))
-    items = (
-        pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-        .join(masks, "i", "left")
-        .select("i", "n", F.coalesce("m", F.lit(0).cast("bigint")).alias("m"))
-    )
-    known = pairs.join(items, "i").select("u", F.struct("i", "n", "m").alias("e"))
-
-    small = (
-        known.join(big.select("u"), "u", "left_anti")
-        .groupBy("u")
-        .agg(F.array_sort(F.collect_list("e")).alias("es"))
-        .where(F.size("es") > 1)
-        .select("es", F.posexplode("es").alias("p", "x"))
-        .select("x", F.explode(F.slice("es", F.col("p") + 2, F.size("es"))).alias("y"))
-        .select(_ordered(F.col("x"), F.col("y")).alias("xy"), F.lit(1).alias("c"))
+
+def _end(df: DataFrame, end: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{end}_{c}") for c in ("i", "n", "m")])
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Item pairs within a group that is bounded by construction, lower item first."""
+    met = _end(left, "x", *keys).join(shuffled(_end(right, "y", *keys)), keys)
+    if "lo" not in keys:
+        return met.where("x_i < y_i").select(*PAIR, F.lit(1).alias("c"))
+    # Blocks: inside one block each pair once, across blocks both orders occur.
+    met = met.where("lo <> hi OR x_i < y_i").select(*PAIR, F.lit(1).alias("c"))
+    return _lower_first(met)
+
+
+def _lower_first(df: DataFrame) -> DataFrame:
+    swap = F.col("x_i") > F.col("y_i")
+    low = [F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}") for c in "inm"]
+    high = [F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"y_{c}") for c in "inm"]
+    return df.select(*low, *high, "c")
+
+
+def _blocks(known: DataFrame, users: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Items of big users in hashed blocks, once per block pair and role.
+
+    The join key (user, low block, high block) spreads one user over
+    as many groups as it has block pairs.
+    """
+    cut = (
+        known.join(users, "u")
+        .withColumn("nb", F.ceil(F.col("d") / F.lit(size)).cast("int"))
+        .withColumn("k", F.pmod(F.hash("i"), F.col("nb")))
     )
+    low = cut.withColumn("hi", F.explode(F.sequence(F.col("k"), F.col("nb") - 1))).withColumn("lo", F.col("k"))
+    high = cut.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("hi", F.col("k"))
+    return low, high
 
-    blocks = (
-        known.join(big.join(hot.select("u"), "u", "left_anti"), "u")
-        .withColumn("nb", F.ceil(F.col("d") / F.lit(max_degree)).cast("int"))
-        .groupBy("u", "nb", F.pmod(F.hash("e.i"), F.col("nb")).alias("k"))
-        .agg(F.collect_list("e").alias("es"))
+
+def _cosines(counted: DataFrame) -> DataFrame:
+    """Sum the parts of each pair, add what hot users share, and normalise."""
+    total = counted.groupBy(*PAIR).agg(F.sum("c").alias("c"))
+    common = F.col("c") + F.bit_count(F.col("x_m").bitwiseAND(F.col("y_m")))
+    norm = F.sqrt(F.col("x_n").cast("double") * F.col("y_n").cast("double"))
+    return total.select(
+        F.col("x_i").alias("item_a"), F.col("y_i").alias("item_b"), (common / norm).alias("cosine")
     )
-    low = blocks.select("u", F.col("k").alias("lo"), F.explode(F.sequence(F.col("k"), F.col("nb") - 1)).alias("hi"), "es")
-    high = blocks.select("u", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("lo"), F.col("k").alias("hi"), F.col("es").alias("fs"))
-    blocked = (
-        low.join(high, ["u", "lo", "hi"])
-        .select("lo", "hi", F.explode("es").alias("x"), "fs")
-        .select("lo", "hi", "x", F.explode("fs").alias("y"))
-        .where((F.col("lo") != F.col("hi")) | (F.col("x.i") < F.col("y.i")))
-        .select(_ordered(F.col("x"), F.col("y")).alias("xy"), F.lit(1).alias("c"))
+
+
+def _both_ways(scored: DataFrame, *more: Column) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("item_a").alias("a"), F.col("item_b").alias("b")),
+        F.struct(F.col("item_b").alias("a"), F.col("item_a").alias("b")),
     )
+    return scored.select(F.explode(ends).alias("e"), "cosine", *more).select(
+        F.col("e.a").alias("item_a"), F.col("e.b").alias("item_b"), "*"
+    ).drop("e")
 
-    counted = small.unionByName(blocked)
-    if top is not None:
-        counted = counted.unionByName(_hot_candidates(items, top))
-    else:
-        counted = counted.unionByName(_hot_all(items))
-
-    both = counted.groupBy(
-        F.col("xy.a").alias("a"), F.col("xy.b").alias("b")
-    ).agg(F.sum("c").alias("c"))
-    common = F.col("c") + F.bit_count(F.col("a.m").bitwiseAND(F.col("b.m")))
-    norm = F.sqrt(F.col("a.n").cast("double") * F.col("b.n").cast("double"))
-    scored = both.select(
-        F.col("a.i").alias("a"), F.col("b.i").alias("b"), (common / norm).alias("cosine")
-    ).where(F.col("cosine") > 0)
-    directed = scored.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("item_a"), F.col("b").alias("item_b")),
-                F.struct(F.col("b").alias("item_a"), F.col("a").alias("item_b")),
-            )
-        ).alias("s"),
-        "cosine",
-    ).select("s.*", "cosine")
-    if top is None:
-        return directed
-    best = Window.partitionBy("item_a").orderBy(F.desc(F.round("cosine", 12)), "item_b")
-    return directed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r")
+
+def _best_per_item(scored: DataFrame, top: int, n_items: int) -> DataFrame:
+    """The ``top`` highest neighbours of each item.
+
+    A histogram of the cosines per item (16 steps per octave, summed map-side)
+    tells from which step on a neighbour can be among the best. Only rows above
+    it are shuffled and sorted, a little more than ``top`` per item.
+    """
+    # The shift keeps powers of two, and equal values a bit apart, off the step edges.
+    step = F.floor(F.log2("cosine") * 16 + 1e-7).cast("int").alias("step")
+    directed = _both_ways(scored, step)
+    steps = directed.groupBy("item_a", "step").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("item_a").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    lowest = (
+        steps.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        .where(F.col("above") < top)
+        .groupBy("item_a")
+        .agg(F.min("step").alias("lowest"))
+    )
+    likely = directed.join(small_side(lowest, n_items), "item_a").where("step >= lowest")
+    # rint: equal cosines that differ in the last bit count as ties.
+    best = Window.partitionBy("item_a").orderBy(F.desc(F.rint(F.col("cosine") * 1e12)), "item_b")
+    return (
+        likely.withColumn("_r", F.row_number().over(best))
+        .where(F.col("_r") <= top)
+        .select("item_a", "item_b", "cosine")
+    )
 
 
 def _hot_candidates(items: DataFrame, top: int) -> DataFrame:
@@ -147,44 +194,30 @@ def _hot_candidates(items: DataFrame, top: int) -> DataFrame:
     heads = (
         marked.withColumn("_r", F.row_number().over(in_class))
         .where(F.col("_r") <= top + 1)
-        .select("m", F.struct("i", "n", "m").alias("y"))
+        .select(F.col("i").alias("y_i"), F.col("n").alias("y_n"), F.col("m").alias("y_m"))
     )
-    options = shared_classes(heads, "m", marked.select(F.col("m").alias("mine")), "mine")
-    value = F.bit_count(F.col("mine").bitwiseAND(F.col("m"))) / F.sqrt(F.col("y.n").cast("double"))
-    best = Window.partitionBy("mine").orderBy(F.desc(F.round(value, 12)), "y.i")
+    options = shared_classes(heads, "y_m", marked, "m")
+    value = F.bit_count(F.col("m").bitwiseAND(F.col("y_m"))) / F.sqrt(F.col("y_n").cast("double"))
+    best = Window.partitionBy("m").orderBy(F.desc(F.rint(value * 1e12)), "y_i")
     chosen = (
-        options.withColumn("_r", F.row_number().over(best))
-        .where(F.col("_r") <= top + 1)
-        .select(F.col("mine").alias("m"), "y")
-    )
-    return (
-        marked.join(F.broadcast(chosen), "m")
-        .where(F.col("i") != F.col("y.i"))
-        .select(_ordered(F.struct("i", "n", "m"), F.col("y")).alias("xy"), F.lit(0).alias("c"))
+        options.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top + 1).drop("_r")
     )
+    pairs = marked.join(F.broadcast(chosen), "m").where("i <> y_i")
+    return _lower_first(
+        pairs.select(
+            F.col("i").alias("x_i"), F.col("n").alias("x_n"), F.col("m").alias("x_m"),
+            "y_i", "y_n", "y_m", F.lit(0).alias("c"),
+        )
+    ).distinct()
 
 
-def _hot_all(items: DataFrame) -> DataFrame:
+def _hot_pairs(items: DataFrame, spread: int = 64) -> DataFrame:
     """Without a limit per item every pair shared through a hot user is output."""
-    marked = items.where(F.col("m") != 0)
-    spread = 64
-    bits = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(HOT - 1)),
-            lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k),
-        ),
-        lambda b: F.col("m").bitwiseAND(b) != 0,
-    )
-    rows = marked.select(F.struct("i", "n", "m").alias("e"), F.explode(bits).alias("bit"))
-    left = rows.select("bit", F.pmod(F.hash("e.i"), F.lit(spread)).alias("s"), F.col("e").alias("x"))
-    right = rows.select(
-        "bit", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"), F.col("e").alias("y")
-    )
-    return (
-        left.join(right, ["bit", "s"])
-        .where(F.col("x.i") < F.col("y.i"))
-        .select(_ordered(F.col("x"), F.col("y")).alias("xy"), F.lit(0).alias("c"))
-    )
+    marked = items.where(F.col("m") != 0).withColumn("bit", F.explode(_bits("m")))
+    left = marked.withColumn("s", F.pmod(F.hash("i"), F.lit(spread)))
+    right = marked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    met = _end(left, "x", "bit", "s").join(_end(right, "y", "bit", "s"), ["bit", "s"])
+    return met.where("x_i < y_i").select(*PAIR, F.lit(0).alias("c"))
 
 
 def recommend_items(

@@ -38,46 +38,48 @@ def _longest_piece(c: float) -> int:
     return math.ceil(1 / (2 * (1 - c))) + 1
 
 
-def _pieces(words: Column, length: Column, c: float) -> Column:
-    """Pieces of the words of one string, at least one more than the edits allowed.
+def _piece_size(words: Column, length: Column, c: float) -> Column:
+    """The largest piece length that cuts the words into enough pieces, else 1.
 
-    The piece length is the largest that gives enough pieces; single
-    characters otherwise (two strings above the cutoff share a character).
+    Enough is one more than the edits allowed. (With single characters it may
+    be fewer; two strings above the cutoff always share a character.)
     """
     needed = F.floor(F.lit(2 * (1 - c)) * length) + 1
-
-    def parts(word: Column, size: Column) -> Column:
-        return F.greatest(F.lit(1), F.floor(F.length(word) / size).cast("int"))
-
-    sizes = F.sequence(F.lit(_longest_piece(c)), F.lit(1), F.lit(-1))
+    sizes = F.array(*[F.lit(n) for n in range(_longest_piece(c), 0, -1)])
     enough = F.filter(
         sizes,
-        lambda s: F.aggregate(words, F.lit(0), lambda acc, w: acc + parts(w, s)) >= needed,
+        lambda s: F.aggregate(
+            words, F.lit(0), lambda acc, w: acc + F.greatest(F.lit(1), (F.length(w) / s).cast("int"))
+        ) >= needed,
     )
-    size = F.coalesce(F.get(enough, F.lit(0)), F.lit(1))
-
-    def cut(word: Column) -> Column:
-        n = parts(word, size)
-        def at(i: Column) -> Column:
-            return F.floor(i * F.length(word) / n).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.substring(word, at(i) + 1, at(i + 1) - at(i)),
-        )
-
-    return F.array_distinct(F.flatten(F.transform(words, cut)))
+    return F.coalesce(F.get(enough, F.lit(0)), F.lit(1))
 
 
-def _substrings(words: Column, longest: int | None) -> Column:
-    def of(word: Column) -> Column:
-        def starting(i: Column) -> Column:
-            room = F.length(word) - i + 1
-            most = room if longest is None else F.least(F.lit(longest), room)
-            return F.transform(F.sequence(F.lit(1), most), lambda n: F.substring(word, i, n))
+def _pieces(side: DataFrame, c: float) -> DataFrame:
+    """One row per piece: every word cut into about equal parts."""
+    sized = side.withColumn("size", _piece_size(F.col("words"), F.col("len"), c))
+    parts = F.greatest(F.lit(1), (F.length("word") / F.col("size")).cast("int"))
+    each = sized.withColumn("word", F.explode("words")).withColumn("parts", parts)
+    start = (F.col("part") * F.length("word") / F.col("parts")).cast("int")
+    end = ((F.col("part") + 1) * F.length("word") / F.col("parts")).cast("int")
+    return (
+        each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("piece", F.substring("word", start + 1, end - start))
+        .drop("size", "word", "parts", "part")
+    )
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), starting))
 
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+def _substrings(side: DataFrame, longest: int | None) -> DataFrame:
+    """One row per substring of a word, up to ``longest`` characters."""
+    room = F.length("word") - F.col("start") + 1
+    most = room if longest is None else F.least(F.lit(longest), room)
+    return (
+        side.withColumn("word", F.explode("words"))
+        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), most)))
+        .withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
+        .drop("word", "start", "size")
+    )
 
 
 def _prepare(names: DataFrame, column: str, by_words: bool) -> DataFrame:
@@ -95,11 +97,12 @@ def _prepare(names: DataFrame, column: str, by_words: bool) -> DataFrame:
         done.select("block", key.alias("key"), words.alias("words"))
         .where(F.size("words") > 0)
         .distinct()
-        .select("block", "key", "words", F.length("key").alias("len"), text.character_mask(F.col("key")).alias("mask"))
+        .withColumn("len", F.length("key"))
+        .withColumn("mask", text.character_mask(F.col("key")))
     )
 
 
-def _with_prefix(df: DataFrame, prefix: str, *extra: Column) -> DataFrame:
+def _with_prefix(df: DataFrame, prefix: str, *extra: str) -> DataFrame:
     cols = [F.col(c).alias(prefix + c) for c in ("key", "words", "len", "mask")]
     return df.select("block", *cols, *extra)
 
@@ -109,8 +112,8 @@ def _close_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
     longest = 2 * _longest_piece(c) - 1
 
     def one_way(longer: DataFrame, lp: str, shorter: DataFrame, sp: str, strict: bool) -> DataFrame:
-        cut = _with_prefix(longer, lp, F.explode(_pieces(F.col("words"), F.col("len"), c)).alias("piece"))
-        part = _with_prefix(shorter, sp, F.explode(_substrings(F.col("words"), longest)).alias("piece"))
+        cut = _with_prefix(_pieces(longer, c), lp, "piece")
+        part = _with_prefix(_substrings(shorter, longest), sp, "piece")
         a, b = F.col(sp + "len"), F.col(lp + "len")
         most = text.common_at_most(a, F.col(sp + "mask"), b, F.col(lp + "mask"))
         return (
@@ -133,7 +136,7 @@ def _covering_candidates(left: DataFrame, right: DataFrame, cutoff: int) -> Data
     seen = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def needed_words(side: DataFrame, prefix: str) -> DataFrame:
-        rows = _with_prefix(side, prefix, F.explode("words").alias("word")).join(seen, "word")
+        rows = _with_prefix(side.withColumn("word", F.explode("words")), prefix, "word").join(seen, "word")
         rest = (
             Window.partitionBy("block", prefix + "key")
             .orderBy("n", "word")
@@ -252,7 +255,7 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
 def _contained(short: DataFrame, sp: str, long_: DataFrame, lp: str) -> DataFrame:
     """Pairs where one key is a substring of the other: its first word then lies in a word."""
     heads = short.select("block", F.get("words", F.lit(0)).alias("piece"), F.col("key").alias(sp + "key"))
-    parts = long_.select("block", F.explode(_substrings(F.col("words"), None)).alias("piece"), F.col("key").alias(lp + "key"))
+    parts = _substrings(long_, None).select("block", "piece", F.col("key").alias(lp + "key"))
     s, t = F.length(sp + "key"), F.length(lp + "key")
     return (
         heads.join(parts, ["block", "piece"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.cosine import hot_keys, recommend_items, shared_classes
+from cartloom.session import shuffled
 
 
 
@@ -52,7 +53,7 @@ def nearest_basket(
         .join(wanted, "query_id", "left")
         .select("query_id", "item", F.coalesce("qm", none).alias("qm"))
     )
-    met = plain_asked.join(plain_held, "item")
+    met = plain_asked.join(shuffled(plain_held), "item")
     if same_ids:
         met = met.where(F.col("query_id") != F.col("basket_id"))
     through_plain = (

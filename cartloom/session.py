@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_base: str | None = None
 
@@ -68,3 +69,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Persist a table that one job reads several times (spills to disk)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Ask for a shuffled join with ``df``.
+
+    For joins that multiply rows: broadcasting a side, however small, would
+    leave them to the few tasks that scan the other side. The shuffle spreads
+    them by key, and AQE still splits skewed keys.
+    """
+    return df.hint("merge")
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a narrow table whose counted size allows it, else leave the join to Spark."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
