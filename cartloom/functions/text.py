@@ -2,6 +2,8 @@
 
 Scores are whole numbers 0-100. The building block is
 ``ratio = 100 * 2 * LCS / (len(a) + len(b))`` with half-to-even rounding.
+Builders taking and returning ``str`` work on SQL text: one parsed expression
+instead of hundreds of calls to build the same tree from Python.
 Everything that doesn't need an LCS stays a built-in expression. The LCS
 itself is one Arrow-batched helper: written as nested higher-order functions
 it costs about 2 ms per pair, the bit-parallel form about 5 microseconds.
@@ -22,30 +24,67 @@ from pyspark.sql.types import IntegerType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def process(name: Column) -> Column:
+def process(name: str) -> str:
     """Lower case, every non-word character to a space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]", " "))
+    return rf"trim(regexp_replace(lower({name}), r'[^\p{{L}}\p{{N}}_]', ' '))"
 
 
-def tokens(processed: Column) -> Column:
-    """Sorted distinct tokens of a processed name; empty array for ''."""
-    words = F.filter(F.split(processed, r"\s+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(words))
+def words(processed: str) -> str:
+    """The words of a processed name in order, repeats kept."""
+    return rf"filter(split({processed}, r'\s+'), w -> w <> '')"
 
 
-def sorted_words(processed: Column) -> Column:
-    """All words (repeats kept) in order, joined by one space."""
-    words = F.filter(F.split(processed, r"\s+"), lambda w: w != "")
-    return F.array_join(F.array_sort(words), " ")
+def tokens(processed: str) -> str:
+    """Sorted distinct words of a processed name; empty array for ''."""
+    return f"array_sort(array_distinct({words(processed)}))"
 
 
-def percent(twice_common: Column, total: Column) -> Column:
-    """Half-to-even percentage of two integer columns, 0 for empty input."""
-    return F.when(total == 0, F.lit(0)).otherwise(
-        F.bround(F.lit(100.0) * (twice_common / F.greatest(total, F.lit(1))), 0).cast("int")
+def percent(twice_common: str, total: str) -> str:
+    """Half-to-even percentage of two integers, 0 for empty input."""
+    return f"if({total} = 0, 0, cast(bround(100D * ({twice_common} / greatest({total}, 1)), 0) AS int))"
+
+
+def prefix_ratio(prefix: str, whole: str) -> str:
+    """``ratio`` where the first string is a prefix of the second (no LCS needed)."""
+    score = percent(f"(2 * length({prefix}))", f"(length({prefix}) + length({whole}))")
+    return f"if(length({prefix}) = 0, 0, {score})"
+
+
+def set_parts(left_tokens: str, right_tokens: str) -> list[str]:
+    """The strings t0, t1, t2 compared by the token-set score."""
+    common = f"array_sort(array_intersect({left_tokens}, {right_tokens}))"
+    only = "array_sort(array_except({0}, {1}))"
+    return [
+        f"array_join({common}, ' ') AS t0",
+        f"array_join(concat({common}, {only.format(left_tokens, right_tokens)}), ' ') AS t1",
+        f"array_join(concat({common}, {only.format(right_tokens, left_tokens)}), ' ') AS t2",
+    ]
+
+
+def character_mask(string: str) -> str:
+    """64-bit sketch of the character occurrences of a string.
+
+    The n-th occurrence of a character sets one bit, so bits set in one
+    string and not in the other never exceed the characters it has in excess.
+    In the sorted characters, the n-th occurrence is the one whose place is
+    n - 1 after the first.
+    """
+    chars = f"array_sort(split({string}, ''))"
+    bits = f"transform({chars}, (c, i) -> pmod(hash(c, i - cast(array_position({chars}, c) AS int)), 64))"
+    return f"aggregate({bits}, 0L, (acc, bit) -> acc | shiftleft(1L, bit))"
+
+
+def common_at_most(len_a: str, mask_a: str, len_b: str, mask_b: str) -> str:
+    """Upper bound of the LCS from lengths and masks, inside codegen."""
+    return (
+        f"least({len_a} - bit_count({mask_a} & ~{mask_b}), {len_b} - bit_count({mask_b} & ~{mask_a}))"
     )
 
 
+def word_count(name: str) -> str:
+    return f"size({words(name)})"
+
+
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, one big-integer row per character."""
     where: dict[str, int] = {}
@@ -73,25 +112,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def set_parts(left_tokens: Column, right_tokens: Column) -> dict[str, Column]:
-    """The three strings compared by the token-set score."""
-    common = F.array_sort(F.array_intersect(left_tokens, right_tokens))
-    only_left = F.array_sort(F.array_except(left_tokens, right_tokens))
-    only_right = F.array_sort(F.array_except(right_tokens, left_tokens))
-    return {
-        "t0": F.array_join(common, " "),
-        "t1": F.array_join(F.concat(common, only_left), " "),
-        "t2": F.array_join(F.concat(common, only_right), " "),
-    }
-
-
-def prefix_ratio(prefix: Column, whole: Column) -> Column:
-    """``ratio`` where the first string is a prefix of the second (no LCS needed)."""
-    return F.when(F.length(prefix) == 0, F.lit(0)).otherwise(
-        percent(2 * F.length(prefix), F.length(prefix) + F.length(whole))
-    )
-
-
 def partial_ratio_of(a: str, b: str) -> int:
     """Best ``ratio`` of the shorter string with an equally long window."""
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
@@ -156,36 +176,6 @@ def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_of(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def character_mask(text: Column) -> Column:
-    """64-bit sketch of the character occurrences of a string.
-
-    The n-th occurrence of a character sets one bit, so bits set in one
-    string and not in the other never exceed the characters it has in excess.
-    In the sorted characters, the n-th occurrence is the one whose place is
-    n - 1 after the first.
-    """
-    chars = F.array_sort(F.split(text, ""))
-    return F.aggregate(
-        F.transform(
-            chars,
-            lambda c, i: F.pmod(F.hash(c, i - F.array_position(chars, c).cast("int")), F.lit(64)),
-        ),
-        F.lit(0).cast("bigint"),
-        lambda acc, bit: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)),
-    )
-
-
-def common_at_most(len_a: Column, mask_a: Column, len_b: Column, mask_b: Column) -> Column:
-    """Upper bound of the LCS from lengths and masks, inside codegen."""
-    surplus_a = F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b)))
-    surplus_b = F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a)))
-    return F.least(len_a - surplus_a, len_b - surplus_b)
-
-
-def word_count(name: Column) -> Column:
-    return F.size(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
-
-
 def set_text(items: Column) -> Column:
     """Array to the text form ``frozenset({a, b})`` used by exported rule files."""
     return F.concat(F.lit("frozenset({"), F.array_join(items.cast("array<string>"), ", "), F.lit("})"))

@@ -59,8 +59,7 @@ def best_dictionary_match(
     """
     keys = dictionary.select(F.col("name").alias("right_name")).distinct()
     left = names.select(F.col("name").alias("left_name")).distinct()
-    words = text.word_count(F.col("left_name"))
-    several = (words > 1) & (words < 6)
+    several = F.expr(f"{text.word_count('left_name')} BETWEEN 2 AND 5")
     if scorer == "ratio":
         scored = fuzzy.ratio_pairs(left, keys, cutoff)
     elif scorer == "weighted":
@@ -108,7 +107,7 @@ def enrich_codes(
         out = out.join(
             registry.select(F.col("name").alias("_name"), F.col("atx").alias("_reg")), "_name", "left"
         )
-        short = (text.word_count(F.col("_name")) < 5) & (F.length("_name") > 4)
+        short = F.expr(f"{text.word_count('_name')} < 5 AND length(_name) > 4")
         found = F.coalesce(found, F.when(short, F.col("_reg")))
         return out.withColumn("atx", found).drop("_name", "_dict", "_reg")
     return out.withColumn("atx", found).drop("_name", "_dict")

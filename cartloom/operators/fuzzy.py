@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import text
 
 NO_BLOCK = "_all"
+KEYED = ["block", "key", "words", "len", "mask"]
+PAIR = ["l_key", "l_words", "r_key", "r_words"]
 
 
 def _floor_of(cutoff: int) -> float:
@@ -38,47 +40,36 @@ def _longest_piece(c: float) -> int:
     return math.ceil(1 / (2 * (1 - c))) + 1
 
 
-def _piece_size(words: Column, length: Column, c: float) -> Column:
-    """The largest piece length that cuts the words into enough pieces, else 1.
+def _pieces(side: DataFrame, c: float) -> DataFrame:
+    """One row per piece: every word cut into about equal parts.
 
-    Enough is one more than the edits allowed. (With single characters it may
-    be fewer; two strings above the cutoff always share a character.)
+    The piece length is the largest that gives enough pieces, one more than
+    the edits allowed. (With single characters it may be fewer; two strings
+    above the cutoff always share a character.)
     """
-    needed = F.floor(F.lit(2 * (1 - c)) * length) + 1
-    sizes = F.array(*[F.lit(n) for n in range(_longest_piece(c), 0, -1)])
-    enough = F.filter(
-        sizes,
-        lambda s: F.aggregate(
-            words, F.lit(0), lambda acc, w: acc + F.greatest(F.lit(1), (F.length(w) / s).cast("int"))
-        ) >= needed,
-    )
-    return F.coalesce(F.get(enough, F.lit(0)), F.lit(1))
-
-
-def _pieces(side: DataFrame, c: float) -> DataFrame:
-    """One row per piece: every word cut into about equal parts."""
-    sized = side.withColumn("size", _piece_size(F.col("words"), F.col("len"), c))
-    parts = F.greatest(F.lit(1), (F.length("word") / F.col("size")).cast("int"))
-    each = sized.withColumn("word", F.explode("words")).withColumn("parts", parts)
-    start = (F.col("part") * F.length("word") / F.col("parts")).cast("int")
-    end = ((F.col("part") + 1) * F.length("word") / F.col("parts")).cast("int")
+    cuts = "aggregate(words, 0L, (acc, w) -> acc + greatest(1L, length(w) div n))"
+    enough = f"filter(sequence({_longest_piece(c)}, 1, -1), n -> {cuts} > floor({2 * (1 - c)}D * len))"
     return (
-        each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("piece", F.substring("word", start + 1, end - start))
-        .drop("size", "word", "parts", "part")
+        side.selectExpr("*", f"coalesce(get({enough}, 0), 1) AS size", "explode(words) AS word")
+        .selectExpr("*", "cast(greatest(1, length(word) div size) AS int) AS parts")
+        .selectExpr("*", "explode(sequence(0, parts - 1)) AS part")
+        .selectExpr(
+            *KEYED,
+            "substring(word, cast(part * length(word) div parts AS int) + 1, "
+            "cast((part + 1) * length(word) div parts - part * length(word) div parts AS int)) AS piece",
+        )
     )
 
 
 def _substrings(side: DataFrame, longest: int | None) -> DataFrame:
     """One row per substring of a word, up to ``longest`` characters."""
-    room = F.length("word") - F.col("start") + 1
-    most = room if longest is None else F.least(F.lit(longest), room)
+    room = "length(word) - start + 1"
+    most = room if longest is None else f"least({longest}, {room})"
     return (
-        side.withColumn("word", F.explode("words"))
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
-        .withColumn("size", F.explode(F.sequence(F.lit(1), most)))
-        .withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
-        .drop("word", "start", "size")
+        side.selectExpr("*", "explode(words) AS word")
+        .selectExpr("*", "explode(sequence(1, length(word))) AS start")
+        .selectExpr("*", f"explode(sequence(1, {most})) AS size")
+        .selectExpr(*KEYED, "substring(word, start, size) AS piece")
     )
 
 
@@ -87,95 +78,80 @@ def _prepare(names: DataFrame, column: str, by_words: bool) -> DataFrame:
 
     The key is the processed name, or its sorted distinct words.
     """
-    block = F.col("block") if "block" in names.columns else F.lit(NO_BLOCK)
-    done = names.select(block.alias("block"), text.process(F.col(column)).alias("p"))
-    words = text.tokens(F.col("p")) if by_words else F.filter(
-        F.split("p", r"\s+"), lambda w: w != ""
-    )
-    key = F.array_join(text.tokens(F.col("p")), " ") if by_words else F.col("p")
+    block = "block" if "block" in names.columns else f"'{NO_BLOCK}' AS block"
+    words = text.tokens("p") if by_words else text.words("p")
+    key = "array_join(words, ' ')" if by_words else "p"
     return (
-        done.select("block", key.alias("key"), words.alias("words"))
-        .where(F.size("words") > 0)
+        names.selectExpr(block, f"{text.process(column)} AS p")
+        .selectExpr("block", "p", f"{words} AS words")
+        .selectExpr("block", f"{key} AS key", "words")
+        .where("size(words) > 0")
         .distinct()
-        .withColumn("len", F.length("key"))
-        .withColumn("mask", text.character_mask(F.col("key")))
+        .selectExpr(*KEYED[:3], "length(key) AS len", f"{text.character_mask('key')} AS mask")
     )
 
 
 def _with_prefix(df: DataFrame, prefix: str, *extra: str) -> DataFrame:
-    cols = [F.col(c).alias(prefix + c) for c in ("key", "words", "len", "mask")]
-    return df.select("block", *cols, *extra)
+    return df.selectExpr("block", *[f"{c} AS {prefix}{c}" for c in KEYED[1:]], *extra)
 
 
 def _close_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
     """Pairs of keys that can reach the ratio: ``l_key, r_key`` (and their words)."""
     longest = 2 * _longest_piece(c) - 1
 
-    def one_way(longer: DataFrame, lp: str, shorter: DataFrame, sp: str, strict: bool) -> DataFrame:
+    def one_way(longer: DataFrame, lp: str, shorter: DataFrame, sp: str, compare: str) -> DataFrame:
         cut = _with_prefix(_pieces(longer, c), lp, "piece")
         part = _with_prefix(_substrings(shorter, longest), sp, "piece")
-        a, b = F.col(sp + "len"), F.col(lp + "len")
-        most = text.common_at_most(a, F.col(sp + "mask"), b, F.col(lp + "mask"))
+        most = text.common_at_most(f"{sp}len", f"{sp}mask", f"{lp}len", f"{lp}mask")
         return (
             cut.join(part, ["block", "piece"])
-            .where((a < b) if strict else (a <= b))
-            .where(2 * most >= F.lit(c) * (a + b))
-            .select("l_key", "l_words", "r_key", "r_words")
+            .where(f"{sp}len {compare} {lp}len AND 2 * {most} >= {c}D * (l_len + r_len)")
+            .select(*PAIR)
         )
 
-    return one_way(right, "r_", left, "l_", False).unionByName(one_way(left, "l_", right, "r_", True))
+    return one_way(right, "r_", left, "l_", "<=").unionByName(one_way(left, "l_", right, "r_", "<"))
 
 
 def _covering_candidates(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
-    """Pairs whose common words alone reach the cutoff against one of both sides."""
+    """Pairs whose common words alone reach the cutoff against one of both sides.
+
+    Of that side, ordered by how rare its words are, only the words count from
+    which on the rest is still long enough.
+    """
     c = _floor_of(cutoff)
-    share = c / (2 - c)
-    each = left.select("block", "key", F.explode("words").alias("word")).unionByName(
-        right.select("block", "key", F.explode("words").alias("word"))
+    seen = (
+        left.selectExpr("explode(words) AS word")
+        .unionAll(right.selectExpr("explode(words) AS word"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    seen = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def needed_words(side: DataFrame, prefix: str) -> DataFrame:
-        rows = _with_prefix(side.withColumn("word", F.explode("words")), prefix, "word").join(seen, "word")
-        rest = (
-            Window.partitionBy("block", prefix + "key")
-            .orderBy("n", "word")
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        )
-        covered = F.sum(F.length("word") + 1).over(rest) - 1
+    rest = "(PARTITION BY block, {0}key ORDER BY n, word ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+    def one_way(covered: DataFrame, cp: str, other: DataFrame, op: str) -> DataFrame:
+        rows = _with_prefix(covered.selectExpr("*", "explode(words) AS word"), cp, "word").join(seen, "word")
+        needed = rows.selectExpr(
+            "*", f"sum(length(word) + 1) OVER {rest.format(cp)} - 1 AS reach"
+        ).where(f"reach >= {c / (2 - c)}D * {cp}len")
+        every = _with_prefix(other.selectExpr("*", "explode(words) AS word"), op, "word")
+        common = "length(array_join(array_intersect(l_words, r_words), ' '))"
         return (
-            rows.withColumn("_covered", covered)
-            .where(F.col("_covered") >= F.lit(share) * F.col(prefix + "len"))
-            .select("block", "word", prefix + "key", prefix + "words")
+            needed.join(every, ["block", "word"])
+            .where(f"2 * {common} >= {c}D * ({common} + {cp}len)")
+            .select(*PAIR)
         )
 
-    def all_words(side: DataFrame, prefix: str) -> DataFrame:
-        return side.select(
-            "block", F.explode("words").alias("word"),
-            F.col("key").alias(prefix + "key"), F.col("words").alias(prefix + "words"),
-        )
-
-    common = F.length(F.array_join(F.array_intersect("l_words", "r_words"), " "))
-
-    def reached(whole: str) -> Column:
-        return 2 * common >= F.lit(c) * (common + F.length(whole))
-
-    cols = ["l_key", "l_words", "r_key", "r_words"]
-    one = needed_words(left, "l_").join(all_words(right, "r_"), ["block", "word"]).where(reached("l_key"))
-    two = needed_words(right, "r_").join(all_words(left, "l_"), ["block", "word"]).where(reached("r_key"))
-    return one.select(cols).unionByName(two.select(cols))
-
-
-def _names_of(names: DataFrame, column: str, out: str, by_words: bool) -> DataFrame:
-    processed = text.process(F.col(column))
-    key = F.array_join(text.tokens(processed), " ") if by_words else processed
-    return names.select(F.col(column).alias(out), key.alias(out[0] + "_key")).distinct()
+    return one_way(left, "l_", right, "r_").unionByName(one_way(right, "r_", left, "l_"))
 
 
 def _back_to_names(scored: DataFrame, left: DataFrame, right: DataFrame, by_words: bool) -> DataFrame:
+    def named(names: DataFrame, column: str) -> DataFrame:
+        p = text.process(column)
+        key = f"array_join({text.tokens(p)}, ' ')" if by_words else p
+        return names.selectExpr(column, f"{key} AS {column[0]}_key").distinct()
+
     return (
-        scored.join(_names_of(left, "left_name", "left_name", by_words), "l_key")
-        .join(_names_of(right, "right_name", "right_name", by_words), "r_key")
+        scored.join(named(left, "left_name"), "l_key")
+        .join(named(right, "right_name"), "r_key")
         .select("left_name", "right_name", "score")
     )
 
@@ -197,17 +173,13 @@ def token_set_pairs(left: DataFrame, right: DataFrame, cutoff: int = 80) -> Data
     the score is computed once per distinct pair, whatever the blocks.
     """
     pairs = _token_set_keys(left, right, cutoff)
-    parts = text.set_parts(F.col("l_words"), F.col("r_words"))
-    split = pairs.select("l_key", "r_key", *[v.alias(k) for k, v in parts.items()])
-    scored = split.select(
-        "l_key",
-        "r_key",
-        F.greatest(
-            text.prefix_ratio(F.col("t0"), F.col("t1")),
-            text.prefix_ratio(F.col("t0"), F.col("t2")),
-            text.ratio("t1", "t2"),
-        ).alias("score"),
-    ).where(F.col("score") >= cutoff)
+    known = f"greatest({text.prefix_ratio('t0', 't1')}, {text.prefix_ratio('t0', 't2')}) AS covered"
+    scored = (
+        pairs.selectExpr("l_key", "r_key", *text.set_parts("l_words", "r_words"))
+        .selectExpr("l_key", "r_key", "t1", "t2", known)
+        .select("l_key", "r_key", F.greatest("covered", text.ratio("t1", "t2")).alias("score"))
+        .where(f"score >= {int(cutoff)}")
+    )
     return _back_to_names(scored, left, right, True)
 
 
@@ -237,8 +209,9 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
         by_set = _token_set_keys(left, right, token_cutoff).select(
             F.col("l_key").alias("l_set"), F.col("r_key").alias("r_set")
         )
-        l_map = lk.select(F.col("key").alias("l_key"), F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("l_set")).distinct()
-        r_map = rk.select(F.col("key").alias("r_key"), F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("r_set")).distinct()
+        as_set = "array_join(array_sort(array_distinct(words)), ' ')"
+        l_map = lk.selectExpr("key AS l_key", f"{as_set} AS l_set").distinct()
+        r_map = rk.selectExpr("key AS r_key", f"{as_set} AS r_set").distinct()
         found = found.unionByName(
             by_set.join(l_map, "l_set").join(r_map, "r_set").select("l_key", "r_key")
         )
@@ -254,12 +227,12 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
 
 def _contained(short: DataFrame, sp: str, long_: DataFrame, lp: str) -> DataFrame:
     """Pairs where one key is a substring of the other: its first word then lies in a word."""
-    heads = short.select("block", F.get("words", F.lit(0)).alias("piece"), F.col("key").alias(sp + "key"))
-    parts = _substrings(long_, None).select("block", "piece", F.col("key").alias(lp + "key"))
-    s, t = F.length(sp + "key"), F.length(lp + "key")
+    heads = short.selectExpr("block", "get(words, 0) AS piece", f"key AS {sp}key")
+    parts = _substrings(long_, None).selectExpr("block", "piece", f"key AS {lp}key")
+    s, t = f"length({sp}key)", f"length({lp}key)"
     return (
         heads.join(parts, ["block", "piece"])
-        .where((t >= text.PARTIAL_FROM * s) & (t <= text.LONG_FROM * s))
-        .where(F.contains(F.col(lp + "key"), F.col(sp + "key")))
+        .where(f"{t} >= {text.PARTIAL_FROM}D * {s} AND {t} <= {text.LONG_FROM} * {s}")
+        .where(f"contains({lp}key, {sp}key)")
         .select("l_key", "r_key")
     )
