@@ -5,28 +5,33 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.operators.ranking import ranked
+
 
 def transactions(
     lines: DataFrame, basket: str, item: str, min_support: float
 ) -> DataFrame:
     """Baskets for mining, without the items too rare to be in any itemset.
 
-    Pruning comes before the arrays are built: an array then holds at most the
-    frequent items, whose number is bounded by ``average basket / min_support``
-    and not by the catalogue. Baskets left empty stay, since support is
-    relative to the number of all baskets.
+    For large catalogues: pruning comes before the arrays are built, so an
+    array holds at most the frequent items, whose number is bounded by
+    ``average basket / min_support`` and not by the catalogue. Baskets left
+    empty stay, since support is relative to the number of all baskets.
     """
-    pairs = lines.select(basket, item).distinct()
-    n = pairs.agg(F.count_distinct(basket)).scalar()
-    counted = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
+    n = lines.agg(F.count_distinct(basket)).scalar()
+    counted = lines.groupBy(item).agg(F.count_distinct(basket).alias("_n"))
     frequent = counted.where(F.col("_n") >= F.ceil(F.lit(float(min_support)) * n)).select(
-        F.col(item).alias("_frequent")
+        item, F.col(item).alias("_frequent")
+    )
+    return (
+        lines.select(basket, item)
+        .join(frequent, item, "left")
+        .groupBy(basket)
+        .agg(F.array_sort(F.collect_set("_frequent")).alias("items"))
     )
-    marked = pairs.join(frequent, F.col(item) == F.col("_frequent"), "left")
-    return marked.groupBy(basket).agg(F.array_sort(F.collect_list("_frequent")).alias("items"))
 
 
 def mine(
@@ -174,12 +179,10 @@ def rules_for_baskets(
     salted = strong.withColumn("_salt", F.pmod(F.hash("antecedent", "consequent"), F.lit(salts)))
     everything = empty.join(salted, "_salt").select(query, "antecedent", "consequent", "confidence")
 
-    by_rank = Window.partitionBy(query).orderBy(F.desc("confidence"), "antecedent", "consequent")
-    return found.unionByName(everything).select(
-        query,
-        F.col("consequent").alias("products"),
-        "confidence",
-        F.row_number().over(by_rank).alias("rule_rank"),
+    # An item may be in a third of all rules: rank without a task per query.
+    order = [F.desc("confidence"), F.asc("antecedent"), F.asc("consequent")]
+    return ranked(found.unionByName(everything), [query], order, "rule_rank").select(
+        query, F.col("consequent").alias("products"), "confidence", "rule_rank"
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.cosine import hot_keys, recommend_items, shared_classes
-from cartloom.session import shuffled
+from cartloom.operators.similar import similar_products
+from cartloom.session import settle, shuffled
 
 
 
@@ -100,7 +101,10 @@ def recommend_for_baskets(
 
     Many queries share a nearest basket, so each such basket is served once.
     """
-    near = nearest_basket(queries, stored, max_postings, same_ids).select("query_id", "basket_id")
+    near = settle(
+        nearest_basket(queries, stored, max_postings, same_ids).select("query_id", "basket_id"),
+        "nearest",
+    )
     chosen = near.select("basket_id").distinct()
     served = recommend_items(
         stored.join(chosen, "basket_id", "left_semi"), similarity, "basket_id", "item", k
@@ -125,7 +129,7 @@ def recommend_with_fallback(
     neighbour gets nothing, or the popular items on the last trial.
     ``popular`` is a short top list (item, rnk).
     """
-    near = nearest_basket(queries, stored, max_postings)
+    near = settle(nearest_basket(queries, stored, max_postings), "nearest")
     chosen = near.select("basket_id").distinct()
     served = recommend_items(
         stored.join(chosen, "basket_id", "left_semi"), similarity, "basket_id", "item", k
@@ -142,3 +146,41 @@ def recommend_with_fallback(
         "query_id", "item", F.lit(0.0).alias("score"), F.lit("popular").alias("source")
     )
     return answered.unionByName(general)
+
+
+def recommend_with_substitutes(
+    requests: DataFrame,
+    queries: DataFrame,
+    stored: DataFrame,
+    similarity: DataFrame,
+    popular: DataFrame,
+    catalogue: DataFrame,
+    form_map: DataFrame,
+    k: int = 10,
+    per_item: int = 1,
+    max_postings: int = 10_000,
+) -> DataFrame:
+    """Like :func:`recommend_with_fallback`; baskets left without an answer try once more.
+
+    The second trial asks with the substitutes of their items, and falls back
+    to the popular items.
+    """
+    first = settle(
+        recommend_with_fallback(requests, queries, stored, similarity, popular, k, False, max_postings),
+        "first-trial",
+    )
+    again = requests.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    open_items = queries.join(again, "query_id", "left_semi")
+    swaps = similar_products(
+        open_items.select(F.col("item").alias("id")).distinct(), catalogue, form_map, limit=per_item
+    )
+    swapped = settle(
+        open_items.join(swaps.select(F.col("id").alias("item"), "similar_id"), "item").select(
+            "query_id", F.col("similar_id").alias("item")
+        ),
+        "substitutes",
+    )
+    second = recommend_with_fallback(
+        again, swapped, stored, similarity, popular, k, True, max_postings
+    )
+    return first.unionByName(second)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.session import settle
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+def ranked(
+    df: DataFrame, group: list[str], order: list[str | Column], name: str = "rank"
+) -> DataFrame:
     """1-based rank of every row inside its group, exact for groups of any size.
 
     Rows are range-partitioned on (group, order), so a hot group spans many

@@ -260,7 +260,7 @@ def dataset_counts(spark, d):
 
 
 def _model(lines: DataFrame, item: str, support: float = SUPPORT):
-    return mining.mine(mining.transactions(lines, "basket_id", item, support), support, CONFIDENCE)
+    return mining.mine(baskets.baskets(lines, "basket_id", item), support, CONFIDENCE)
 
 
 def _brand_model(spark, d, support: float = SUPPORT):

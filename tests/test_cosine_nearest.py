@@ -3,6 +3,7 @@ from math import sqrt
 
 import pytest
 
+from cartloom import schemas
 from cartloom.operators import cosine, evaluate, nearest
 
 
@@ -101,6 +102,23 @@ def test_fallback_chain(spark):
     assert run(True) == {(7, 12, "basket"), (8, 10, "popular"), (8, 12, "popular")} | empty
 
 
+def test_substitutes_get_a_second_trial(spark):
+    stored = spark.createDataFrame([(1, 11), (1, 12), (2, 12), (2, 10)], "basket_id long, item long")
+    sims = cosine.item_cosine(stored, "basket_id", "item")
+    requests = spark.createDataFrame([(7,), (8,), (9,)], "query_id long")
+    queries = spark.createDataFrame([(7, 11), (8, 50), (9, 99)], "query_id long, item long")
+    popular = spark.createDataFrame([(77, 1)], "item long, rnk int")
+    shelf = spark.createDataFrame(
+        [(50, "a", "a", None, "t", "c", "X1"), (11, "b", "b", None, "t", "c", "X2"), (99, "z", "z", None, "t", "c", "Q1")],
+        schemas.CATALOGUE,
+    )
+    forms = spark.createDataFrame([("t", "t")], "form string, equal_form string")
+    got = nearest.recommend_with_substitutes(requests, queries, stored, sims, popular, shelf, forms)
+    assert {(r.query_id, r.item, r.source) for r in got.collect()} == {
+        (7, 10, "basket"), (8, 10, "basket"), (9, 77, "popular")
+    }
+
+
 def test_evaluation(spark):
     stored = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12)], "basket_id long, item long")
     sims = cosine.item_cosine(stored, "basket_id", "item")
