@@ -35,62 +35,72 @@ def nearest_basket(
     asked = queries.select("query_id", "item").distinct()
     sizes = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
     postings = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(postings, "item", "n", max_postings)
+    if postings.where(F.col("n") > max_postings).isEmpty():
+        found = _through(asked, held.join(sizes, "basket_id"), same_ids).withColumnRenamed("c", "overlap")
+    else:
+        hot = hot_keys(postings, "item", "n", max_postings)
+        found = _with_hot_items(asked, held, sizes, hot, same_ids)
+    best = F.min(F.struct((-F.col("overlap")).alias("o"), "size", "basket_id")).alias("b")
+    return (
+        found.groupBy("query_id")
+        .agg(best)
+        .select("query_id", "b.basket_id", (-F.col("b.o")).alias("overlap"), "b.size")
+    )
+
+
+def _through(asked: DataFrame, held: DataFrame, same_ids: bool, *carried: str) -> DataFrame:
+    """Pairs that share an item, with the number ``c`` of such items."""
+    met = asked.join(shuffled(held), "item")
+    if same_ids:
+        met = met.where(F.col("query_id") != F.col("basket_id"))
+    return met.groupBy("query_id", "basket_id", "size", *carried).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _with_hot_items(
+    asked: DataFrame, held: DataFrame, sizes: DataFrame, hot: DataFrame, same_ids: bool
+) -> DataFrame:
+    """Candidates ``query_id, basket_id, size, overlap`` with the hot items as masks."""
     none = F.lit(0).cast("bigint")
+    in_common = F.bit_count(F.col("qm").bitwiseAND(F.col("bm"))).cast("bigint")
 
     def masks(df: DataFrame, key: str, out: str) -> DataFrame:
         return df.join(F.broadcast(hot), "item").groupBy(key).agg(F.bit_or("bit").alias(out))
 
+    def plain(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot.select("item")), "item", "left_anti")
+
     baskets = sizes.join(masks(held, "basket_id", "bm"), "basket_id", "left").select(
         "basket_id", "size", F.coalesce("bm", none).alias("bm")
     )
     wanted = masks(asked, "query_id", "qm")
-
-    plain_held = held.join(F.broadcast(hot.select("item")), "item", "left_anti").join(
-        baskets, "basket_id"
-    )
     plain_asked = (
-        asked.join(F.broadcast(hot.select("item")), "item", "left_anti")
+        plain(asked)
         .join(wanted, "query_id", "left")
         .select("query_id", "item", F.coalesce("qm", none).alias("qm"))
     )
-    met = plain_asked.join(shuffled(plain_held), "item")
-    if same_ids:
-        met = met.where(F.col("query_id") != F.col("basket_id"))
-    through_plain = (
-        met.groupBy("query_id", "basket_id", "size", "qm", "bm")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .select(
-            "query_id", "basket_id", "size",
-            (F.col("c") + F.bit_count(F.col("qm").bitwiseAND(F.col("bm")))).alias("overlap"),
-        )
-    )
+    through_plain = _through(
+        plain_asked, plain(held).join(baskets, "basket_id"), same_ids, "qm", "bm"
+    ).select("query_id", "basket_id", "size", (F.col("c") + in_common).alias("overlap"))
 
-    # min of (size, id) twice per mask: the second without the first.
+    # The best (size, id) per mask, and the best without it.
     marked = baskets.where(F.col("bm") != 0)
-    first = marked.groupBy("bm").agg(F.min(F.struct("size", "basket_id")).alias("b"))
+    best = F.min(F.struct("size", "basket_id")).alias("b")
+    first = marked.groupBy("bm").agg(best)
     second = (
         marked.join(F.broadcast(first), "bm")
         .where(F.col("basket_id") != F.col("b.basket_id"))
+        .drop("b")
         .groupBy("bm")
-        .agg(F.min(F.struct("size", "basket_id")).alias("b"))
+        .agg(best)
     )
     champions = first.unionByName(second).select("bm", "b.size", "b.basket_id")
     per_mask = shared_classes(champions, "bm", wanted, "qm")
     through_hot = wanted.join(F.broadcast(per_mask), "qm").select(
-        "query_id", "basket_id", "size",
-        F.bit_count(F.col("qm").bitwiseAND(F.col("bm"))).cast("bigint").alias("overlap"),
+        "query_id", "basket_id", "size", in_common.alias("overlap")
     )
     if same_ids:
         through_hot = through_hot.where(F.col("query_id") != F.col("basket_id"))
-
-    best = F.min(F.struct((-F.col("overlap")).alias("o"), "size", "basket_id")).alias("b")
-    return (
-        through_plain.unionByName(through_hot)
-        .groupBy("query_id")
-        .agg(best)
-        .select("query_id", "b.basket_id", (-F.col("b.o")).alias("overlap"), "b.size")
-    )
+    return through_plain.unionByName(through_hot)
 
 
 def recommend_for_baskets(
