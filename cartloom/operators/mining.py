@@ -147,9 +147,9 @@ def rules_for_baskets(
 ) -> DataFrame:
     """Rules whose left side holds all items of the query basket.
 
-    Each query looks rules up by its rarest item only, then checks full
-    containment. A query without items matches every rule; it is spread over
-    the salts of the rules instead of one key.
+    Equal queries are answered once. Each looks rules up by its rarest item
+    only, then checks full containment. A query without items matches every
+    rule; it is spread over the salts of the rules instead of one key.
     """
     salts = 32
     strong = rules.where(F.col("confidence") >= threshold).select(
@@ -158,30 +158,29 @@ def rules_for_baskets(
     by_item = strong.select("*", F.explode("antecedent").alias("_key"))
     weight = by_item.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
 
-    wanted = queries.select(query, F.array_distinct(items).alias("_wanted"))
-    probes = wanted.select(query, "_wanted", F.explode("_wanted").alias("_key"))
+    asked = queries.select(query, F.array_sort(F.array_distinct(items)).alias("_wanted"))
+    wanted = asked.select("_wanted").distinct()
+    probes = wanted.select("_wanted", F.explode("_wanted").alias("_key"))
     # An item in no rule rules the query out: it gets weight 0 and joins nothing.
     rarest = (
         probes.join(weight, "_key", "left")
-        .groupBy(query)
-        .agg(
-            F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), F.col("_key"))).alias("_key"),
-            F.first("_wanted").alias("_wanted"),
-        )
+        .groupBy("_wanted")
+        .agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), F.col("_key"))).alias("_key"))
     )
     found = rarest.join(by_item, "_key").where(
         F.size(F.array_except("_wanted", "antecedent")) == 0
-    ).select(query, "antecedent", "consequent", "confidence")
+    ).select("_wanted", "antecedent", "consequent", "confidence")
 
     empty = wanted.where(F.size("_wanted") == 0).select(
-        query, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+        "_wanted", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
     salted = strong.withColumn("_salt", F.pmod(F.hash("antecedent", "consequent"), F.lit(salts)))
-    everything = empty.join(salted, "_salt").select(query, "antecedent", "consequent", "confidence")
+    everything = empty.join(salted, "_salt").select("_wanted", "antecedent", "consequent", "confidence")
 
     # An item may be in a third of all rules: rank without a task per query.
     order = [F.desc("confidence"), F.asc("antecedent"), F.asc("consequent")]
-    return ranked(found.unionByName(everything), [query], order, "rule_rank").select(
+    placed = ranked(found.unionByName(everything), ["_wanted"], order, "rule_rank")
+    return asked.join(placed, "_wanted").select(
         query, F.col("consequent").alias("products"), "confidence", "rule_rank"
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.operators.cosine import hot_keys, recommend_items, shared_classes
@@ -24,83 +24,115 @@ def nearest_basket(
     lowest id; no common item, no row. ``same_ids`` says that queries are
     stored baskets themselves, and leaves out each query's own basket.
 
-    Items in more than ``max_postings`` baskets would pair up too many
-    candidates. The hottest of them become bits of a mask per basket: a pair
+    Baskets of the same items collapse first on both sides: only the best of
+    them can be an answer (the second best if the best asks itself), so any
+    number of copies costs as much as one. Items in more than
+    ``max_postings`` different item sets would still pair up too many
+    candidates. The hottest of them become bits of a mask per set: a pair
     found through another item adds the bit count of both masks, and for
-    pairs that share hot items only, two champions per mask are enough (the
-    second for when the first is the query itself).
+    pairs that share hot items only, two champions per mask are enough.
     """
-    lines = stored.select("basket_id", "item")
-    held = lines.distinct()
-    asked = queries.select("query_id", "item").distinct()
-    sizes = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
+    place = Window.partitionBy("items").orderBy("size", "basket_id")
+    first, second = F.col("_r") == 1, F.col("_r") == 2
+    shelf = settle(
+        _item_sets(stored, "basket_id")
+        .withColumn("_r", F.row_number().over(place))
+        .where(F.col("_r") <= 2)
+        .groupBy("items")
+        .agg(
+            F.min(F.when(first, F.col("basket_id"))).alias("sid"),
+            F.min(F.when(first, F.col("size"))).alias("size"),
+            F.min(F.when(second, F.col("basket_id"))).alias("next_sid"),
+            F.min(F.when(second, F.col("size"))).alias("next_size"),
+        ),
+        "basket-sets",
+    )
+    asked = _item_sets(queries, "query_id").select("query_id", "items")
+    own = shelf if same_ids else shelf.limit(0)
+    kinds = settle(
+        asked.groupBy("items").agg(F.min("query_id").alias("kid")).join(own, "items", "left"),
+        "query-sets",
+    )
+
+    held = shelf.select("sid", "size", F.explode("items").alias("item"))
+    probes = kinds.select("kid", F.col("sid").alias("own"), F.explode("items").alias("item"))
     postings = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     if postings.where(F.col("n") > max_postings).isEmpty():
-        found = _through(asked, held.join(sizes, "basket_id"), same_ids).withColumnRenamed("c", "overlap")
+        found = _through(probes, held).withColumnRenamed("c", "overlap")
     else:
-        hot = hot_keys(postings, "item", "n", max_postings)
-        found = _with_hot_items(asked, held, sizes, hot, same_ids)
-    best = F.min(F.struct((-F.col("overlap")).alias("o"), "size", "basket_id")).alias("b")
+        found = _with_hot_items(probes, held, hot_keys(postings, "item", "n", max_postings))
+
+    best = found.groupBy("kid").agg(
+        F.min(F.struct((-F.col("overlap")).alias("o"), "size", "sid")).alias("b")
+    )
+    full = (-F.size("items").cast("bigint")).alias("o")
+    among_copies = F.when(
+        F.col("sid") != F.col("query_id"), F.struct(full, F.col("size"), F.col("sid"))
+    ).when(
+        F.col("next_sid").isNotNull(),
+        F.struct(full, F.col("next_size").alias("size"), F.col("next_sid").alias("sid")),
+    )
     return (
-        found.groupBy("query_id")
-        .agg(best)
-        .select("query_id", "b.basket_id", (-F.col("b.o")).alias("overlap"), "b.size")
+        asked.join(kinds, "items")
+        .join(best, "kid", "left")
+        .select("query_id", F.least("b", among_copies).alias("b"))
+        .where(F.col("b").isNotNull())
+        .select(
+            "query_id", F.col("b.sid").alias("basket_id"), (-F.col("b.o")).alias("overlap"), "b.size"
+        )
     )
 
 
-def _through(asked: DataFrame, held: DataFrame, same_ids: bool, *carried: str) -> DataFrame:
-    """Pairs that share an item, with the number ``c`` of such items."""
-    met = asked.join(shuffled(held), "item")
-    if same_ids:
-        met = met.where(F.col("query_id") != F.col("basket_id"))
-    return met.groupBy("query_id", "basket_id", "size", *carried).agg(F.count(F.lit(1)).alias("c"))
+def _item_sets(lines: DataFrame, key: str) -> DataFrame:
+    """``key, items, size``: distinct items (sorted) and number of lines per basket."""
+    return lines.groupBy(key).agg(
+        F.array_sort(F.collect_set("item")).alias("items"), F.count(F.lit(1)).alias("size")
+    )
 
 
-def _with_hot_items(
-    asked: DataFrame, held: DataFrame, sizes: DataFrame, hot: DataFrame, same_ids: bool
-) -> DataFrame:
-    """Candidates ``query_id, basket_id, size, overlap`` with the hot items as masks."""
+def _through(probes: DataFrame, held: DataFrame, *masks: str) -> DataFrame:
+    """Pairs of different sets that share an item, with the number ``c`` of such items."""
+    return (
+        probes.join(shuffled(held), "item")
+        .where(F.col("own").isNull() | (F.col("own") != F.col("sid")))
+        .groupBy("kid", "sid", "size", *masks)
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+
+
+def _with_hot_items(probes: DataFrame, held: DataFrame, hot: DataFrame) -> DataFrame:
+    """Candidates ``kid, sid, size, overlap`` with the hot items as masks."""
     none = F.lit(0).cast("bigint")
     in_common = F.bit_count(F.col("qm").bitwiseAND(F.col("bm"))).cast("bigint")
 
-    def masks(df: DataFrame, key: str, out: str) -> DataFrame:
-        return df.join(F.broadcast(hot), "item").groupBy(key).agg(F.bit_or("bit").alias(out))
+    def masks(df: DataFrame, *keys: str) -> DataFrame:
+        return df.join(F.broadcast(hot), "item").groupBy(*keys).agg(F.bit_or("bit").alias("m"))
 
-    def plain(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(hot.select("item")), "item", "left_anti")
+    def plain(df: DataFrame, key: str, marked: DataFrame, out: str) -> DataFrame:
+        rest = df.join(F.broadcast(hot.select("item")), "item", "left_anti")
+        return rest.join(marked.select(key, "m"), key, "left").withColumn(out, F.coalesce("m", none)).drop("m")
 
-    baskets = sizes.join(masks(held, "basket_id", "bm"), "basket_id", "left").select(
-        "basket_id", "size", F.coalesce("bm", none).alias("bm")
+    marked = masks(held, "sid", "size")
+    wanted = masks(probes, "kid", "own")
+    through_plain = _through(
+        plain(probes, "kid", wanted, "qm"), plain(held, "sid", marked, "bm"), "qm", "bm"
+    ).select("kid", "sid", "size", (F.col("c") + in_common).alias("overlap"))
+
+    # Two champions per mask, then two per asked mask: one may be the asking set.
+    in_mask = Window.partitionBy("m").orderBy("size", "sid")
+    champions = (
+        marked.withColumn("_r", F.row_number().over(in_mask))
+        .where(F.col("_r") <= 2)
+        .select(F.col("m").alias("bm"), "sid", "size")
     )
-    wanted = masks(asked, "query_id", "qm")
-    plain_asked = (
-        plain(asked)
-        .join(wanted, "query_id", "left")
-        .select("query_id", "item", F.coalesce("qm", none).alias("qm"))
+    wanted = wanted.withColumnRenamed("m", "qm")
+    options = shared_classes(champions, "bm", wanted, "qm").withColumn("overlap", in_common)
+    in_asked = Window.partitionBy("qm").orderBy(F.desc("overlap"), "size", "sid")
+    per_mask = options.withColumn("_r", F.row_number().over(in_asked)).where(F.col("_r") <= 2)
+    through_hot = wanted.join(F.broadcast(per_mask), "qm").where(
+        F.col("own").isNull() | (F.col("own") != F.col("sid"))
     )
-    through_plain = _through(
-        plain_asked, plain(held).join(baskets, "basket_id"), same_ids, "qm", "bm"
-    ).select("query_id", "basket_id", "size", (F.col("c") + in_common).alias("overlap"))
-
-    # The best (size, id) per mask, and the best without it.
-    marked = baskets.where(F.col("bm") != 0)
-    best = F.min(F.struct("size", "basket_id")).alias("b")
-    first = marked.groupBy("bm").agg(best)
-    second = (
-        marked.join(F.broadcast(first), "bm")
-        .where(F.col("basket_id") != F.col("b.basket_id"))
-        .drop("b")
-        .groupBy("bm")
-        .agg(best)
-    )
-    champions = first.unionByName(second).select("bm", "b.size", "b.basket_id")
-    per_mask = shared_classes(champions, "bm", wanted, "qm")
-    through_hot = wanted.join(F.broadcast(per_mask), "qm").select(
-        "query_id", "basket_id", "size", in_common.alias("overlap")
-    )
-    if same_ids:
-        through_hot = through_hot.where(F.col("query_id") != F.col("basket_id"))
-    return through_plain.unionByName(through_hot)
+    return through_plain.unionByName(through_hot.select("kid", "sid", "size", "overlap"))
 
 
 def recommend_for_baskets(

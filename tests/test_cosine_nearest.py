@@ -65,6 +65,7 @@ def test_nearest_basket(spark, postings, same):
     rng = random.Random(postings)
     lines = [(b, min(rng.randint(0, 30), rng.randint(0, 30))) for b in range(40) for _ in range(rng.randint(1, 6))]
     lines += [(100, 0), (101, 0), (102, 0)]
+    lines += [(b, i) for b in range(200, 212) for i in range(9)] + [(205, 3)]  # copies
     stored = spark.createDataFrame(lines, "basket_id long, item long")
     asked = lines if same else [(q, i) for q, i in lines if q % 2] + [(500, 999)]
     queries = spark.createDataFrame(asked, "query_id long, item long")
