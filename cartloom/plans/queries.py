@@ -365,8 +365,7 @@ def nearest_basket(spark, d):
 def _trained_on_history(spark, d):
     """History lines, held-out lines, and the similarity of the history only."""
     history, held_out = b.history_and_holdout(spark, d)
-    sims = settle(cosine.item_cosine(history, "basket_id", "item"), "similarity")
-    return history, held_out, sims
+    return history, held_out, cosine.item_cosine(history, "basket_id", "item")
 
 
 @registered
