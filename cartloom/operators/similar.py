@@ -15,7 +15,12 @@ def has_code(code: Column) -> Column:
     return F.coalesce(F.length(code) > 0, F.lit(False))
 
 
-def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: int | None = None) -> DataFrame:
+# A limit is one number for the job, or the name of a column of the queries;
+# None, NULL and 0 mean no limit.
+Limit = int | str | None
+
+
+def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: Limit = None) -> DataFrame:
     """``id, similar_id, score``: products whose code agrees up to the last character.
 
     With a limit the siblings are the first ones by id, the query left out.
@@ -25,7 +30,14 @@ def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: int | None
     coded = catalogue.where(has_code(F.col("atx"))).select(
         "id", text.without_last(F.col("atx")).alias("stem")
     )
-    asked = queries.select("id").distinct().join(coded, "id")
+    if isinstance(limit, str):
+        own_limit = F.col(limit).cast("int")
+        rest = queries.where(F.coalesce(own_limit, F.lit(0)) <= 0)
+        open_ended = similar_by_code(rest, catalogue)
+        queries = queries.where(own_limit > 0).withColumn("_limit", own_limit)
+    else:
+        queries = queries.withColumn("_limit", F.lit(limit or 0))
+    asked = queries.select("id", "_limit").distinct().join(coded, "id")
     siblings = coded.select(F.col("id").alias("similar_id"), "stem")
     score = F.lit(CODE_SCORE).alias("score")
     if not limit:
@@ -33,12 +45,14 @@ def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: int | None
             "id", "similar_id", score
         )
     in_group = Window.partitionBy("stem").orderBy("similar_id")
-    heads = siblings.withColumn("_r", F.row_number().over(in_group)).where(F.col("_r") <= limit + 1)
+    most = limit if isinstance(limit, int) else queries.agg(F.coalesce(F.max("_limit"), F.lit(0))).first()[0]
+    heads = siblings.withColumn("_r", F.row_number().over(in_group)).where(F.col("_r") <= most + 1)
     lists = heads.groupBy("stem").agg(F.array_sort(F.collect_list("similar_id")).alias("ids"))
     own = F.filter("ids", lambda x: x != F.col("id"))
-    return asked.join(lists, "stem").select(
-        "id", F.explode(F.slice(own, 1, limit)).alias("similar_id"), score
+    first = asked.join(lists, "stem").select(
+        "id", F.explode(F.slice(own, F.lit(1), F.col("_limit"))).alias("similar_id"), score
     )
+    return first.unionByName(open_ended) if isinstance(limit, str) else first
 
 
 def form_candidates(asked: DataFrame, catalogue: DataFrame, form_map: DataFrame) -> DataFrame:
@@ -121,16 +135,19 @@ def similar_fuzzy(
     catalogue: DataFrame,
     form_map: DataFrame,
     cutoff: int = 80,
-    limit: int | None = None,
+    limit: Limit = None,
 ) -> DataFrame:
     """``id, similar_id, score, rnk`` for query products without a code (score 0-100)."""
     asked = asked_products(queries, catalogue)
     found = _matched_names(asked, catalogue, form_map, cutoff).join(_first_rows(catalogue), "found_name")
     rows = asked.join(found, ["asked_name", "own_name"]).where(F.col("id") != F.col("similar_id"))
-    return diversify(rows.select("id", "similar_id", "score", "company"), limit).drop("company")
+    matches = rows.select("id", "similar_id", "score", "company")
+    if isinstance(limit, str):
+        matches = matches.join(queries.select("id", limit).distinct(), "id")
+    return diversify(matches, limit).select("id", "similar_id", "score", "rnk")
 
 
-def diversify(matches: DataFrame, limit: int | None = None) -> DataFrame:
+def diversify(matches: DataFrame, limit: Limit = None) -> DataFrame:
     """Rank the matches of each query; with a limit, spread them over companies.
 
     With more matches than the limit, a company may place
@@ -145,9 +162,11 @@ def diversify(matches: DataFrame, limit: int | None = None) -> DataFrame:
     totals = matches.groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct(company).alias("_companies")
     )
-    share = F.ceil(F.lit(limit) / F.col("_companies"))
+    bound = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    bound = F.when(bound > 0, bound)
+    share = F.ceil(bound / F.col("_companies"))
     place = F.row_number().over(Window.partitionBy("id", "company").orderBy(*by_score))
-    spread = (F.col("_n") > limit) & (F.col("_share") > 1)
+    spread = F.coalesce((F.col("_n") > bound) & (F.col("_share") > 1), F.lit(False))
     first = F.when(~spread | (F.col("_place") <= F.col("_share")), 0).otherwise(1)
     return (
         matches.withColumn("_place", place)
@@ -155,7 +174,7 @@ def diversify(matches: DataFrame, limit: int | None = None) -> DataFrame:
         .withColumn("_share", share)
         .withColumn("_late", first)
         .withColumn("rnk", F.row_number().over(per_query.orderBy("_late", *by_score)))
-        .where(F.col("rnk") <= limit)
+        .where(bound.isNull() | (F.col("rnk") <= bound))
         .drop("_place", "_n", "_companies", "_share", "_late")
     )
 
@@ -165,12 +184,12 @@ def similar_products(
     catalogue: DataFrame,
     form_map: DataFrame,
     cutoff: int = 80,
-    limit: int | None = None,
+    limit: Limit = None,
 ) -> DataFrame:
     """``id, similar_id, name, score``: by code if the product has one, else by name.
 
-    Unknown ids give no row; a limit of None or 0 means no limit. Codes found
-    elsewhere are joined to the catalogue first (``catalog.enrich_codes``).
+    Unknown ids give no row. Codes found elsewhere are joined to the catalogue
+    first (``catalog.enrich_codes``).
     """
     by_code = similar_by_code(queries, catalogue, limit)
     by_name = similar_fuzzy(queries, catalogue, form_map, cutoff, limit).select(

@@ -77,6 +77,12 @@ def test_diversify(spark):
     assert order(9) == [10, 11, 12, 13, 14]
 
 
+def test_limits_per_request(spark, shelf, forms):
+    asked = spark.createDataFrame([(1, 1), (2, None), (4, 0), (5, 2), (6, None), (7, 3)], "id long, n int")
+    got = answers(similar.similar_products(asked, shelf, forms, 80, "n"))
+    assert got == {1: [2], 2: [1, 4], 4: [1, 2], 5: [8, 9], 6: [5, 7, 8, 9]}
+
+
 def test_category_path(spark):
     cats = spark.createDataFrame([("l", "Leaf", "m"), ("m", "Mid", "t"), ("t", "Top", None)], "id string, name string, parentId string")
     goods = spark.createDataFrame(
