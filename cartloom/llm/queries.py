@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, quality
+from cartloom.llm import bpe, decontaminate, fm_dedup, quality, suffix_dedup
 from cartloom.llm.tables import table
 
 
@@ -35,14 +35,27 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.with_verdict(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = fm_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_cascade, op2_bpe, op6_decontamination)
+    f.__name__: f for f in (op1_quality_cascade, op2_bpe, op3_suffix_dedup, op6_decontamination, op10_fm_dedup)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
-SQL: dict[str, str] = {"op1_quality_cascade": quality.SQL, "op6_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op1_quality_cascade": quality.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op6_decontamination": decontaminate.SQL,
+    "op10_fm_dedup": fm_dedup.SQL,
+}
