@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, fm_dedup, quality, suffix_dedup
+from cartloom.llm import bpe, decontaminate, fm_dedup, pii, quality, suffix_dedup
 from cartloom.llm.tables import table
 
 
@@ -40,6 +40,12 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.with_counts(pii.find(table(spark, folder, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+                        pii.written(F.col("spans")).alias("spans"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.with_verdict(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,7 +57,7 @@ def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_cascade, op2_bpe, op3_suffix_dedup, op6_decontamination, op10_fm_dedup)
+    f.__name__: f for f in (op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op6_decontamination, op10_fm_dedup)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
