@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, fm_dedup, pii, quality, suffix_dedup
-from cartloom.llm.tables import table
+from cartloom.llm import bpe, decontaminate, fm_dedup, near_dups, pii, quality, suffix_dedup, toxicity
+from cartloom.llm.tables import held_out, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,18 +46,30 @@ def op4_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
                         pii.written(F.col("spans")).alias("spans"))
 
 
+def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.classes(table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.with_verdict(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = fm_dedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op6_decontamination, op10_fm_dedup)
+    f.__name__: f for f in (
+        op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op5_order_minhash, op6_decontamination,
+        op9_toxicity, op10_fm_dedup)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
