@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, fm_dedup, near_dups, pii, quality, suffix_dedup, toxicity
+from cartloom.llm import bpe, decontaminate, fm_dedup, html_text, language, near_dups, pii, quality, suffix_dedup, toxicity
 from cartloom.llm.tables import held_out, table
 
 
@@ -55,6 +55,20 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.with_verdict(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    found = html_text.main_text(keyed, html_text.learn(pages), key="page")
+    # The url comes along in the key, so that rows that share an id keep their own.
+    return found.select("page.page_id", "page.url", "text", "n_chars")
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    predicted = language.predict(docs, language.fit(docs))
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -69,7 +83,7 @@ def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op5_order_minhash, op6_decontamination,
-        op9_toxicity, op10_fm_dedup)
+        op7_main_text, op8_language, op9_toxicity, op10_fm_dedup)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
