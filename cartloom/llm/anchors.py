@@ -275,7 +275,27 @@ def shared_anchors(packs: DataFrame, unit: Unit, slices: int) -> DataFrame:
     return sent.groupBy("slice").applyInArrow(answer, "pack long, slice int, bits binary")
 
 
-SEGMENTS = "shard int, pack long, segs array<binary>, occ_seg array<int>, occ_text array<int>, occ_at array<int>, occ_id array<long>"
+SEGMENTS = "shard int, pack long, blob binary"
+
+
+def _packed(segs: list[bytes], seg: list[int], text: list[int], at: list[int], ids: list[int]) -> bytes:
+    """Segments and their places (segment, text of the pack, first symbol, smallest id) as one compressed message."""
+    row = pa.record_batch([pa.array([v], t) for v, t in zip((segs, seg, text, at, ids), SENT.types, strict=True)], schema=SENT)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SENT) as out:
+        out.write_batch(row)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob)
+    with pa.ipc.open_stream(raw) as source:
+        row = source.read_next_batch()
+    return (row.column(0).values.to_pylist(), *(row.column(i).values.to_numpy().astype(np.int64) for i in range(1, 5)))
+
+
+SENT = pa.schema([("segs", pa.list_(pa.binary())), ("seg", pa.list_(pa.int32())), ("text", pa.list_(pa.int32())),
+                  ("at", pa.list_(pa.int32())), ("id", pa.list_(pa.int64()))])
 
 
 def segments(packs: DataFrame, shared: DataFrame, unit: Unit, slices: int, shards: int) -> DataFrame:
@@ -315,9 +335,7 @@ def segments(packs: DataFrame, shared: DataFrame, unit: Unit, slices: int, shard
                     into[4].append(t.least)
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(list(gathered), pa.int32()), "pack": pa.array([row["pack"]] * len(gathered), pa.int64()),
-                "segs": pa.array([list(g[0]) for g in gathered.values()], pa.list_(pa.binary())),
-                **{name: pa.array([g[i] for g in gathered.values()], pa.list_(kind)) for i, (name, kind) in enumerate(
-                    [("occ_seg", pa.int32()), ("occ_text", pa.int32()), ("occ_at", pa.int32()), ("occ_id", pa.int64())], 1)}})
+                "blob": pa.array([_packed(list(g[0]), *g[1:]) for g in gathered.values()], pa.binary())})
 
     flags = shared.groupBy("pack").agg(F.collect_list(F.struct("slice", "bits")).alias("flags"))
     return packs.join(flags.hint("merge"), "pack").select("pack", "ids", "lengths", "blob", "flags").mapInArrow(cut, SEGMENTS)
@@ -340,12 +358,13 @@ def solve(sent: DataFrame, unit: Unit, shards: int, solver: Solver) -> DataFrame
         number: dict[bytes, int] = {}
         seg, txt, at, ids, src = [], [], [], [], []
         for which, row in enumerate(held):
-            local = np.array([number.setdefault(s, len(number)) for s in row["segs"]], dtype=np.int64)
-            seg.append(local[np.array(row["occ_seg"], dtype=np.int64)])
-            txt.append(np.array(row["occ_text"], dtype=np.int64))
-            at.append(np.array(row["occ_at"], dtype=np.int64))
-            ids.append(np.array(row["occ_id"], dtype=np.int64))
-            src.append(np.full(len(row["occ_seg"]), which))
+            segs, occ, text, place, own = _unpacked(row["blob"])
+            local = np.array([number.setdefault(s, len(number)) for s in segs], dtype=np.int64)
+            seg.append(local[occ])
+            txt.append(text)
+            at.append(place)
+            ids.append(own)
+            src.append(np.full(len(occ), which))
         seg, txt, at, ids, src = map(np.concatenate, (seg, txt, at, ids, src))
         least = np.full(len(number), NO_ID, dtype=np.int64)
         np.minimum.at(least, seg, ids)
