@@ -15,6 +15,7 @@ FORM_WORDS = [
     "суппозитории ректальные", "эмульсия",
 ]
 
+# Column names of the export.
 EXPORT_HEADER = [
     "ga:productSku", "ga:productName", "ga:productBrand", "ga:productCategoryHierarchy",
 ]
@@ -97,16 +98,16 @@ def enrich_codes(
         "_name", F.when(fits, F.coalesce("tradeName", "name"))
     )
     names = asked.where(F.col("_name").isNotNull()).select(F.col("_name").alias("name")).distinct()
-    codes = dictionary.select(F.col("name").alias("key"), F.col("atx").alias("_dict"))
+    # One code per name, the least, or a name listed twice would double its products.
+    codes = dictionary.groupBy(F.col("name").alias("key")).agg(F.min("atx").alias("_dict"))
     matched = best_dictionary_match(names, dictionary, cutoff, scorer).join(codes, "key").select(
         F.col("name").alias("_name"), "_dict"
     )
     out = asked.join(matched, "_name", "left")
     found = F.col("_dict")
     if registry is not None:
-        out = out.join(
-            registry.select(F.col("name").alias("_name"), F.col("atx").alias("_reg")), "_name", "left"
-        )
+        listed = registry.groupBy(F.col("name").alias("_name")).agg(F.min("atx").alias("_reg"))
+        out = out.join(listed, "_name", "left")
         short = F.expr(f"{text.word_count('_name')} < 5 AND length(_name) > 4")
         found = F.coalesce(found, F.when(short, F.col("_reg")))
         return out.withColumn("atx", found).drop("_name", "_dict", "_reg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.operators.nearest import recommend_for_baskets
+from cartloom.operators.nearest import nearest_and_served, recommend_for_baskets
 
 
 def _ends(lines: DataFrame, order: list[str]) -> DataFrame:
@@ -60,10 +60,12 @@ def rank_positions(
         .where(F.struct(*order) > F.col("first_place"))
         .select("basket_id", F.col("item").alias("target"))
     )
-    offered = recommend_for_baskets(first, stored, similarity, None).select(
-        F.col("query_id").alias("basket_id"), F.col("item").alias("target"), (F.col("rnk") - 1).alias("pos")
-    )
-    return targets.join(offered, ["basket_id", "target"])
+    # The served rows are those of the nearest baskets only; targets look them up by (basket, item),
+    # so no recommendation is written out for a query that doesn't want it.
+    near, served = nearest_and_served(first, stored, similarity, None)
+    wanted = targets.join(near.select(F.col("query_id").alias("basket_id"), F.col("basket_id").alias("_near")), "basket_id")
+    offered = served.select(F.col("basket_id").alias("_near"), F.col("item").alias("target"), (F.col("rnk") - 1).alias("pos"))
+    return wanted.join(offered, ["_near", "target"]).select("basket_id", "target", "pos")
 
 
 def rule_hits(baskets: DataFrame, rules: DataFrame, order: list[str]) -> DataFrame:

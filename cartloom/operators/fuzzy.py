@@ -1,13 +1,18 @@
-"""Fuzzy name joins that are exact and never compare all pairs of a block.
+"""Fuzzy name joins that are exact.
 
 For a score of ``100 * 2 * LCS / (len_a + len_b)`` at or above a cutoff, at
 most ``(1 - c)(len_a + len_b)`` single-character edits separate both strings.
 Cut the words of the longer string into one piece more than that: at least
 one piece survives untouched, so it is a substring of a word of the shorter
-string. Candidates therefore come from an equi-join on pieces; lengths and
-64-bit character masks filter inside the join, before a row is emitted. The
-argument doesn't depend on the order of words, which is what the token-based
-scores need.
+string. At high cutoffs candidates therefore come from an equi-join on pieces;
+lengths and 64-bit character masks filter inside the join, before a row is
+emitted. The argument doesn't depend on the order of words, which is what the
+token-based scores need.
+
+At lower cutoffs the pieces would be one or two letters long, which nearly all
+names share. There the names of a block are cut into even tiles by length band
+and hash; tiles whose lengths can match meet once, under the same filter. So a
+pair is looked at once at most, but the work grows with the square of a block.
 
 The token-set score has a second way to be high: the common words alone cover
 most of one side. Such pairs share a word of the part of that side that the
@@ -23,8 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import text
+from cartloom.session import settle
 
 NO_BLOCK = "_all"
+# Below this cutoff (as a ratio) pieces are too short to tell names apart.
+TILES_BELOW = 0.85
+TILE_NAMES = 2000
+# From this length on, a window with one character less still rounds up to a score of 100.
+ROUNDS_UP_FROM = 200
 KEYED = ["block", "key", "words", "len", "mask"]
 PAIR = ["l_key", "l_words", "r_key", "r_words"]
 
@@ -95,8 +106,42 @@ def _with_prefix(df: DataFrame, prefix: str, *extra: str) -> DataFrame:
     return df.selectExpr("block", *[f"{c} AS {prefix}{c}" for c in KEYED[1:]], *extra)
 
 
+def _tiled(left: DataFrame, right: DataFrame, condition: str, width: float | None, names: int = TILE_NAMES) -> DataFrame:
+    """Pairs of one block under a condition, each looked at once at most.
+
+    ``width`` is the largest difference of the logarithms of both lengths; it
+    makes length bands, of which only neighbours meet. Tiles of about
+    ``names`` names spread a band evenly on both sides.
+    """
+    band = "0" if width is None else f"cast(floor(ln(len) / {width + 1e-9}D) AS int)"
+    near = "array({0})" if width is None else "array({0} - 1, {0}, {0} + 1)"
+    banded = [side.selectExpr("*", f"{band} AS band") for side in (left, right)]
+    tiles = [
+        side.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / names).cast("int").alias("tiles"))
+        for side in banded
+    ]
+
+    def spread(n: int, own: str, other: str) -> DataFrame:
+        here = tiles[n].selectExpr("block", f"band AS {own}band", "tiles AS own_tiles")
+        there = tiles[1 - n].selectExpr("block", f"band AS {other}band", "tiles AS other_tiles")
+        return (
+            _with_prefix(banded[n], own, f"band AS {own}band")
+            .join(here, ["block", f"{own}band"])
+            .selectExpr("*", f"pmod(xxhash64({own}key), own_tiles) AS {own}tile", f"explode({near.format(own + 'band')}) AS {other}band")
+            .join(there, ["block", f"{other}band"])
+            .selectExpr("*", f"explode(sequence(0L, other_tiles - 1L)) AS {other}tile")
+            .drop("own_tiles", "other_tiles")
+        )
+
+    keys = ["block", "l_band", "r_band", "l_tile", "r_tile"]
+    return spread(0, "l_", "r_").join(spread(1, "r_", "l_").hint("merge"), keys).where(condition).select(*PAIR)
+
+
 def _close_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
     """Pairs of keys that can reach the ratio: ``l_key, r_key`` (and their words)."""
+    if c < TILES_BELOW:
+        most = text.common_at_most("l_len", "l_mask", "r_len", "r_mask")
+        return _tiled(left, right, f"2 * {most} >= {c}D * (l_len + r_len)", math.log((2 - c) / c))
     longest = 2 * _longest_piece(c) - 1
 
     def one_way(longer: DataFrame, lp: str, shorter: DataFrame, sp: str, compare: str) -> DataFrame:
@@ -157,8 +202,8 @@ def _back_to_names(scored: DataFrame, left: DataFrame, right: DataFrame, by_word
 
 
 def _token_set_keys(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
-    lk = _prepare(left, "left_name", True)
-    rk = _prepare(right, "right_name", True)
+    lk = settle(_prepare(left, "left_name", True), "left-keys")
+    rk = settle(_prepare(right, "right_name", True), "right-keys")
     return (
         _close_candidates(lk, rk, _floor_of(cutoff))
         .unionByName(_covering_candidates(lk, rk, cutoff))
@@ -217,6 +262,7 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
         )
     if cutoff == 90:
         found = found.unionByName(_contained(lk, "l_", rk, "r_")).unionByName(_contained(rk, "r_", lk, "l_"))
+        found = found.unionByName(_nearly_contained(lk, rk))
     scored = (
         found.distinct()
         .withColumn("score", text.weighted_ratio("l_key", "r_key"))
@@ -225,6 +271,18 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
     return _back_to_names(scored, left, right, False)
 
 
+def _nearly_contained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Long pairs whose partial score may round up to 100 without containment.
+
+    That takes a window missing at most one character in 200.
+    """
+    long_ = [side.where(f"len >= {ROUNDS_UP_FROM}") for side in (left, right)]
+    most = text.common_at_most("l_len", "l_mask", "r_len", "r_mask")
+    shorter, longer = "least(l_len, r_len)", "greatest(l_len, r_len)"
+    ratio = f"{longer} >= {text.PARTIAL_FROM}D * {shorter} AND {longer} <= {text.LONG_FROM} * {shorter}"
+    return _tiled(*long_, f"{ratio} AND {most} >= 0.995D * {shorter} - 1e-6D", None).select("l_key", "r_key")
+
+
 def _contained(short: DataFrame, sp: str, long_: DataFrame, lp: str) -> DataFrame:
     """Pairs where one key is a substring of the other: its first word then lies in a word."""
     heads = short.selectExpr("block", "get(words, 0) AS piece", f"key AS {sp}key")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.ranking import ranked
 
+# Splits of an itemset are numbered in steps of two to this.
+SPLIT_BITS = 12
+
 
 def transactions(
     lines: DataFrame, basket: str, item: str, min_support: float
@@ -59,12 +60,23 @@ def single_rules(model: FPGrowthModel) -> DataFrame:
 def _splits(itemsets: DataFrame) -> DataFrame:
     """Every way to cut an itemset into two non-empty sides.
 
-    Each side is itself a frequent itemset, so the number of splits is bounded
-    by the size of the itemset table's own lattice.
+    An itemset of k items has ``2**k - 2`` splits. The high and low bits of
+    their numbers are exploded one after the other, the high ones dealt out in
+    between, so that a long itemset never becomes one long array.
     """
     size = F.size("items")
-    ways = F.sequence(F.lit(1).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), size) - 2)
-    cut = itemsets.where(size >= 2).select("items", "freq", F.explode(ways).alias("_way"))
+    one = F.lit(1).cast("bigint")
+    power = lambda bits: F.call_function("shiftleft", one, bits)
+    low = F.least(size, F.lit(SPLIT_BITS))
+    high = itemsets.where(size >= 2).select(
+        "items", "freq", F.explode(F.sequence(one - 1, power(size - low) - 1)).alias("_high")
+    )
+    if itemsets.where(size > SPLIT_BITS).limit(1).count():
+        high = high.repartition("items", "_high")
+    numbers = F.sequence(one - 1, power(low) - 1)
+    cut = high.select("items", "freq", "_high", F.explode(numbers).alias("_low")).select(
+        "items", "freq", (F.col("_high") * power(low) + F.col("_low")).alias("_way")
+    ).where((F.col("_way") > 0) & (F.col("_way") < power(size) - 1))
 
     def chosen(bit: int):
         return F.filter(
@@ -128,18 +140,14 @@ def strict_rules(
     )
 
 
-def min_count(min_support: float, n_baskets: int) -> int:
-    return math.ceil(min_support * n_baskets)
-
-
-def sort_rules(rules: DataFrame) -> DataFrame:
-    return rules.orderBy(F.desc("confidence"), "antecedent", "consequent")
-
-
 def rules_for_products(rules: DataFrame, products: DataFrame, product: str = "product") -> DataFrame:
-    """For a table of products, the rules that have the product on the left."""
+    """For a table of products, the rules that have the product on the left, by falling confidence.
+
+    ``rule_rank`` orders the rules of a product; ties go by antecedent, then consequent.
+    """
     by_item = rules.select("*", F.explode("antecedent").alias(product))
-    return by_item.join(products.select(product).distinct(), product)
+    found = by_item.join(products.select(product).distinct(), product)
+    return ranked(found, [product], [F.desc("confidence"), F.asc("antecedent"), F.asc("consequent")], "rule_rank")
 
 
 def rules_for_baskets(

@@ -135,11 +135,11 @@ def _with_hot_items(probes: DataFrame, held: DataFrame, hot: DataFrame) -> DataF
     return through_plain.unionByName(through_hot.select("kid", "sid", "size", "overlap"))
 
 
-def recommend_for_baskets(
+def nearest_and_served(
     queries: DataFrame, stored: DataFrame, similarity: DataFrame, k: int | None = 10,
     same_ids: bool = False, max_postings: int = 10_000,
-) -> DataFrame:
-    """``query_id, item, score, rnk``: what the nearest stored basket gets recommended.
+) -> tuple[DataFrame, DataFrame]:
+    """``query_id, basket_id`` of the nearest baskets, and what each of these gets recommended.
 
     Many queries share a nearest basket, so each such basket is served once.
     """
@@ -148,9 +148,17 @@ def recommend_for_baskets(
         "nearest",
     )
     chosen = near.select("basket_id").distinct()
-    served = recommend_items(
+    return near, recommend_items(
         stored.join(chosen, "basket_id", "left_semi"), similarity, "basket_id", "item", k
     )
+
+
+def recommend_for_baskets(
+    queries: DataFrame, stored: DataFrame, similarity: DataFrame, k: int | None = 10,
+    same_ids: bool = False, max_postings: int = 10_000,
+) -> DataFrame:
+    """``query_id, item, score, rnk``: what the nearest stored basket gets recommended."""
+    near, served = nearest_and_served(queries, stored, similarity, k, same_ids, max_postings)
     return near.join(served, "basket_id").drop("basket_id")
 
 
@@ -164,28 +172,24 @@ def recommend_with_fallback(
     last_trial: bool = False,
     max_postings: int = 10_000,
 ) -> DataFrame:
-    """``query_id, item, score, source`` for every request.
+    """``query_id, item, score, source, rnk`` for every request.
 
     ``requests`` lists all query ids, ``queries`` their items. An empty basket
     gets the popular items with score 0. A basket without any stored
     neighbour gets nothing, or the popular items on the last trial.
     ``popular`` is a short top list (item, rnk).
     """
-    near = settle(nearest_basket(queries, stored, max_postings), "nearest")
-    chosen = near.select("basket_id").distinct()
-    served = recommend_items(
-        stored.join(chosen, "basket_id", "left_semi"), similarity, "basket_id", "item", k
-    )
-    answered = near.select("query_id", "basket_id").join(served, "basket_id").select(
-        "query_id", "item", "score", F.lit("basket").alias("source")
+    near, served = nearest_and_served(queries, stored, similarity, k, max_postings=max_postings)
+    answered = near.join(served, "basket_id").select(
+        "query_id", "item", "score", F.lit("basket").alias("source"), F.col("rnk").cast("bigint").alias("rnk")
     )
     if last_trial:
         left_over = requests.join(near, "query_id", "left_anti")
     else:
         left_over = requests.join(queries.select("query_id"), "query_id", "left_anti")
-    short_list = popular.agg(F.collect_list("item").alias("xs")).scalar()
-    general = left_over.select("query_id", F.explode(short_list).alias("item")).select(
-        "query_id", "item", F.lit(0.0).alias("score"), F.lit("popular").alias("source")
+    short_list = popular.agg(F.array_sort(F.collect_list(F.struct(F.col("rnk").cast("bigint").alias("rnk"), "item")))).scalar()
+    general = left_over.select("query_id", F.explode(short_list).alias("p")).select(
+        "query_id", "p.item", F.lit(0.0).alias("score"), F.lit("popular").alias("source"), "p.rnk"
     )
     return answered.unionByName(general)
 

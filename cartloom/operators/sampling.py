@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.operators.ranking import ranked
+from cartloom.session import settle
+
+# Two multipliers and a prime that spread the draws.
+FIRST, SECOND, PRIME = 48_271, 69_621, (1 << 31) - 1
+
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` random rows without replacement (a top-k by a seeded random number)."""
@@ -13,3 +19,21 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+
+
+def draw(df: DataFrame, order: list[str], n: int, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` draws with replacement: the rows, and ``draw`` from 0 to n - 1.
+
+    Draw j takes the row whose place by ``order`` is a hash of j and the seed
+    modulo the number of rows, so the same draws come out anywhere. An empty
+    table gives no draws.
+    """
+    placed = settle(ranked(df, [], list(order), "_place"), "placed")
+    total = placed.count()
+    if not total:
+        return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
+    # The square between two congruences breaks up their even steps.
+    spread = (F.col("draw") + seed + 1) * FIRST % PRIME
+    number = spread * spread % PRIME * SECOND % PRIME % total
+    wanted = df.sparkSession.range(n).select(F.col("id").alias("draw"), (number + 1).cast("bigint").alias("_place"))
+    return wanted.join(placed, "_place").drop("_place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions import text
 from cartloom.operators import fuzzy
+from cartloom.session import settle
 
 CODE_SCORE = 1.0
 
@@ -20,39 +21,52 @@ def has_code(code: Column) -> Column:
 Limit = int | str | None
 
 
-def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: Limit = None) -> DataFrame:
+def _requests(queries: DataFrame, limit: Limit, request: str) -> DataFrame:
+    """``_req, id, _limit`` (0: none), one row per request.
+
+    Requests are told apart by the column ``request``. If that is the id, an
+    id asked several times is one request with the largest of its limits.
+    """
+    bound = F.col(limit).cast("int") if isinstance(limit, str) else F.lit(limit)
+    rows = queries.select(F.col(request).alias("_req"), "id", F.coalesce(bound, F.lit(0)).alias("_limit"))
+    open_ended = F.max((F.col("_limit") <= 0).cast("int")) == 1
+    return rows.groupBy("_req", "id").agg(F.when(open_ended, 0).otherwise(F.max("_limit")).alias("_limit"))
+
+
+def _named_request(found: DataFrame, request: str) -> DataFrame:
+    return found.drop("_req") if request == "id" else found.withColumnRenamed("_req", request)
+
+
+def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: Limit = None, request: str = "id") -> DataFrame:
     """``id, similar_id, score``: products whose code agrees up to the last character.
 
     With a limit the siblings are the first ones by id, the query left out.
-    Then only ``limit + 1`` rows of each code group can ever be an answer, so
-    a huge group is cut before the join instead of paired with itself.
+    Then only the first rows of each code group can be an answer, one more
+    than the largest limit asked of that group, so a huge group is cut before
+    the join instead of paired with itself. ``request`` names a column of the
+    queries that tells requests for the same id apart; it is then in the answer.
     """
     coded = catalogue.where(has_code(F.col("atx"))).select(
         "id", text.without_last(F.col("atx")).alias("stem")
     )
-    if isinstance(limit, str):
-        own_limit = F.col(limit).cast("int")
-        rest = queries.where(F.coalesce(own_limit, F.lit(0)) <= 0)
-        open_ended = similar_by_code(rest, catalogue)
-        queries = queries.where(own_limit > 0).withColumn("_limit", own_limit)
-    else:
-        queries = queries.withColumn("_limit", F.lit(limit or 0))
-    asked = queries.select("id", "_limit").distinct().join(coded, "id")
+    asked = _requests(queries, limit, request).join(coded, "id")
     siblings = coded.select(F.col("id").alias("similar_id"), "stem")
     score = F.lit(CODE_SCORE).alias("score")
+    unlimited = asked.where("_limit <= 0").join(siblings, "stem").where("id <> similar_id").select(
+        "_req", "id", "similar_id", score
+    )
     if not limit:
-        return asked.join(siblings, "stem").where(F.col("id") != F.col("similar_id")).select(
-            "id", "similar_id", score
-        )
+        return _named_request(unlimited, request)
+    limited = asked.where("_limit > 0")
+    most = limited.groupBy("stem").agg(F.max("_limit").alias("_most"))
     in_group = Window.partitionBy("stem").orderBy("similar_id")
-    most = limit if isinstance(limit, int) else queries.agg(F.coalesce(F.max("_limit"), F.lit(0))).first()[0]
-    heads = siblings.withColumn("_r", F.row_number().over(in_group)).where(F.col("_r") <= most + 1)
+    heads = siblings.join(most, "stem").withColumn("_r", F.row_number().over(in_group)).where("_r <= _most + 1")
     lists = heads.groupBy("stem").agg(F.array_sort(F.collect_list("similar_id")).alias("ids"))
     own = F.filter("ids", lambda x: x != F.col("id"))
-    first = asked.join(lists, "stem").select(
-        "id", F.explode(F.slice(own, F.lit(1), F.col("_limit"))).alias("similar_id"), score
+    first = limited.join(lists, "stem").select(
+        "_req", "id", F.explode(F.slice(own, F.lit(1), F.col("_limit"))).alias("similar_id"), score
     )
-    return first.unionByName(open_ended) if isinstance(limit, str) else first
+    return _named_request(first.unionByName(unlimited), request)
 
 
 def form_candidates(asked: DataFrame, catalogue: DataFrame, form_map: DataFrame) -> DataFrame:
@@ -110,7 +124,9 @@ def _matched_names(
         .select(F.col("candidate_form").alias("block"), F.col("own_name").alias("left_name"))
         .distinct()
     )
-    scored = fuzzy.token_set_pairs(left, shelf, cutoff)
+    # Both sides feed several candidate routes: each is built once.
+    shelf, forms = settle(shelf, "shelf"), settle(forms, "forms")
+    scored = settle(fuzzy.token_set_pairs(settle(left, "asked-names"), shelf, cutoff), "matched-names")
     # Sets of forms: their number is the size of the form vocabulary at most.
     reachable = forms.groupBy("asked_name").agg(F.collect_set("candidate_form").alias("fs"))
     stocked = shelf.groupBy("right_name").agg(F.collect_set("block").alias("gs"))
@@ -136,46 +152,50 @@ def similar_fuzzy(
     form_map: DataFrame,
     cutoff: int = 80,
     limit: Limit = None,
+    request: str = "id",
 ) -> DataFrame:
-    """``id, similar_id, score, rnk`` for query products without a code (score 0-100)."""
-    asked = asked_products(queries, catalogue)
+    """``id, similar_id, score, rnk`` for query products without a code (score 0-100).
+
+    Matches are found once per id, and ranked for each request.
+    """
+    asked = settle(asked_products(queries, catalogue), "asked-products")
     found = _matched_names(asked, catalogue, form_map, cutoff).join(_first_rows(catalogue), "found_name")
     rows = asked.join(found, ["asked_name", "own_name"]).where(F.col("id") != F.col("similar_id"))
-    matches = rows.select("id", "similar_id", "score", "company")
-    if isinstance(limit, str):
-        matches = matches.join(queries.select("id", limit).distinct(), "id")
-    return diversify(matches, limit).select("id", "similar_id", "score", "rnk")
+    matches = rows.select("id", "similar_id", "score", "company").join(_requests(queries, limit, request), "id")
+    ranked = diversify(matches, "_limit" if limit else None, "_req")
+    return _named_request(ranked.select("_req", "id", "similar_id", "score", "rnk"), request)
 
 
-def diversify(matches: DataFrame, limit: Limit = None) -> DataFrame:
+def diversify(matches: DataFrame, limit: Limit = None, key: str = "id") -> DataFrame:
     """Rank the matches of each query; with a limit, spread them over companies.
 
     With more matches than the limit, a company may place
     ``ceil(limit / companies)`` rows before others fill up by score; at a
-    share of one or less it's the plain best ``limit`` rows.
+    share of one or less it's the plain best ``limit`` rows. A missing company
+    is the company ''.
     """
     by_score = [F.desc("score"), F.asc("similar_id")]
-    per_query = Window.partitionBy("id")
+    per_query = Window.partitionBy(key)
     if not limit:
         return matches.withColumn("rnk", F.row_number().over(per_query.orderBy(*by_score)))
-    company = F.coalesce("company", F.lit(""))
-    totals = matches.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct(company).alias("_companies")
+    matches = matches.withColumn("_company", F.coalesce("company", F.lit("")))
+    totals = matches.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("_company").alias("_companies")
     )
     bound = F.col(limit) if isinstance(limit, str) else F.lit(limit)
     bound = F.when(bound > 0, bound)
     share = F.ceil(bound / F.col("_companies"))
-    place = F.row_number().over(Window.partitionBy("id", "company").orderBy(*by_score))
+    place = F.row_number().over(Window.partitionBy(key, "_company").orderBy(*by_score))
     spread = F.coalesce((F.col("_n") > bound) & (F.col("_share") > 1), F.lit(False))
     first = F.when(~spread | (F.col("_place") <= F.col("_share")), 0).otherwise(1)
     return (
         matches.withColumn("_place", place)
-        .join(totals, "id")
+        .join(totals, key)
         .withColumn("_share", share)
         .withColumn("_late", first)
         .withColumn("rnk", F.row_number().over(per_query.orderBy("_late", *by_score)))
         .where(bound.isNull() | (F.col("rnk") <= bound))
-        .drop("_place", "_n", "_companies", "_share", "_late")
+        .drop("_place", "_n", "_company", "_companies", "_share", "_late")
     )
 
 
@@ -185,19 +205,22 @@ def similar_products(
     form_map: DataFrame,
     cutoff: int = 80,
     limit: Limit = None,
+    request: str = "id",
 ) -> DataFrame:
     """``id, similar_id, name, score``: by code if the product has one, else by name.
 
     Unknown ids give no row. Codes found elsewhere are joined to the catalogue
-    first (``catalog.enrich_codes``).
+    first (``catalog.enrich_codes``). With ``request``, a column that tells
+    requests apart, the answer has that column too.
     """
-    by_code = similar_by_code(queries, catalogue, limit)
-    by_name = similar_fuzzy(queries, catalogue, form_map, cutoff, limit).select(
-        "id", "similar_id", (F.col("score") / 100).alias("score")
+    own = [] if request == "id" else [request]
+    by_code = similar_by_code(queries, catalogue, limit, request)
+    by_name = similar_fuzzy(queries, catalogue, form_map, cutoff, limit, request).select(
+        *own, "id", "similar_id", (F.col("score") / 100).alias("score")
     )
     names = catalogue.select(F.col("id").alias("similar_id"), F.col("normalized_name").alias("name"))
     return by_code.unionByName(by_name).join(names, "similar_id").select(
-        "id", "similar_id", "name", "score"
+        *own, "id", "similar_id", "name", "score"
     )
 
 
@@ -213,7 +236,7 @@ def similar_counts(catalogue: DataFrame, form_map: DataFrame, cutoff: int = 75)
     groups = coded.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
     by_code = coded.join(groups, "stem").select("id", (F.col("n") - 1).alias("n_similar"))
 
-    asked = asked_products(catalogue, catalogue)
+    asked = settle(asked_products(catalogue, catalogue), "asked-products")
     itself = F.max((F.col("found_name") == F.col("own_name")).cast("int")).alias("itself")
     counted = (
         _matched_names(asked, catalogue, form_map, cutoff)

@@ -6,6 +6,8 @@ with the jobs they check.
 
 from __future__ import annotations
 
+import re
+
 SUPPORT, CONFIDENCE = 0.005, 0.1
 PART_SUPPORT = 0.00015
 
@@ -61,25 +63,25 @@ held AS (SELECT * FROM dated WHERE held_out)"""
 
 def itemsets(pairs: str, support: float) -> str:
     """CTEs up to ``sets(items, freq)`` by self-joins, to size 4."""
-    return f"""pairs AS (SELECT DISTINCT basket_id, item FROM ({pairs})),
+    return f"""pairs AS MATERIALIZED (SELECT DISTINCT basket_id, item FROM ({pairs})),
 total AS (SELECT count(DISTINCT basket_id) AS n FROM pairs),
 least AS (SELECT ceil({support} * n) AS c FROM total),
 good AS (SELECT item FROM pairs GROUP BY 1 HAVING count(*) >= (SELECT c FROM least)),
-p AS (SELECT * FROM pairs WHERE item IN (SELECT item FROM good)),
+p AS MATERIALIZED (SELECT * FROM pairs WHERE item IN (SELECT item FROM good)),
 s1 AS (SELECT [item] AS items, count(*) AS freq FROM p GROUP BY item),
-s2 AS (SELECT [a.item, b.item] AS items, count(*) AS freq
+s2 AS MATERIALIZED (SELECT [a.item, b.item] AS items, count(*) AS freq
   FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.item < b.item
   GROUP BY a.item, b.item HAVING count(*) >= (SELECT c FROM least)),
-s3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS freq
+s3 AS MATERIALIZED (SELECT [a.item, b.item, c.item] AS items, count(*) AS freq
   FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.item < b.item
   JOIN p c ON a.basket_id = c.basket_id AND b.item < c.item
   GROUP BY a.item, b.item, c.item HAVING count(*) >= (SELECT c FROM least)),
-s4 AS (SELECT [a.item, b.item, c.item, d.item] AS items, count(*) AS freq
+s4 AS MATERIALIZED (SELECT [a.item, b.item, c.item, d.item] AS items, count(*) AS freq
   FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.item < b.item
   JOIN p c ON a.basket_id = c.basket_id AND b.item < c.item
   JOIN p d ON a.basket_id = d.basket_id AND c.item < d.item
   GROUP BY a.item, b.item, c.item, d.item HAVING count(*) >= (SELECT c FROM least)),
-sets AS (SELECT items, freq FROM s1 UNION ALL SELECT items, freq FROM s2
+sets AS MATERIALIZED (SELECT items, freq FROM s1 UNION ALL SELECT items, freq FROM s2
          UNION ALL SELECT items, freq FROM s3 UNION ALL SELECT items, freq FROM s4)"""
 
 
@@ -119,13 +121,13 @@ ONE_RIGHT = "len(consequent) = 1"
 
 def cosine(source: str, user: str) -> str:
     """CTEs up to ``sims(item_a, item_b, cosine)``, 64 per item."""
-    return f"""ui AS (SELECT DISTINCT {user} AS u, item AS i FROM {source}),
+    return f"""ui AS MATERIALIZED (SELECT DISTINCT {user} AS u, item AS i FROM {source}),
 ni AS (SELECT i, count(*) AS n FROM ui GROUP BY i),
 common AS (SELECT a.i AS item_a, b.i AS item_b, count(*) AS c
   FROM ui a JOIN ui b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2),
 cosines AS (SELECT item_a, item_b, c / sqrt(x.n::DOUBLE * y.n::DOUBLE) AS cosine
   FROM common JOIN ni x ON x.i = item_a JOIN ni y ON y.i = item_b),
-sims AS (SELECT * FROM cosines
+sims AS MATERIALIZED (SELECT * FROM cosines
   QUALIFY row_number() OVER (PARTITION BY item_a ORDER BY round(cosine, 12) DESC, item_b) <= 64)"""
 
 
@@ -149,10 +151,13 @@ held_items AS (SELECT DISTINCT basket_id, item FROM {stored}),
 basket_sizes AS (SELECT basket_id, count(*) AS size FROM {stored} GROUP BY 1),
 shared AS (SELECT query_id, basket_id, count(*) AS overlap
   FROM q JOIN held_items USING (item) WHERE {apart} GROUP BY 1, 2),
-near AS (SELECT * FROM shared JOIN basket_sizes USING (basket_id)
+near AS MATERIALIZED (SELECT * FROM shared JOIN basket_sizes USING (basket_id)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, size, basket_id) = 1)"""
 
 
+POPULAR = """popular AS (SELECT item, row_number() OVER (ORDER BY qty DESC, item) AS place FROM qty QUALIFY place <= 5)"""
+ANSWERED = """SELECT query_id, recs.item, round(score, 6) AS score, 'basket' AS source, rnk
+FROM near JOIN recs ON u = basket_id WHERE rnk <= 10"""
 TRAINED = f"{LINES},\n{HOLD_OUT},\n{cosine('history', 'basket_id')}"
 HISTORY_OWNED = "(SELECT DISTINCT basket_id AS u, item AS i FROM history WHERE basket_id IN (SELECT basket_id FROM near))"
 ENDS = """ends AS (SELECT basket_id, count(*) AS n,
@@ -226,6 +231,11 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY late, score DES
 chosen AS (SELECT * FROM placed WHERE rnk <= {limit})"""
 
 
+def again(ctes: str) -> str:
+    """The CTEs of ``spread`` under other names."""
+    return re.sub(r"\b(sized|companies|flagged|placed|chosen)\b", r"\1_again", ctes)
+
+
 BY_CODE = """coded AS (SELECT id, name, left(atx, length(atx) - 1) AS stem FROM cat WHERE atx <> ''),
 siblings AS (SELECT a.id, b.id AS similar_id, b.name,
     row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS place
@@ -250,9 +260,10 @@ CHECKS: dict[str, str] = {
     "catalog_csv_roundtrip": f'WITH {CATALOGUE} SELECT id, name AS normalized_name, form AS "medForm", atx FROM cat',
     "sales_tsv_roundtrip": 'SELECT l_orderkey AS receipt_number, l_partkey AS "goodsId", l_quantity AS quantity FROM lineitem',
     "rules_csv_roundtrip": f"WITH {rules(NUMBER_PAIRS)} SELECT {SIDES}, round(confidence, 6) AS confidence FROM rules",
-    "rules_as_json": f"WITH {rules(BRAND_PAIRS)} SELECT consequent[1] AS consequent, round(confidence * 1e6)::BIGINT AS confidence_x1e6 FROM rules WHERE {ONE_RIGHT}",
+    "rules_as_json": f"WITH {rules(BRAND_PAIRS)} SELECT {text('antecedent')} AS antecedent, consequent[1] AS consequent, round(confidence * 1e6)::BIGINT AS confidence_x1e6 FROM rules WHERE {ONE_RIGHT}",
     "model_roundtrip": f"WITH {rules(BRAND_PAIRS)} SELECT count(*) AS n_rules FROM rules WHERE {ONE_RIGHT}",
-    "orders_stream_ingest": "SELECT o_orderkey AS id FROM orders",
+    "orders_stream_ingest": f"""WITH {PHONES}, sizes AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT id, phone AS "clientTel", coalesce(n, 0) AS n_lines FROM bound LEFT JOIN sizes ON l_orderkey = id""",
     "phone_length_profile": f"WITH {PHONES} SELECT length(phone) AS len, count(*) AS n, min(phone) AS example FROM bound GROUP BY 1",
     "phone_digits": f"WITH {PHONES} SELECT id, digits FROM clients",
     "phone_hash": f"WITH {PHONES} SELECT id, tel_hashed FROM users",
@@ -291,7 +302,7 @@ SELECT basket_id AS receipt_number, item AS goods_id FROM lines WHERE basket_id
     "rules_single": f"WITH {rules(BRAND_PAIRS)} SELECT {SIDES}, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(support, 6) AS support FROM rules WHERE {ONE_RIGHT}",
     "rules_all_splits": f"WITH {rules(BRAND_PAIRS)} SELECT {SIDES}, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(support, 6) AS support, round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rules",
     "rules_strict": f"WITH {rules(BRAND_PAIRS)} SELECT {SIDES}, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules WHERE support >= 0.01 AND confidence >= 0.15 AND lift >= 1.0",
-    "rules_for_product": f"WITH {rules(BRAND_PAIRS)} SELECT product, {SIDES}, round(confidence, 6) AS confidence FROM (SELECT DISTINCT p_brand AS product FROM part) JOIN rules ON list_contains(antecedent, product) WHERE {ONE_RIGHT}",
+    "rules_for_product": f"WITH {rules(BRAND_PAIRS)} SELECT product, {SIDES}, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY product ORDER BY confidence DESC, antecedent, consequent) AS rule_rank FROM (SELECT DISTINCT p_brand AS product FROM part) JOIN rules ON list_contains(antecedent, product) WHERE {ONE_RIGHT}",
     "rules_for_basket": f"""WITH {rules(BRAND_PAIRS)},
 met AS (SELECT sets.items AS wanted, rules.* FROM sets JOIN rules ON list_has_all(antecedent, sets.items))
 SELECT {text('wanted')} AS query, {text('consequent')} AS products, round(confidence, 6) AS confidence,
@@ -309,10 +320,18 @@ FROM numbered JOIN left_names USING (r) JOIN part ON p_partkey = consequent[1]""
 {nearest('SELECT basket_id AS query_id, item FROM held', 'history')},
 {recommend(HISTORY_OWNED)},
 qty AS (SELECT item, sum(quantity::BIGINT) AS qty FROM history GROUP BY 1),
-popular AS (SELECT item FROM qty ORDER BY qty DESC, item LIMIT 5)
-SELECT query_id, recs.item, round(score, 6) AS score, 'basket' AS source FROM near JOIN recs ON u = basket_id WHERE rnk <= 10
-UNION ALL SELECT o_orderkey, item, 0.0, 'popular' FROM orders, popular
+{POPULAR}
+{ANSWERED}
+UNION ALL SELECT o_orderkey, item, 0.0, 'popular', place FROM orders, popular
 WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey NOT IN (SELECT basket_id FROM held)""",
+    "recommend_last_trial": f"""WITH {TRAINED},
+{nearest('SELECT basket_id AS query_id, CASE WHEN basket_id % 7 = 0 THEN -item ELSE item END AS item FROM held', 'history')},
+{recommend(HISTORY_OWNED)},
+qty AS (SELECT item, sum(quantity::BIGINT) AS qty FROM history GROUP BY 1),
+{POPULAR}
+{ANSWERED}
+UNION ALL SELECT o_orderkey, item, 0.0, 'popular', place FROM orders, popular
+WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey NOT IN (SELECT query_id FROM near)""",
     "als_topn": f"WITH {RATINGS} SELECT DISTINCT tel_hashed AS user, 3::BIGINT AS n_recs FROM ratings",
     "als_user_lookup": f"WITH {RATINGS} SELECT DISTINCT phone, 3::BIGINT AS n_recs FROM users WHERE tel_hashed IN (SELECT tel_hashed FROM ratings)",
     "als_rmse": f"""WITH {RATINGS}, train AS (SELECT * FROM parts WHERE part = 'train')
@@ -332,6 +351,10 @@ SELECT DISTINCT asked.id, equal_form AS candidate_form FROM asked JOIN named ON
     "similar_products": f"""WITH RECURSIVE {matches(80)}, {spread(5)}, {BY_CODE}
 SELECT id, similar_id, name, round(score / 100, 6) AS score FROM chosen
 UNION ALL SELECT id, similar_id, name, 1.0 FROM siblings WHERE place <= 5""",
+    "similar_products_requests": f"""WITH RECURSIVE {matches(80)}, {spread(2)}, {again(spread(4))}, {BY_CODE}
+SELECT id * 10 + 2 AS request, id, similar_id, name, round(score / 100, 6) AS score FROM chosen
+UNION ALL SELECT id * 10 + 4, id, similar_id, name, round(score / 100, 6) FROM chosen_again
+UNION ALL SELECT id * 10 + most, id, similar_id, name, 1.0 FROM siblings, (VALUES (2), (4)) AS t(most) WHERE place <= most""",
     "similar_count_stats": f"""WITH RECURSIVE {matches(75)}, {BY_CODE},
 pairs_of AS (SELECT id, similar_id FROM found UNION ALL SELECT id, similar_id FROM siblings)
 SELECT cat.id, count(similar_id) AS n_similar FROM cat LEFT JOIN pairs_of ON pairs_of.id = cat.id GROUP BY 1""",
@@ -344,6 +367,36 @@ lcs_pairs AS (SELECT DISTINCT wanted AS a, key AS b FROM asked, dict WHERE wante
 best AS (SELECT a, b, round_even(100.0::DOUBLE * (2 * common / (length(a) + length(b))), 0) AS score FROM lcs WHERE score >= 90
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
 SELECT asked.id, dict.atx FROM asked LEFT JOIN best ON a = wanted LEFT JOIN dict ON key = b""",
+    "code_enrichment_weighted": f"""WITH RECURSIVE {CATALOGUE},
+dict AS (SELECT name || 's' AS key, min(atx) AS atx FROM cat WHERE atx IS NOT NULL GROUP BY 1),
+asked AS (SELECT id, CASE WHEN contains(form, 'ECONOMY') OR contains(form, 'SMALL') OR contains(form, 'LARGE')
+    OR contains(form, 'PROM') THEN coalesce(trade, name) END AS wanted FROM cat WHERE atx IS NULL),
+split AS (SELECT x, y, string_split(x, ' ') AS sx, string_split(y, ' ') AS sy,
+    list_sort(list_distinct(string_split(x, ' '))) AS tx, list_sort(list_distinct(string_split(y, ' '))) AS ty
+  FROM (SELECT DISTINCT wanted AS x, key AS y FROM asked, dict WHERE wanted IS NOT NULL)),
+sides AS MATERIALIZED (SELECT x, y, len(sx) AS words, array_to_string(list_sort(sx), ' ') AS ox, array_to_string(list_sort(sy), ' ') AS oy,
+    array_to_string([t FOR t IN tx IF list_contains(ty, t)], ' ') AS t0,
+    array_to_string([t FOR t IN tx IF list_contains(ty, t)] || [t FOR t IN tx IF NOT list_contains(ty, t)], ' ') AS t1,
+    array_to_string([t FOR t IN tx IF list_contains(ty, t)] || [t FOR t IN ty IF NOT list_contains(tx, t)], ' ') AS t2,
+    greatest(length(x), length(y)) / least(length(x), length(y)) AS gap FROM split),
+lcs_pairs AS MATERIALIZED (SELECT x AS a, y AS b FROM sides UNION SELECT ox, oy FROM sides UNION SELECT t1, t2 FROM sides),
+{lcs('lcs_pairs')},
+ratios AS MATERIALIZED (SELECT a, b, round_even(100.0::DOUBLE * (2 * common / (length(a) + length(b))), 0) AS r FROM lcs),
+parts_of AS (SELECT x, y, words, gap, plain.r AS plain, sorted.r AS sorted, greatest(sets.r,
+    CASE WHEN t0 = '' THEN 0 ELSE round_even(100.0::DOUBLE * (2 * length(t0) / (length(t0) + length(t1))), 0) END,
+    CASE WHEN t0 = '' THEN 0 ELSE round_even(100.0::DOUBLE * (2 * length(t0) / (length(t0) + length(t2))), 0) END) AS as_set
+  FROM sides JOIN ratios plain ON plain.a = x AND plain.b = y JOIN ratios sorted ON sorted.a = ox AND sorted.b = oy
+  JOIN ratios sets ON sets.a = t1 AND sets.b = t2),
+scored AS (SELECT x, y, CASE WHEN words NOT BETWEEN 2 AND 5 THEN plain
+    WHEN gap < 1.5 THEN round_even(greatest(plain, sorted * 0.95::DOUBLE, as_set * 0.95::DOUBLE), 0)
+    WHEN gap <= 8 AND (contains(x, y) OR contains(y, x)) THEN 90 ELSE 0 END AS score FROM parts_of),
+best AS (SELECT x, y FROM scored WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, y) = 1)
+SELECT asked.id, dict.atx FROM asked LEFT JOIN best ON x = wanted LEFT JOIN dict ON key = y""",
+    "sample_products": """WITH ranked AS (
+  SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS total FROM part),
+spread AS (SELECT j, (j + 43) * 48271 % 2147483647 AS x FROM range(200) AS t(j)),
+draws AS (SELECT j AS draw, x * x % 2147483647 * 69621 % 2147483647 AS h FROM spread)
+SELECT draw, id FROM draws JOIN ranked ON place = h % total""",
     "category_path_export": """WITH cats AS (
   SELECT 'N' || n_nationkey AS id, n_name AS name, 'R' || n_regionkey AS parent FROM nation
   UNION ALL SELECT 'R' || r_regionkey, r_name, CASE WHEN r_name <> 'AFRICA' THEN 'ROOT' END FROM region

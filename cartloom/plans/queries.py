@@ -98,6 +98,7 @@ def rules_as_json(spark, d):
     doc = tables.as_json(mining.single_rules(_brand_model(spark, d)))
     value = lambda p: F.get_json_object("json", p)
     return doc.select(
+        F.array_join(F.from_json(value("$.antecedent"), "array<string>"), ",").alias("antecedent"),
         value("$.consequent[0]").alias("consequent"),
         F.round(value("$.confidence").cast("double") * 1e6).cast("bigint").alias("confidence_x1e6"),
     )
@@ -117,11 +118,13 @@ def orders_stream_ingest(spark, d):
     base = scratch_path(spark, "stream")
     source, sink = f"{base}/in", f"{base}/out"
     found = b.nested_orders(spark, d)
-    orders.write_orders(found.repartition(4, "id"), source)
+    orders.write_orders(found, source)
     ingest.ingest_orders(spark, source, sink, f"{base}/progress").awaitTermination()
-    orders.write_orders(found.repartition(4, "id"), source, mode="append")  # delivered again
+    orders.write_orders(found, source, mode="append")  # delivered again
     ingest.ingest_orders(spark, source, sink, f"{base}/progress").awaitTermination()
-    return spark.read.schema(schemas.ORDER).parquet(sink).select("id")
+    return spark.read.schema(schemas.ORDER).parquet(sink).select(
+        "id", "clientTel", F.coalesce(F.size("basket"), F.lit(0)).cast("bigint").alias("n_lines")
+    )
 
 
 # --- cleaning ----------------------------------------------------------------------------
@@ -309,7 +312,7 @@ def rules_for_product(spark, d):
     found = mining.rules_for_products(mining.single_rules(_brand_model(spark, d)), brands)
     return found.select(
         "product", text_of("consequent").alias("consequent"),
-        text_of("antecedent").alias("antecedent"), six("confidence"),
+        text_of("antecedent").alias("antecedent"), six("confidence"), "rule_rank",
     )
 
 
@@ -368,19 +371,30 @@ def _trained_on_history(spark, d):
     return history, held_out, cosine.item_cosine(history, "basket_id", "item")
 
 
-@registered
-def recommend_with_fallback(spark, d):
+def _recommended(spark, d, item: Column, last_trial: bool) -> DataFrame:
     history, held_out, sims = _trained_on_history(spark, d)
-    asked = held_out.select(F.col("basket_id").alias("query_id"), "item")
+    asked = held_out.select(F.col("basket_id").alias("query_id"), item.alias("item"))
     day = F.to_date(F.lit(b.HOLD_OUT_FROM))
     requests = b.orders(spark, d).where(F.col("day") >= day).select(F.col("id").alias("query_id"))
     popular = popularity.top_items(popularity.popularity(history), 5).select(
         F.col("goods_id").alias("item"), "rnk"
     )
     found = nearest.recommend_with_fallback(
-        requests, asked, history.select("basket_id", "item"), sims, popular, 10
+        requests, asked, history.select("basket_id", "item"), sims, popular, 10, last_trial
     )
-    return found.select("query_id", "item", six("score"), "source")
+    return found.select("query_id", "item", six("score"), "source", "rnk")
+
+
+@registered
+def recommend_with_fallback(spark, d):
+    return _recommended(spark, d, F.col("item"), False)
+
+
+@registered
+def recommend_last_trial(spark, d):
+    """Every seventh basket asks for items that nobody sells."""
+    unknown = F.when(F.col("basket_id") % 7 == 0, -F.col("item")).otherwise(F.col("item"))
+    return _recommended(spark, d, unknown, True)
 
 
 # --- matrix factorisation ----------------------------------------------------------------
@@ -479,6 +493,17 @@ def similar_products(spark, d):
     return found.select("id", "similar_id", "name", six("score"))
 
 
+@registered
+def similar_products_requests(spark, d):
+    """Two requests for each product, with limits 2 and 4."""
+    shelf = b.catalogue(spark, d)
+    asked = shelf.select("id", F.explode(F.array(F.lit(2), F.lit(4))).alias("most")).withColumn(
+        "request", F.col("id") * 10 + F.col("most")
+    )
+    found = similar.similar_products(asked, shelf, b.form_map(spark), 80, "most", "request")
+    return found.select("request", "id", "similar_id", "name", six("score"))
+
+
 @registered
 def similar_count_stats(spark, d):
     return similar.similar_counts(b.catalogue(spark, d), b.form_map(spark), 75)
@@ -527,7 +552,7 @@ def page_field(spark, d):
 
 @registered
 def sample_products(spark, d):
-    return sampling.sample_rows(b.catalogue(spark, d).select("id"), 200)
+    return sampling.draw(b.catalogue(spark, d).select("id"), ["id"], 200)
 
 
 # --- evaluation and quota ----------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _local_base: str | None = None
+_kept: list[DataFrame] = []
 
 
 def build_session(app: str = "cartloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,6 +29,8 @@ def build_session(app: str = "cartloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Streaming state on the executors' disks instead of the heap.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = builder.master(master)
@@ -43,16 +48,33 @@ def _base_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="cartloom-")
     return _local_base
 
 
+def _session_dir(spark: SparkSession) -> str:
+    """This application's own folder under the shared one."""
+    return os.path.join(_base_dir(spark), "cartloom", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing exists there yet."""
-    return os.path.join(_base_dir(spark), "cartloom", f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_session_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application settled, and release what it kept.
+
+    For the end of a job: results not yet written out can't be read any more.
+    """
+    while _kept:
+        _kept.pop().unpersist()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -67,8 +89,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Persist a table that one job reads several times (spills to disk)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist a table that one job reads several times (spills to disk), until ``clear``."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
 
 
 def shuffled(df: DataFrame) -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cartloom import schemas
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def ingest_orders(
     spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1000
@@ -17,10 +14,10 @@ def ingest_orders(
     """Read new order files, drop ids seen before, append to a parquet table.
 
     The checkpoint is the progress marker: a restart goes on after the last
-    committed batch. The seen ids are keyed state in RocksDB, so they spill
-    to executor disk instead of filling the heap, and are partitioned by id.
+    committed batch. The seen ids are keyed state, partitioned by id; sessions
+    of ``build_session`` hold it in RocksDB, which spills to executor disk. All
+    ids are remembered for ever, since an order may be delivered again any time.
     """
-    spark.conf.set(STATE_STORE, ROCKSDB)
     orders = (
         spark.readStream.schema(schemas.ORDER)
         .option("maxFilesPerTrigger", files_per_batch)
