@@ -12,9 +12,11 @@ them in order. The band is as wide as 0.8 allows: more edits than that can't
 leave enough k-mers whole.
 
 Equal texts are one row from the start. In a bucket everyone is compared with its
-first text; only those that fail go on to be compared with the bucket's other
-texts, unless their classes have met by then. So a group of copies costs its size,
-not its square, and no link between different texts that share a bucket is lost.
+first text, its hub; those that aren't in the hub's class then are compared with
+the next hub, ``ROUNDS`` times. What is left over in a bucket by then is compared
+with all texts there that share one of its rarest k-mers, as linked texts must. So
+a group of copies costs its size, not its square, and no link between different
+texts that share a bucket is lost.
 Classes are connected components, found by rounds of least labels; a class is
 named by its smallest id.
 
@@ -41,6 +43,8 @@ from cartloom.session import settle
 KMER = 5
 SIMILARITY = (4, 5)
 SKETCHES, TAKEN = 24, 4
+#: Hubs that a bucket's texts are compared with before the rest is looked up by rare k-mers.
+ROUNDS = 2
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
 
@@ -235,6 +239,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _rare_kmers(texts: DataFrame) -> DataFrame:
+    """(rep, gram): each text's rarest labelled k-mers, so many that a linked text must share one of them.
+
+    With n k-mers and a similarity of 4/5, at least 4n/5 are common, so one of
+    any n - ceil(4n/5) + 1 is. Rare ones by their number of texts come first.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = labelled(kmers(word_numbers(value))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), doc)), pa.array(grams)], names=["rep", "gram"])
+
+    above, below = SIMILARITY
+    grams = texts.select("rep", "text").mapInArrow(run, "rep long, gram long")
+    counted = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    by_text = grams.join(counted, "gram").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    size = F.size("grams")
+    needed = (size - F.ceil(size * above / below) + 1).cast("int")
+    return by_text.select("rep", F.explode(F.slice("grams", F.lit(1), needed)).alias("g")).select("rep", "g.gram")
+
+
+def _labelled(frame: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """Adds ``class_<column>``, the class so far of the id in ``column``."""
+    named = labels.select(F.col("rep").alias(column), F.col("class").alias(f"class_{column}"))
+    return frame.join(named, column, "left").withColumn(f"class_{column}", F.coalesce(f"class_{column}", column))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id and the ``class_id``, the smallest id of its class."""
     rows = settle(_sketched(docs, key, text), "sketched")
@@ -243,28 +274,52 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "named", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", -F.abs(F.xxhash64("same") / 2).cast("long") - 1)), "same")
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     buckets = same.where("named").select("rep", F.posexplode("sketches").alias("place", "digest")).distinct()
-    hubs = buckets.groupBy("place", "digest").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = settle(buckets.join(hubs.select("place", "digest", "hub"), ["place", "digest"]), "members")
-    first = members.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = settle(_verified(settle(first, "pairs"), texts), "verified")
-    links = first.where("linked").select("a", "b")
-    labels = components(links)
-    # Texts that aren't like their bucket's first: everyone else there whom they haven't met in a class yet.
-    failed = members.join(first.where("not linked").select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"])
-    others = members.where("hub != rep").select("place", "digest", F.col("rep").alias("other"))
-    left = failed.select("place", "digest", "rep").join(others, ["place", "digest"]).where("rep != other")
-    pairs = left.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("rep").alias(end), F.col("class").alias(f"class_{end}")), end, "left")
-    pairs = settle(pairs.where("coalesce(class_a, a) != coalesce(class_b, b)").select("a", "b"), "remaining")
-    if pairs.limit(1).count():
-        second = settle(_verified(pairs, texts), "verified").where("linked").select("a", "b")
-        if second.limit(1).count():
-            labels = components(links.unionByName(second))
+    crowded = buckets.groupBy("place", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(buckets.join(crowded.select("place", "digest"), ["place", "digest"]), "members")
+    open_, first, links, labels = members, None, None, None
+    for _ in range(ROUNDS):
+        hubs = open_.groupBy("place", "digest").agg(F.min("rep").alias("hub"))
+        # Those that aren't in their hub's class stay, to be compared with the next hub of their bucket.
+        open_ = settle(open_.join(hubs, ["place", "digest"]).where("hub != rep"), "open")
+        first = open_ if first is None else first
+        pairs = open_.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        if labels is not None:
+            pairs = _labelled(_labelled(pairs, labels, "a"), labels, "b").where("class_a != class_b").select("a", "b")
+        found = _verified(settle(pairs, "pairs"), texts).where("linked").select("a", "b")
+        links = settle(found if links is None else found.unionByName(links), "verified")
+        labels = components(links)
+        open_ = _labelled(_labelled(open_, labels, "hub"), labels, "rep").where("class_hub != class_rep").select("place", "digest", "rep")
+    apart = _labelled(_labelled(first, labels, "hub"), labels, "rep").where("class_hub != class_rep")
+    apart = settle(apart.select("place", "digest").distinct(), "apart")
+    if apart.limit(1).count():
+        links = settle(_rest(apart, members, texts, labels).unionByName(links), "verified")
+        labels = components(links)
     final = same.join(labels, "rep", "left").select("same", F.coalesce("class", "rep").alias("class_id"))
     return rows.select("id", "same").join(final.hint("merge"), "same").select(F.col("id").alias(key), "class_id")
 
 
+def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between texts of different classes in the buckets ``apart``, which hold more than their first hub's class.
+
+    The buckets may be crowded with texts that share one long passage and
+    little else, so pairs are not listed by bucket: two linked texts share one
+    of their rarest k-mers, which such texts don't. Of the classes that have a
+    k-mer, all but the most frequent one look for the others; so neither is a
+    class paired with itself.
+    """
+    crowd = members.join(apart, ["place", "digest"], "left_semi").select("rep").distinct()
+    own = settle(texts.join(crowd, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")), "crowd")
+    rare = settle(_labelled(_rare_kmers(own), labels, "rep"), "rare")
+    by_class = rare.groupBy("gram", "class_rep").agg(F.count("*").alias("n"))
+    contested = by_class.groupBy("gram").agg(F.max_by("class_rep", F.struct("n", "class_rep")).alias("major"), F.count("*").alias("classes"))
+    contested = settle(contested.where("classes > 1").select("gram", "major"), "contested")
+    seekers = rare.join(contested, "gram").where("class_rep != major").select("gram", F.col("rep").alias("x"), F.col("class_rep").alias("class_x"))
+    sought = rare.join(contested.select("gram"), "gram", "left_semi").select("gram", F.col("rep").alias("y"), F.col("class_rep").alias("class_y"))
+    met = seekers.hint("merge").join(sought, "gram").where("class_x != class_y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _verified(settle(pairs, "remaining"), texts).where("linked").select("a", "b")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, the one with the class's smallest id; all columns as they are.
 
