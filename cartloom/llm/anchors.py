@@ -40,7 +40,7 @@ from cartloom.session import settle
 PACK_BYTES = 4_000_000
 #: Text bytes for which there is one slice of the hash space, and one shard.
 SLICE_BYTES = 8_000_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 3_000_000
 NO_ID = np.iinfo(np.int64).max
 
 PACKED = "pack long, ids array<long>, lengths array<long>, blob binary"
