@@ -41,7 +41,8 @@ LEVEL = 19
 CONTRAST = 30
 #: Longer words are compressed by their first bytes; longer text isn't a word.
 WORD_BYTES = 64
-REMEMBERED = 200_000
+#: Words remembered by a worker, in each of two generations.
+REMEMBERED = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,7 +58,10 @@ class Model:
 
     def __post_init__(self):
         self.compressors = None
-        self.young: dict[str, tuple[int, ...]] = {}
+        # The cells of the words met lately, in two generations; only cells that count are told apart.
+        self.young: dict[str, tuple[int, ...] | None] = {}
+        self.old: dict[str, tuple[int, ...] | None] = {}
+        self.counting = {c: c for c in self.weights}
 
     def __getstate__(self):
         return self.dictionaries, self.weights, self.threshold
@@ -68,23 +72,27 @@ class Model:
 
     def cell(self, word: str) -> tuple[int, ...]:
         """The word's length in bytes and its compressed lengths."""
-        found = self.young.get(word)
-        if found is None:
-            if self.compressors is None:
-                self.compressors = [_compressor(d) for d in self.dictionaries]
-            raw = word.encode("utf-8", "replace")[:WORD_BYTES]
-            window = (b" " + raw) * 3 + b" "
-            found = (min(len(raw), 24), *(len(c.compress(window)) for c in self.compressors))
-            if len(self.young) >= REMEMBERED:
-                self.young.clear()
-            self.young[word] = found
+        if self.compressors is None:
+            self.compressors = [_compressor(d) for d in self.dictionaries]
+        raw = word.encode("utf-8", "replace")[:WORD_BYTES]
+        window = (b" " + raw) * 3 + b" "
+        return (min(len(raw), 24), *(len(c.compress(window)) for c in self.compressors))
+
+    def _remember(self, word: str) -> tuple[int, ...] | None:
+        """The word's cell if it counts, else None."""
+        found = self.old[word] if word in self.old else self.counting.get(self.cell(word))
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[word] = found
         return found
 
     def distance(self, words: list[str]) -> float:
-        weights = self.weights
-        if not weights:
+        if not self.weights:
             return 0.0
-        return math.fsum(weights.get(c, 0.0) for c in set(map(self.cell, words)))
+        young = self.young
+        cells = {young[w] if w in young else self._remember(w) for w in words}
+        cells.discard(None)
+        return math.fsum(self.weights[c] for c in cells)
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(self.threshold - self.distance(words_of(text))))
@@ -131,11 +139,14 @@ def train(toxic: list[list[str]], ordinary: list[list[str]], seed: int = 1) -> M
         rng.shuffle(samples)
     model = Model([_dictionary(ORDINARY_BYTES, plain), _dictionary(TOXIC_BYTES, apart),
                    _dictionary(ORDINARY_BYTES + TOXIC_BYTES, mixed)], {}, 1.0)
-    cells = [[set(map(model.cell, words)) for words in group] for group in (toxic, ordinary)]
+    known: dict[str, tuple[int, ...]] = {}
+    for word in dict.fromkeys(w for group in (toxic, ordinary) for words in group for w in words):
+        known[word] = model.cell(word)
+    cells = [[{known[w] for w in words} for words in group] for group in (toxic, ordinary)]
     bad, good = (Counter(c for own in group for c in own) for group in cells)
     ratio = {c: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((good[c] + 0.5) / (len(ordinary) + 1)) for c, n in bad.items() if n >= 3}
-    model.weights = {c: r for c, r in ratio.items() if r >= 1}
-    ranked = sorted(((math.fsum(model.weights.get(c, 0.0) for c in own), label)
+    weights = {c: r for c, r in ratio.items() if r >= 1}
+    ranked = sorted(((math.fsum(weights.get(c, 0.0) for c in own), label)
                      for label, group in ((1, cells[0]), (0, cells[1])) for own in group), reverse=True)
     best, hits = (0.0, 1.0), 0
     for at, (distance, label) in enumerate(ranked):
@@ -143,8 +154,7 @@ def train(toxic: list[list[str]], ordinary: list[list[str]], seed: int = 1) -> M
         below = ranked[at + 1][0] if at + 1 < len(ranked) else 0.0
         if distance > below:
             best = max(best, (2 * hits / (at + 1 + len(toxic)), (distance + below) / 2))
-    model.threshold = best[1]
-    return model
+    return Model(model.dictionaries, weights, best[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
