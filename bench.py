@@ -21,7 +21,7 @@ HEADLINE = [
     "popular_baskets_distinct", "frequent_itemsets", "rules_single", "rules_all_splits",
     "rules_for_basket", "item_cosine", "item_cosine_recommend", "nearest_basket",
     "recommend_with_fallback", "als_topn", "similar_by_code", "similar_fuzzy",
-    "fuzzy_token_set_pairs", "code_enrichment", "eval_leave_last_out", "category_path_export",
+    "fuzzy_token_set_pairs", "code_enrichment", "eval_leave_last_out", "eval_rank_positions", "similar_products", "similar_count_stats", "category_path_export",
     "page_links", "orders_stream_ingest",
 ]
 
