@@ -187,7 +187,6 @@ class Text:
 
     least: int
     rows: list[int]
-    raw: bytes
     text: bytes
     starts: np.ndarray | None
     keys: np.ndarray
@@ -199,25 +198,24 @@ def ids_of(row: dict) -> list[int]:
     return [NO_ID if i is None else i for i in row["ids"]]
 
 
-def texts_of(row: dict) -> tuple[list[bytes], dict[bytes, list[int]]]:
+def texts_of(row: dict) -> dict[bytes, list[int]]:
+    """The different texts of a pack, each with the rows that have it."""
     data = zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=max(1, sum(row["lengths"])))
-    texts, at = [], 0
     same: dict[bytes, list[int]] = {}
+    at = 0
     for n, size in enumerate(row["lengths"]):
-        texts.append(data[at:at + size])
+        same.setdefault(data[at:at + size], []).append(n)
         at += size
-        same.setdefault(texts[-1], []).append(n)
-    return texts, same
+    return same
 
 
 def open_pack(row: dict, unit: Unit) -> list[Text]:
     """The distinct texts of a pack, in order of first appearance."""
-    ids, (_, same) = ids_of(row), texts_of(row)
-    out = []
-    for raw, rows in same.items():
+    ids, out = ids_of(row), []
+    for raw, rows in texts_of(row).items():
         text, starts = unit.symbols(raw)
         found = anchors(unit.gram_hashes(text, starts), unit.window, unit.gram)
-        out.append(Text(min(ids[r] for r in rows), rows, raw, text, starts, *found))
+        out.append(Text(min(ids[r] for r in rows), rows, text, starts, *found))
     return out
 
 
@@ -437,12 +435,8 @@ def apply_marks(packs: DataFrame, marks: DataFrame, unit: Unit, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids = ids_of(row)
-            plain = Unit(unit.window, unit.gram, unit.words)
-            texts = []
-            for raw, own in texts_of(row)[1].items():
-                text, starts = plain.symbols(raw)
-                none = np.zeros(0, dtype=np.uint64)
-                texts.append(Text(min(ids[r] for r in own), own, raw, text, starts, none, none, none))
+            none = np.zeros(0, dtype=np.uint64)
+            texts = [Text(min(ids[r] for r in own), own, *unit.symbols(raw), none, none, none) for raw, own in texts_of(row).items()]
             found: list[tuple | None] = [None] * len(ids)
             for t, (start, end) in zip(texts, covered(row, texts, unit), strict=True):
                 n = len(t.text) if t.starts is None else len(t.starts) - 1

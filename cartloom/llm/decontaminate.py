@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cartloom.llm.tables import whole_rows
+from cartloom.llm.tables import small, whole_rows
 
 #: Of the UTF-8 bytes, once A-Z are lower case: digits, letters, and all beyond ASCII.
 WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
-            for batch in batches:
+            for batch in small(batches):
                 rows = []
                 for value, starts, ends, before in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                     words = words_of(value)

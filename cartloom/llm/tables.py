@@ -18,6 +18,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDS = 5
 
 
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -27,6 +30,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``BATCH_ROWS``, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]], columns: str,
               key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, and ``columns`` (DDL) computed from the text.
@@ -40,7 +50,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], Iterable[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = make()
-        for batch in batches:
+        for batch in small(batches):
             rows = list(rows_of(batch.column(1).to_pylist()))
             values = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
