@@ -240,10 +240,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rare_kmers(texts: DataFrame) -> DataFrame:
-    """(rep, gram): each text's rarest labelled k-mers, so many that a linked text must share one of them.
+    """(rep, gram, n, short): each text's rarest labelled k-mers, so many that a linked text must share one of them.
 
-    With n k-mers and a similarity of 4/5, at least 4n/5 are common, so one of
-    any n - ceil(4n/5) + 1 is. Rare ones by their number of texts come first.
+    Rare ones, by their number of texts, come first in every text. With n k-mers
+    and a similarity of 4/5, at least 4n/5 are common, so one of any
+    n - ceil(4n/5) + 1 is. To a text of at least as many k-mers 8n/9 are common:
+    the first n - ceil(8n/9) + 1 are marked ``short``, and in a linked pair a
+    short one of the smaller text is among the rarest of the larger.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +260,9 @@ def _rare_kmers(texts: DataFrame) -> DataFrame:
     by_text = grams.join(counted, "gram").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     size = F.size("grams")
     needed = (size - F.ceil(size * above / below) + 1).cast("int")
-    return by_text.select("rep", F.explode(F.slice("grams", F.lit(1), needed)).alias("g")).select("rep", "g.gram")
+    shorter = (size - F.ceil(size * (2 * above) / (above + below)) + 1).cast("int")
+    rare = by_text.select("rep", size.alias("n"), shorter.alias("first"), F.posexplode(F.slice("grams", F.lit(1), needed)).alias("at", "g"))
+    return rare.select("rep", "g.gram", "n", (F.col("at") < F.col("first")).alias("short"))
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -313,9 +318,14 @@ def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFr
     by_class = rare.groupBy("gram", "class_rep").agg(F.count("*").alias("n"))
     contested = by_class.groupBy("gram").agg(F.max_by("class_rep", F.struct("n", "class_rep")).alias("major"), F.count("*").alias("classes"))
     contested = settle(contested.where("classes > 1").select("gram", "major"), "contested")
-    seekers = rare.join(contested, "gram").where("class_rep != major").select("gram", F.col("rep").alias("x"), F.col("class_rep").alias("class_x"))
-    sought = rare.join(contested.select("gram"), "gram", "left_semi").select("gram", F.col("rep").alias("y"), F.col("class_rep").alias("class_y"))
-    met = seekers.hint("merge").join(sought, "gram").where("class_x != class_y")
+    def side(rows: DataFrame, to: str) -> DataFrame:
+        return rows.select("gram", *(F.col(c).alias(f"{c}_{to}") for c in ("rep", "class_rep", "n", "short")))
+
+    seekers = side(rare.join(contested, "gram").where("class_rep != major"), "x")
+    sought = side(rare.join(contested.select("gram"), "gram", "left_semi"), "y")
+    met = seekers.hint("merge").join(sought, "gram").where(
+        "class_rep_x != class_rep_y AND ((short_x AND n_x <= n_y) OR (short_y AND n_y <= n_x))"
+    ).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return _verified(settle(pairs, "remaining"), texts).where("linked").select("a", "b")
 
