@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import cartloom
+
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -21,7 +25,16 @@ FOLDS = 5
 BATCH_ROWS = 500
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, if they have that folder too."""
+    environment, home = spark.sparkContext.environment, str(Path(cartloom.__file__).resolve().parent.parent)
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
