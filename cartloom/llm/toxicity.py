@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -122,10 +123,11 @@ def train(toxic: list[list[str]], ordinary: list[list[str]], seed: int = 1) -> M
         return Model([], {}, 1.0)
     rng = random.Random(seed)
     in_toxic = Counter(b for words in toxic for b in _beginnings(words))
-    in_ordinary = Counter(b for words in ordinary for b in _beginnings(words))
     least = max(2, len(toxic) // 125)
+    in_toxic = Counter({b: n for b, n in in_toxic.items() if n >= least})
+    in_ordinary = Counter(b for words in ordinary for b in _beginnings(words) if b in in_toxic)
     marks = {b: n for b, n in in_toxic.items()
-             if n >= least and n / len(toxic) > CONTRAST * (in_ordinary[b] + 0.5) / len(ordinary)}
+             if n / len(toxic) > CONTRAST * (in_ordinary[b] + 0.5) / len(ordinary)}
     # A beginning that nearly always goes on in one way is left to the longer one.
     longer = Counter()
     for b, n in marks.items():
@@ -142,12 +144,11 @@ def train(toxic: list[list[str]], ordinary: list[list[str]], seed: int = 1) -> M
     known: dict[str, tuple[int, ...]] = {}
     for word in dict.fromkeys(w for group in (toxic, ordinary) for words in group for w in words):
         known[word] = model.cell(word)
-    cells = [[{known[w] for w in words} for words in group] for group in (toxic, ordinary)]
-    bad, good = (Counter(c for own in group for c in own) for group in cells)
+    bad, good = (Counter(c for words in group for c in {known[w] for w in words}) for group in (toxic, ordinary))
     ratio = {c: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((good[c] + 0.5) / (len(ordinary) + 1)) for c, n in bad.items() if n >= 3}
     weights = {c: r for c, r in ratio.items() if r >= 1}
-    ranked = sorted(((math.fsum(weights.get(c, 0.0) for c in own), label)
-                     for label, group in ((1, cells[0]), (0, cells[1])) for own in group), reverse=True)
+    ranked = sorted(((math.fsum(weights.get(c, 0.0) for c in {known[w] for w in words}), label)
+                     for label, group in ((1, toxic), (0, ordinary)) for words in group), reverse=True)
     best, hits = (0.0, 1.0), 0
     for at, (distance, label) in enumerate(ranked):
         hits += label
@@ -170,11 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key), F.col(text)).join(chosen, key)
     keyed = rows.select(F.struct(F.col("label"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("same"), F.col(key).alias("at")).alias("row"),
                         F.col(text))
-    found = map_texts(keyed, make, "words array<string>", "row", text).collect()
-    groups: dict[int, dict[str, list[str]]] = {0: {}, 1: {}}
-    for r in sorted(found, key=lambda r: r["row"]["at"]):
-        groups[r["row"]["label"]].setdefault(r["row"]["same"], r["words"])
-    return train(list(groups[1].values()), list(groups[0].values()))
+    # One partition at a time comes to the driver, and equal words of different documents are one object.
+    groups: dict[int, dict[str, tuple]] = {0: {}, 1: {}}
+    for r in map_texts(keyed, make, "words array<string>", "row", text).toLocalIterator():
+        at, held = r["row"]["at"], groups[r["row"]["label"]].get(r["row"]["same"])
+        if held is None or at < held[0]:
+            groups[r["row"]["label"]][r["row"]["same"]] = (at, list(map(sys.intern, r["words"])))
+    toxic, ordinary = ([words for _, words in sorted(groups[label].values(), key=lambda v: v[0])] for label in (1, 0))
+    return train(toxic, ordinary)
 
 
 _models: dict[str, Model] = {}
