@@ -7,9 +7,9 @@ them in text order; their digest is the bucket of that sketch. So two texts meet
 if they share these k-mers in the same order, which edit distance decides.
 
 Candidates are verified: their k-mers (as a multiset) must have a Jaccard
-similarity of at least 0.8, and an alignment inside a band must find as many of
-them in order. The band is as wide as 0.8 allows: more edits than that can't
-leave enough k-mers whole.
+similarity of at least 0.8, and an alignment inside a band must lead from one text
+to the other. The band is as wide as 0.8 allows: a pair that has so many k-mers in
+the same order never needs more edits, so only texts in another order are turned down.
 
 Equal texts are one row from the start. In a bucket everyone is compared with its
 first text, its hub; those that aren't in the hub's class then are compared with
@@ -163,26 +163,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
         return False
     if not enough(len(np.intersect1d(labelled(x), labelled(y), assume_unique=True))):
         return False
-    # Each edit spoils at least one k-mer on its own side, and n1 + n2 - 2 common may be spoilt.
+    # Texts with c k-mers in the same order have c + 4 words so, and then a script of n1 + n2 - 2c edits at most.
     spoilt = (len(x) + len(y)) * (below - above) // (above + below)
-    head = 0
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
     differ = np.flatnonzero(a[len(a) - (short - head):][::-1] != b[len(b) - (short - head):][::-1])
     tail = int(differ[0]) if len(differ) else short - head
-    runs = aligned(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), spoilt)
-    if runs is None:
-        return False
-    whole = [(0, 0, head), *((p + head, q + head, size) for p, q, size in runs), (len(a) - tail, len(b) - tail, tail)]
-    joined: list[list[int]] = []
-    for p, q, size in whole:
-        if joined and joined[-1][0] + joined[-1][2] == p and joined[-1][1] + joined[-1][2] == q:
-            joined[-1][2] += size
-        else:
-            joined.append([p, q, size])
-    gram = min(KMER, len(a), len(b))
-    return enough(sum(max(0, size - gram + 1) for _, _, size in joined))
+    return aligned(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), spoilt) is not None
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:

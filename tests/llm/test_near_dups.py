@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -41,6 +42,43 @@ def test_similarity():
     assert near_dups.similar(number(["a", "b"]), number(["a", "b"]))
 
 
+def shingles(text):
+    words = text.split()
+    return Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def in_order(a, b):
+    """The most k-mers that both have in the same order."""
+    a, b = ([" ".join(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)] for t in (a, b))
+    return lcs(a, b)
+
+
+def test_doubled_lines_and_words_are_linked_from_the_cut_on():
+    rng = random.Random(11)
+    lines = [[f"w{rng.randrange(5000)}" for _ in range(10)] for _ in range(40)]
+    seen, ordered = Counter(), 0
+    for trial in range(120):
+        out = []
+        for n, line in enumerate(lines):
+            out += [w for w in line for _ in range(1 + (trial % 2 and rng.random() < trial / 1200))]
+            out += line * (trial % 2 == 0 and rng.random() < trial / 300)
+        if trial % 5 == 0:
+            at = rng.randrange(len(out) - 60)
+            out = out[:at] + out[at + rng.randrange(40):]
+        a, b = " ".join(w for line in lines for w in line), " ".join(out)
+        x, y = shingles(a), shingles(b)
+        common, n = (x & y).total(), x.total() + y.total()
+        linked = near_dups.similar(near_dups.word_numbers(a), near_dups.word_numbers(b))
+        assert linked == (5 * common >= 4 * (n - common)), trial
+        seen[linked] += 1
+        whole = in_order(a, b)
+        ordered += linked and 5 * whole >= 4 * (n - whole)
+    assert seen[True] > 20 and seen[False] > 20 and ordered > 20
+    twice = [line for n, line in enumerate(lines) for _ in range(1 + (n % 7 == 3))]
+    a, b = (near_dups.word_numbers(" ".join(w for line in t for w in line)) for t in (lines, twice))
+    assert near_dups.similar(a, b) and near_dups.similar(b, a)
+
+
 def corpus(seed):
     """Groups of copies, outliers that come first, a shared passage, a chain, and odd rows."""
     rng = random.Random(seed)
