@@ -3,7 +3,8 @@
 Zstandard dictionaries are trained on words of ordinary texts, on toxic texts
 (ordinary words with what sets toxic texts apart), and on that difference alone.
 A window is one word, written three times: repeats cost next to nothing, and very
-short inputs wouldn't be compressed at all. Its compressed lengths under the
+short inputs wouldn't be compressed at all. A longer run of letters, as in scripts
+without spaces, is several windows that overlap by half. Its compressed lengths under the
 dictionaries, with its own length, are its cell. Cells that toxic training
 documents have far more often than ordinary ones count for their log ratio; a
 document's distance is the sum over its different cells, and the threshold is the
@@ -24,6 +25,7 @@ import re
 import sys
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import zstandard
@@ -40,15 +42,35 @@ ORDINARY_BYTES, TOXIC_BYTES = 16384, 512
 LEVEL = 19
 #: A word beginning marks toxic texts if it is so many times as frequent in them.
 CONTRAST = 30
-#: Longer words are compressed by their first bytes; longer text isn't a word.
+#: Longer runs of letters are cut into windows of at most so many bytes, one beginning in the middle of another.
 WORD_BYTES = 64
 #: Words remembered by a worker, in each of two generations.
 REMEMBERED = 400_000
 
 
+def windows_of(run: str) -> Iterator[str]:
+    """A run of letters, or the overlapping windows of a longer one: all of it is in some window."""
+    sizes = [len(c.encode("utf-8", "replace")) for c in run]
+    start = end = held = 0
+    while True:
+        while end < len(run) and held + sizes[end] <= WORD_BYTES:
+            held += sizes[end]
+            end += 1
+        yield run[start:end]
+        if end == len(run):
+            return
+        while held > WORD_BYTES // 2:
+            held -= sizes[start]
+            start += 1
+
+
 def words_of(text: str | None) -> list[str]:
-    """The different words of a text, in order of first appearance."""
-    return list(dict.fromkeys(WORDS.findall((text or "").lower())))
+    """The different words of a text, in order of first appearance, and of longer runs of letters the windows."""
+    runs = dict.fromkeys(WORDS.findall((text or "").lower()))
+    # A character has four bytes at most.
+    if all(len(r) * 4 <= WORD_BYTES or len(r.encode("utf-8", "replace")) <= WORD_BYTES for r in runs):
+        return list(runs)
+    return list(dict.fromkeys(w for r in runs for w in windows_of(r)))
 
 
 @dataclass
@@ -75,7 +97,7 @@ class Model:
         """The word's length in bytes and its compressed lengths."""
         if self.compressors is None:
             self.compressors = [_compressor(d) for d in self.dictionaries]
-        raw = word.encode("utf-8", "replace")[:WORD_BYTES]
+        raw = word.encode("utf-8", "replace")
         window = (b" " + raw) * 3 + b" "
         return (min(len(raw), 24), *(len(c.compress(window)) for c in self.compressors))
 

@@ -168,3 +168,26 @@ def test_toxicity(spark):
     assert kept.count() == sum(r.predicted == 0 for r in toxicity.score(docs, model).collect())
     none = toxicity.fit(docs, labels.limit(0))
     assert none.score("anything") < 0.5 and toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_toxicity_reads_long_runs_of_letters_to_their_end():
+    import random
+
+    rng = random.Random(5)
+    for run in ("x" * 64, "".join(rng.choices("abé漢字😀", k=300)).replace("😀", "語"), "漢" * 22, "a" * 65):
+        windows = list(toxicity.windows_of(run))
+        assert all(0 < len(w.encode()) <= 64 for w in windows) and windows[0] == run[:len(windows[0])]
+        # Whatever has at most 29 bytes is whole in some window.
+        assert all(any(run[i:i + 7] in w for w in windows) for i in range(len(run) - 6))
+    assert toxicity.words_of("B a" + "a" * 63 + " b") == ["b", "a" * 64]
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+
+    def documents(n):
+        for i in range(n):
+            end = "wretchedverminnumbskullfilthiestwretched" if i % 3 == 0 else letters(40)
+            yield i % 3 == 0, f"{letters(5)} {letters(6)} {letters(64)}{end} {letters(4)}"
+
+    known = [(bad, toxicity.words_of(t)) for bad, t in documents(300)]
+    model = toxicity.train([w for bad, w in known if bad], [w for bad, w in known if not bad])
+    fresh = list(documents(90))
+    assert sum((model.score(t) >= 0.5) == bad for bad, t in fresh) >= 80
