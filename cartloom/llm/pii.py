@@ -5,9 +5,11 @@ pass the Luhn check, and phone numbers. Their finds are seeds. Every token with
 digit is an instance; the word before it, and its own key (``password=``), are
 its lexical patterns. Rounds over the graph of patterns and instances score
 both: a pattern is as good as the mean score of its distinct instances, an
-instance as good as its best trusted pattern, seeds staying at 1. Patterns of
-high confidence, backed by several different seeds, then give the instances that
-no fixed pattern finds; their spans get the kind ``context``.
+instance as good as its best trusted pattern, seeds staying at 1. A pattern is
+trusted if its confidence is high and several different instances back it: seeds,
+or what patterns trusted before have found. So contexts teach further contexts,
+until no pattern can be added. Trusted patterns give the instances that no fixed
+pattern finds; their spans get the kind ``context``.
 
 Everything is DataFrame expressions. Java's engine is given possessive forms of
 the patterns, with the same matches, so that neither long tokens nor long chains
@@ -39,10 +41,11 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9]*+[0-9][^ \t-\r]*+"
 KEY = r"^([A-Za-z_.-]{2,40}[=:])"
 
-#: A trusted pattern has this mean score, and this many different seeds.
+#: A trusted pattern has this mean score, and this many different instances that score as much.
 CONFIDENCE = 0.9
 SUPPORT = 5
-ROUNDS = 3
+#: Scores are whole parts of one, so that sums don't depend on task order and rounds come to an end.
+PARTS = 10_000
 #: Characters before an instance in which its word is looked for.
 REACH = 60
 CHUNK = 256
@@ -146,22 +149,31 @@ def examine(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return settle(found.drop("text"), "examined")
 
 
-def trusted_patterns(examined: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns whose confidence and support suffice after ``rounds`` of scoring."""
+def trusted_patterns(examined: DataFrame) -> DataFrame:
+    """Patterns whose confidence and support suffice, once rounds of scoring add none."""
     each = examined.select(F.explode("instances").alias("i")).select("i.value", "i.seed", F.explode("i.patterns").alias("pattern"))
     edges = settle(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg(
-            F.avg("score").alias("confidence"), F.count_if("seed").alias("seeds")
-        ).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT))
+    scored = edges.withColumn("score", F.when(F.col("seed"), PARTS).otherwise(0))
+    before = None
+    while True:
+        backed = F.count_if(F.col("score") > 0)
+        # Only trusted patterns lift, so a score above zero is at least the confidence. A pattern that wouldn't be
+        # trusted if all its lifted instances were as good as seeds is left out.
+        near = scored.groupBy("pattern").agg(
+            F.expr("sum(score) div count(*)").alias("parts"), (F.sum("score") / (F.count("*") * PARTS)).alias("confidence"),
+            backed.alias("support"), (backed / F.count("*")).alias("most")
+        ).where((F.col("most") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
         # Settled each round: the next reads it twice, and the lineage stays short.
-        patterns = settle(patterns, "patterns")
-        lifted = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("lifted"))
+        near = settle(near, "patterns")
+        patterns = near.where(F.col("confidence") >= CONFIDENCE)
+        # Scores never fall. No pattern more and none that could follow, or no score that rose: no round adds any.
+        found = near.agg(F.count_if(F.col("confidence") >= CONFIDENCE), F.count("*"), F.sum("parts")).first()
+        if before is not None and found[0] == before[0] and (found[1] == found[0] or found[2] == before[2]) or not found[0]:
+            return patterns
+        before = found
+        lifted = edges.join(patterns, "pattern").groupBy("value").agg(F.max("parts").alias("lifted"))
         scored = edges.join(lifted, "value", "left").withColumn(
-            "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(F.col("lifted"), F.lit(0.0))))
-    return patterns
+            "score", F.when(F.col("seed"), PARTS).otherwise(F.coalesce(F.col("lifted"), F.lit(0))))
 
 
 def context_spans(examined: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -49,6 +49,19 @@ def test_personal_data_spans(personal):
         assert extra == ([("context", 12, 20)] if r.doc_id == 200 else []), text[:60]
 
 
+def test_contexts_teach_contexts(spark):
+    mails = [f"write badge host{i}@site{i}.org now" for i in range(950)]
+    # No pattern finds QX-..., but after "badge" they are trusted; so "token" is by them, and "pass" by what "token" finds.
+    ones, twos = [f"QX-1{i}" for i in range(95)], [f"QX-2{i}" for i in range(10)]
+    steps = [f"badge {v} now" for v in ones] + [f"token {v} now" for v in ones + twos] + [f"pass {v} now" for v in [*twos, "QX-3"]]
+    steps += ["count QX-41 now"] + [f"count {i}" for i in range(9)]
+    rows = list(enumerate(dict.fromkeys(mails + steps)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(df).collect()}
+    for i, text in rows:
+        assert got[i] == (["email"] if "@" in text else [] if text.startswith("count") else ["context"]), text
+
+
 def test_redaction_keeps_rows_and_columns(personal):
     got = pii.redact(personal)
     assert got.columns == personal.columns and got.count() == personal.count()
