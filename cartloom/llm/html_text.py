@@ -35,12 +35,21 @@ from cartloom.llm.tables import map_texts
 SAMPLE_PAGES, PLACES = 4000, 5000
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>",
     re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PIECES = re.compile(r"[a-z]+")
+#: Elements whose content isn't the page's text: of some it is plain characters, others hold elements. Without an end
+#: tag, code goes on to the page's end; others are empty.
+CODE = frozenset("script style".split())
+PLAIN = CODE | frozenset("textarea iframe title".split())
+RAW = PLAIN | frozenset("noscript template svg".split())
+RAW_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>{'|'.join(sorted(RAW))})(?=[\s/>])"
+    r"(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.DOTALL | re.IGNORECASE)
+PLAIN_END = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in PLAIN}
 
 # Fixed values of HTML: elements without content, inside a line, and bare containers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +57,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr img".split())
 BARE = frozenset("html body div span section main center font table tbody tr td".split())
+#: Elements that hold others; of any other element, only a whole class, id or role tells that it is furniture.
+CONTAINERS = BARE | frozenset("section header ul ol dl li figure details".split())
 #: Elements, and words in classes, ids and roles, that are page furniture.
 FURNITURE = frozenset("head nav aside footer form button select dialog menu fieldset label option".split())
 FURNITURE_WORDS = frozenset(
@@ -75,12 +86,45 @@ def _element(name: str, rest: str) -> tuple[str, bool]:
     if name in FURNITURE:
         return name, True
     said = [p for m in NAMED.finditer(rest) for p in PIECES.findall((m[1] or m[2] or m[3] or "").lower())] if rest else []
-    telling = next((p for p in said if p in FURNITURE_WORDS), None)
+    whole = said if name in CONTAINERS else [p for m in NAMED.finditer(rest) for p in (m[1] or m[2] or m[3] or "").lower().split()]
+    telling = next((p for p in whole if p in FURNITURE_WORDS), None)
     if telling and name not in ("html", "body", "article", "main"):
         return f"{name}.{telling}", True
     return (f"{name}.{said[0]}" if said else name), False
 
 
+def _self_closed(rest: str) -> bool:
+    """Does a tag end in a slash that isn't a part of an unquoted value?"""
+    return rest.endswith("/") and (len(rest) == 1 or rest[-2].isspace() or rest[-2] in "\"'")
+
+
+def raw_ends(html: str) -> dict[int, int]:
+    """Where the content of raw elements ends, by the place of their tag. Those without an end tag, but for code, aren't in it."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {name: [] for name in RAW}
+    endless: set[str] = set()
+    at = 0
+    while m := RAW_TAG.search(html, at):
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if not name or not m["close"] and _self_closed(m["rest"][:-1]):
+            continue
+        if m["close"]:
+            if open_[name]:
+                ends[open_[name].pop()] = at
+        elif name not in PLAIN:
+            open_[name].append(m.start())
+        elif name not in endless:
+            if end := PLAIN_END[name].search(html, at):
+                at = ends[m.start()] = end.end()
+            elif name in CODE:
+                ends[m.start()] = len(html)
+                break
+            else:
+                endless.add(name)
+    return ends
+
+
 def tokens(html: str) -> list[Token]:
     """Tags and texts of a page in order. Scripts, styles, titles and comments are none."""
     out: list[Token] = []
@@ -103,11 +147,14 @@ def tokens(html: str) -> list[Token]:
         elif piece:
             out.append(Token(" ", *(where := place())[:1], block, where[1]))
 
-    for m in MARKUP.finditer(html):
+    ends = raw_ends(html)
+    while m := MARKUP.search(html, at):
         text(html[at:m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        if name in RAW and not (m["close"] or m["close2"]):
+            at = max(at, ends.get(m.start(), at))
+        if not name or name in RAW:
             continue
         if name not in INLINE:
             block += 1
@@ -187,7 +234,7 @@ def learn(pages: DataFrame, key: str = "page_id", html: str = "html", sample: in
                     continue
                 words = Counter()
                 for t in found:
-                    words[t.place, t.article and not t.place.endswith(" in article")] += len(t.text.split())
+                    words[t.place, t.article] += len(t.text.split())
                 yield ([(p, n / total, inside) for (p, inside), n in words.items() if (total := words[p, True] + words[p, False])],)
         return rows
 

@@ -126,6 +126,30 @@ def test_main_text(spark):
     assert html_text.learn(pages.limit(0)) == {} and html_text.main_text(pages.limit(0), {}).count() == 0
 
 
+def test_headings_and_raw_elements():
+    said = "".join(f'<{tag}>Text {n} of the article.</p>' for n, tag in enumerate(
+        ['p id="search-methods"', 'p class="related-work legal-basis"', 'p id=share_price', "p"]))
+    page = f'<nav>Menu</nav><article><h2 id="search-methods">Search methods</h2>{said}<p class="x ad">Buy</p></article>'
+    want = "\n".join(["Search methods", *(f"Text {n} of the article." for n in range(4))])
+    assert html_text.extract(page, {}) == want
+    # Raw elements without content or without an end.
+    for odd in ('<svg viewBox="0 0 1 1"/>', "<svg />", "<noscript>", "<template>", '<iframe src="a>b"/>', "<svg><svg/></svg>",
+                "<script>'</p><svg>'</script>", "<template><template>x</template>y</template>", "<SVG><title>x</title></SVG>", "<title>x</title>",
+                "<!-- <script> <svg> -->", "<textarea><script></textarea>", "<script><!-- x </script>", "<svg title='x><g></svg>"):
+        assert html_text.extract(page.replace("<h2", odd + "<h2"), {}) == want, odd
+        assert html_text.extract(page.replace("<h2", odd + "<h2") + "<svg>x</svg><noscript>y</noscript>", {}) == want, odd
+    assert html_text.extract("<p>a b</p><script src=/x/>c d", {}) == "a b"
+
+
+def test_furniture_in_articles_is_weighed(spark):
+    page = '<nav>Menu one</nav><article><p>First line.</p><section class="legal-basis"><p>The law says so.</p></section></article>'
+    pages = spark.createDataFrame([(i, page) for i in range(40)], "page_id long, html string")
+    learned = html_text.learn(pages)
+    assert learned["section.legal in article"] == (40, 0) and learned["nav"] == (0, 40)
+    assert html_text.extract(page, learned) == "First line.\nThe law says so."
+    assert html_text.extract(page, {}) == "First line."
+
+
 def test_folds(spark):
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
