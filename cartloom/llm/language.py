@@ -1,6 +1,7 @@
 """Language identification by a bit-sliced Bloom filter of n-grams.
 
-One filter holds all languages: each slot is a bit mask with one bit a language,
+One filter holds all languages: each slot is a bit mask with one bit a language
+(several masks beyond 64 languages),
 so the masks at an n-gram's slots, ANDed, are the languages that may have it.
 Counting each bit over the n-grams of a text gives its count per language; the
 false positives to expect from how full each language's bits are get subtracted,
@@ -9,7 +10,8 @@ and the largest corrected count decides.
 The filter is fitted on a bounded sample: for each language the ``SAMPLE``
 labelled documents of the learning folds whose ids' hashes come first. Of their
 n-grams the ``GRAMS`` in most documents go in, if at least two documents have
-them. Languages beyond ``LANGUAGES``, by fewest documents, aren't learned.
+them. All languages that have such n-grams are learned: there is a column of masks
+for each 64 of them.
 
 A prediction reads the text only. Texts without a letter, empty and null texts
 are ``und`` with score 0. Ties go to the first language by name.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -30,7 +32,9 @@ from cartloom.llm.tables import held_out, map_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (3, 4)
-SAMPLE, GRAMS, LANGUAGES = 1500, 30_000, 64
+SAMPLE, GRAMS = 1500, 30_000
+#: Languages in one column of masks, and slices of the ids' hashes, a power of two.
+COLUMN, SLICES = 64, 4096
 #: Slots of the filter, and slots looked at for each n-gram.
 SLOTS, PROBES = 1 << 20, 3
 
@@ -61,29 +65,42 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 class Filter:
     languages: list[str]
     masks: np.ndarray
+    #: Masks of the languages after the first ``COLUMN``, a column for each further ``COLUMN``.
+    more: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
     def build(cls, by_language: dict[str, np.ndarray]) -> Filter:
         languages = sorted(by_language)
         bits = max(8, 1 << max(0, len(languages) - 1).bit_length())
-        masks = np.zeros(SLOTS, dtype=f"<u{min(64, bits) // 8}")
+        kind = np.dtype(f"<u{min(COLUMN, bits) // 8}")
+        columns = [np.zeros(SLOTS, dtype=kind) for _ in range(0, max(1, len(languages)), COLUMN)]
         for n, language in enumerate(languages):
+            masks = columns[n // COLUMN]
             for place in slots(by_language[language]):
-                masks[place] |= masks.dtype.type(1 << n)
-        return cls(languages, masks)
+                masks[place] |= kind.type(1 << n % COLUMN)
+        return cls(languages, columns[0], columns[1:])
 
     def __post_init__(self):
-        full = [np.count_nonzero(self.masks >> self.masks.dtype.type(n) & self.masks.dtype.type(1)) / SLOTS for n in range(len(self.languages))]
-        self.false = np.array([f ** PROBES for f in full])
+        full = self._counts([self.masks, *self.more]) / SLOTS
+        self.false = full ** PROBES
+
+    def _counts(self, columns: list[np.ndarray]) -> np.ndarray:
+        """For each language, how many of the masks have its bit."""
+        one = self.masks.dtype.type
+        return np.array([np.count_nonzero(columns[n // COLUMN] >> one(n % COLUMN) & one(1)) for n in range(len(self.languages))])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hashes = grams(text)
         if not len(hashes) or not self.languages:
             return "und", 0.0
-        found = self.masks[slots(hashes)[0]]
-        for place in slots(hashes)[1:]:
-            found &= self.masks[place]
-        counts = np.array([np.count_nonzero(found >> found.dtype.type(n) & found.dtype.type(1)) for n in range(len(self.languages))])
+        first, *others = slots(hashes)
+        columns = []
+        for masks in (self.masks, *self.more):
+            found = masks[first]
+            for place in others:
+                found &= masks[place]
+            columns.append(found)
+        counts = self._counts(columns)
         true = np.maximum(0, (counts - len(hashes) * self.false) / np.maximum(1e-9, 1 - self.false))
         best = int(np.argmax(true))
         total = true.sum()
@@ -93,10 +110,14 @@ class Filter:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filter:
     """Fitted on the sampled documents outside the held-out fold whose language is known."""
     known = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull()).select(key, F.col(lang).alias("language"))
-    names = [r["language"] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()]
-    ranked = known.where(F.col("language").isin(names)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64(key), key)))
-    chosen = F.broadcast(ranked.where(F.col("rank") <= SAMPLE).select(key, "language").distinct())  # at most SAMPLE x LANGUAGES rows
+    hashed = known.withColumn("hash", F.xxhash64(key)).withColumn("slice", F.shiftright("hash", 64 - SLICES.bit_length() + 1))
+    # A language's first ids by hash are in its first slices; only so many of them are ranked as hold the sample.
+    sizes = hashed.groupBy("language", "slice").count()
+    in_front = F.coalesce(F.sum("count").over(Window.partitionBy("language").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("before", in_front).where(F.col("before") < SAMPLE).groupBy("language").agg(F.max("slice").alias("last"))
+    front = hashed.join(F.broadcast(last), "language").where(F.col("slice") <= F.col("last"))  # a row a language
+    ranked = front.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("hash", key)))
+    chosen = F.broadcast(ranked.where(F.col("rank") <= SAMPLE).select(key, "language").distinct())  # at most SAMPLE rows a language
 
     def make():
         return lambda texts: ((np.unique(grams(t)).view(np.int64).tolist(),) for t in texts)

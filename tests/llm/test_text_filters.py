@@ -176,6 +176,29 @@ def test_language(spark):
     assert (masks & 1).all() and (masks[:5] & 2).all()
 
 
+def test_more_than_64_languages(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    said = {f"l{n:03}": ["".join(rng.choices([chr(0x4e00 + 20 * n + k) for k in range(20)], k=5)) for _ in range(6)] for n in range(130)}
+    rows = [(n * 10 + i, " ".join(words[i % 3:]), lang) for n, (lang, words) in enumerate(said.items()) for i in range(10)]
+    # One language has far more documents than the rest; its sample is the first by hash, as a sort of all gives it.
+    rows += [(10_000 + i, " ".join(said["l007"][:2 + i % 4]), "l007") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    ordered = df.where(~held_out(F.col("doc_id")) & (F.col("lang") == "l007")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()
+    seen = {}
+    for r in ordered:
+        for g in set(language.grams(r.text).tolist()):
+            seen[g] = seen.get(g, 0) + 1
+    built = {}
+    monkeypatch.setattr(language.Filter, "build", classmethod(lambda cls, by, own=language.Filter.build: built.update(by) or own(by)))
+    fitted = language.fit(df)
+    assert set(built["l007"].tolist()) == {g for g, n in seen.items() if n >= 2}
+    assert fitted.languages == sorted(said) and len(fitted.more) == 2
+    assert all(fitted.predict(text)[0] == lang for _, text, lang in rows)
+
+
 def test_toxicity(spark):
     import random
 
