@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, fm_dedup, html_text, language, near_dups, pii, quality, suffix_dedup, toxicity
+from cartloom.llm import bpe, decontaminate, fm_dedup, html_text, infill, language, near_dups, pii, quality, suffix_dedup, toxicity
 from cartloom.llm.tables import held_out, table
 
 
@@ -80,14 +80,21 @@ def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.restore(infill.rearrange(table(spark, folder, "documents")))
+    return made.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"),
+                       F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op5_order_minhash, op6_decontamination,
-        op7_main_text, op8_language, op9_toxicity, op10_fm_dedup)
+        op7_main_text, op8_language, op9_toxicity, op10_fm_dedup, op13_fill_in_middle)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
 SQL: dict[str, str] = {
     "op1_quality_cascade": quality.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op6_decontamination": decontaminate.SQL,
-    "op10_fm_dedup": fm_dedup.SQL,
+    "op10_fm_dedup": fm_dedup.SQL, "op13_fill_in_middle": infill.SQL,
 }
