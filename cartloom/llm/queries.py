@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import bpe, decontaminate, divergence, fm_dedup, html_text, infill, language, near_dups, pii, quality, suffix_dedup, toxicity
+from cartloom.llm import bpe, decontaminate, divergence, fm_dedup, html_text, infill, jaccard_join, language, near_dups, pii, quality, suffix_dedup, toxicity
 from cartloom.llm.tables import held_out, table
 
 
@@ -84,6 +84,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = infill.restore(infill.rearrange(table(spark, folder, "documents")))
     return made.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"),
@@ -94,12 +98,12 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_cascade, op2_bpe, op3_suffix_dedup, op4_pii_contexts, op5_order_minhash, op6_decontamination,
-        op7_main_text, op8_language, op9_toxicity, op10_fm_dedup, op11_source_divergence, op13_fill_in_middle)
+        op7_main_text, op8_language, op9_toxicity, op10_fm_dedup, op11_source_divergence, op12_jaccard_join, op13_fill_in_middle)
 }
 
 #: The other operators have no SQL form; tests hold them against brute force.
 SQL: dict[str, str] = {
     "op1_quality_cascade": quality.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op6_decontamination": decontaminate.SQL,
-    "op10_fm_dedup": fm_dedup.SQL, "op11_source_divergence": divergence.SQL,
+    "op10_fm_dedup": fm_dedup.SQL, "op11_source_divergence": divergence.SQL, "op12_jaccard_join": jaccard_join.SQL,
     "op13_fill_in_middle": infill.SQL,
 }
