@@ -4,58 +4,71 @@ Users fall into three kinds by their number of distinct items:
 
 * up to ``max_degree``: their item pairs come from a join whose groups are
   bounded by that number, and are summed map-side before the shuffle;
-* the few hottest ones (at most ``HOT``, a walk-in account may hold a third
-  of all rows): no pair is enumerated. Each item gets a bit mask of the hot
-  users that bought it; the shared part of a pair is the bit count of the
-  masks' AND. Items with equal masks form one class, and inside a class only
-  the ``top + 1`` least bought items can be anyone's best neighbour that is
-  shared through hot users alone, so at most ``2**HOT`` classes are compared;
+* hot ones, who bought more than one in ``HOT_SHARE`` of all items (a walk-in
+  account may hold a third of all rows): no pair is enumerated. Each item gets a
+  bitmap of the hot users that bought it, and the shared part of a pair is the
+  bit count of both bitmaps' AND, for any number of hot users. Items with equal
+  bitmaps form one class, and inside a class only the ``top + 1`` least bought
+  items can be anyone's best neighbour that is shared through hot users alone.
+  Classes are compared in tiles, of which only the best few of each row leave;
 * the rest: their items are cut into blocks of about ``max_degree`` and the
   block pairs are spread over tasks by their own key.
 
 Without any big user only the first part is planned.
 
-Nothing is dropped: all three parts add up to the exact counts.
+Nothing is dropped: all three parts add up to the exact counts. Pairs travel as
+two items and a count; item counts and bitmaps are attached to the sums.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.session import settle, shuffled, small_side
 
-HOT = 8
-PAIR = ["x_i", "x_n", "x_m", "y_i", "y_n", "y_m"]
+# Ship the helpers of this module inside the task, so that executors don't need the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Adding a bit to all pairs of items costs about as much as enumerating the pairs of so small a part of them.
+HOT_SHARE = 32
+# Rows of a tile of bitmaps.
+TILE = 2048
+# Neighbours (all lists together) that are broadcast; users with more items are spread.
+BROADCAST_ENTRIES = 4_000_000
+MANY_ITEMS = 10_000
 
 # Sums of whole units don't depend on the order in which tasks deliver them.
 UNITS = 1_000_000_000
 
 
-def hot_keys(counted: DataFrame, key: str, count: str, above: int) -> DataFrame:
-    """The at most ``HOT`` most frequent keys above a count, each with a bit."""
-    order = [F.desc(count), F.asc(key)]
-    head = counted.where(F.col(count) > above).orderBy(*order).limit(HOT)
-    bit = F.row_number().over(Window.orderBy(*order)) - 1
-    return head.select(key, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit"))
-
-
 def _no_bits() -> Column:
-    return F.lit(0).cast("bigint")
-
+    return F.array().cast("array<bigint>")
 
-def _bits(mask: str) -> Column:
-    every = F.array(*[F.lit(1 << k).cast("bigint") for k in range(HOT)])
-    return F.filter(every, lambda bit: F.col(mask).bitwiseAND(bit) != 0)
 
+def _bitmaps(pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """``i, m``: per item the words of its bitmap over the hot users (up to the last word that has a bit)."""
+    numbered = settle(hot.withColumn("bit", F.row_number().over(Window.orderBy(F.desc("d"), "u")) - 1), "hot-users")
+    words = (
+        pairs.join(numbered.select("u", "bit"), "u")
+        .groupBy("i", F.expr("bit div 64").cast("int").alias("at"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)).alias("word"))
+    )
+    held = F.map_from_entries(F.collect_list(F.struct("at", "word")))
+    word = lambda at: F.coalesce(F.try_element_at("held", at), F.lit(0).cast("bigint"))
+    sparse = words.groupBy("i").agg(held.alias("held"), F.max("at").alias("last"))
+    return sparse.select("i", F.transform(F.sequence(F.lit(0), "last"), word).alias("m"))
 
-def shared_classes(members: DataFrame, mask: str, wanted: DataFrame, wanted_mask: str) -> DataFrame:
-    """Rows of ``members`` for every wanted mask that has a bit in common.
 
-    Both sides hold one row per class times a constant, ``2**HOT`` at most.
-    """
-    asked = wanted.select(wanted_mask).distinct().withColumn("_bit", F.explode(_bits(wanted_mask)))
-    return asked.join(members.withColumn("_bit", F.explode(_bits(mask))), "_bit").drop("_bit").distinct()
+def _in_common(x: str, y: str) -> Column:
+    """The number of hot users in both bitmaps; words that one side lacks are empty."""
+    both = F.zip_with(x, y, lambda p, q: F.bit_count(F.coalesce(p, F.lit(0).cast("bigint")).bitwiseAND(F.coalesce(q, F.lit(0).cast("bigint")))))
+    return F.aggregate(both, F.lit(0).cast("bigint"), lambda total, n: total + n)
 
 
 def item_cosine(
@@ -74,63 +87,50 @@ def item_cosine(
         interactions.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct(), "purchases"
     )
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    items = settle(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "items")
+    n_items = items.count()
     big = degree.where(F.col("d") > max_degree)
-    items = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     if big.isEmpty():
-        known = pairs.join(items.withColumn("m", _no_bits()), "i")
-        counted = _meet(known, known, ["u"])
+        counted, marked = _meet(pairs, pairs, ["u"]), None
     else:
         big = settle(big, "big-users")
-        hot = hot_keys(big, "u", "d", max_degree)
-        masks = pairs.join(F.broadcast(hot), "u").groupBy("i").agg(F.bit_or("bit").alias("m"))
-        items = settle(
-            items.join(masks, "i", "left").select("i", "n", F.coalesce("m", _no_bits()).alias("m")),
-            "item-masks",
-        )
-        known = pairs.join(items, "i")
-        small = known.join(big.select("u"), "u", "left_anti")
-        rest = big.join(hot.select("u"), "u", "left_anti")
-        through_hot = _hot_pairs(items) if top is None else _hot_candidates(items, top)
+        hot, rest = (big.where(F.col("d") * HOT_SHARE > n_items), big.where(F.col("d") * HOT_SHARE <= n_items))
+        marked = settle(_bitmaps(pairs, hot).join(items, "i"), "bitmaps")
+        small = pairs.join(big.select("u"), "u", "left_anti")
+        through_hot = _hot_pairs(marked) if top is None else _hot_candidates(marked, top)
         counted = (
             _meet(small, small, ["u"])
-            .unionByName(_meet(*_blocks(known, rest, max_degree), ["u", "lo", "hi"]))
+            .unionByName(_meet(*_blocks(pairs, rest, max_degree), ["u", "lo", "hi"]))
             .unionByName(through_hot)
         )
-    scored = _cosines(counted)
+    scored = _cosines(counted, items, n_items, marked)
     if top is None:
         return _both_ways(scored)
-    return _best_per_item(settle(scored, "item-pairs"), top, pairs.agg(F.count_distinct("i")).first()[0])
-
-
-def _end(df: DataFrame, end: str, *keys: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(f"{end}_{c}") for c in ("i", "n", "m")])
+    return _best_per_item(settle(scored, "item-pairs"), top, n_items)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Item pairs within a group that is bounded by construction, lower item first."""
-    met = _end(left, "x", *keys).join(shuffled(_end(right, "y", *keys)), keys)
+    met = left.select(*keys, F.col("i").alias("x")).join(shuffled(right.select(*keys, F.col("i").alias("y"))), keys)
+    one = F.lit(1).alias("c")
     if "lo" not in keys:
-        return met.where("x_i < y_i").select(*PAIR, F.lit(1).alias("c"))
+        return met.where("x < y").select("x", "y", one)
     # Blocks: inside one block each pair once, across blocks both orders occur.
-    met = met.where("lo <> hi OR x_i < y_i").select(*PAIR, F.lit(1).alias("c"))
-    return _lower_first(met)
+    return _lower_first(met.where("lo <> hi OR x < y").select("x", "y", one))
 
 
 def _lower_first(df: DataFrame) -> DataFrame:
-    swap = F.col("x_i") > F.col("y_i")
-    low = [F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}") for c in "inm"]
-    high = [F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"y_{c}") for c in "inm"]
-    return df.select(*low, *high, "c")
+    return df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c")
 
 
-def _blocks(known: DataFrame, users: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(pairs: DataFrame, users: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Items of big users in hashed blocks, once per block pair and role.
 
     The join key (user, low block, high block) spreads one user over
     as many groups as it has block pairs.
     """
     cut = (
-        known.join(users, "u")
+        pairs.join(users, "u")
         .withColumn("nb", F.ceil(F.col("d") / F.lit(size)).cast("int"))
         .withColumn("k", F.pmod(F.hash("i"), F.col("nb")))
     )
@@ -139,14 +139,19 @@ def _blocks(known: DataFrame, users: DataFrame, size: int) -> tuple[DataFrame, D
     return low, high
 
 
-def _cosines(counted: DataFrame) -> DataFrame:
+def _cosines(counted: DataFrame, items: DataFrame, n_items: int, marked: DataFrame | None) -> DataFrame:
     """Sum the parts of each pair, add what hot users share, and normalise."""
-    total = counted.groupBy(*PAIR).agg(F.sum("c").alias("c"))
-    common = F.col("c") + F.bit_count(F.col("x_m").bitwiseAND(F.col("y_m")))
+    total = counted.groupBy("x", "y").agg(F.sum("c").alias("c"))
+    for end in "xy":
+        own = items.select(F.col("i").alias(end), F.col("n").alias(f"{end}_n"))
+        total = total.join(small_side(own, n_items), end)
+        if marked is not None:
+            # A bitmap has a word for each 64 hot users.
+            bits = marked.select(F.col("i").alias(end), F.col("m").alias(f"{end}_m"))
+            total = total.join(bits, end, "left").withColumn(f"{end}_m", F.coalesce(f"{end}_m", _no_bits()))
+    common = F.col("c") if marked is None else F.col("c") + _in_common("x_m", "y_m")
     norm = F.sqrt(F.col("x_n").cast("double") * F.col("y_n").cast("double"))
-    return total.select(
-        F.col("x_i").alias("item_a"), F.col("y_i").alias("item_b"), (common / norm).alias("cosine")
-    )
+    return total.select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), (common / norm).alias("cosine"))
 
 
 def _both_ways(scored: DataFrame, *more: Column) -> DataFrame:
@@ -187,37 +192,126 @@ def _best_per_item(scored: DataFrame, top: int, n_items: int) -> DataFrame:
     )
 
 
-def _hot_candidates(items: DataFrame, top: int) -> DataFrame:
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Bitmaps of different lengths as one matrix."""
+    lists = column.to_pylist()
+    out = np.zeros((len(lists), max(map(len, lists), default=0)), dtype=np.int64)
+    for row, words in zip(out, lists, strict=True):
+        row[:len(words)] = words
+    return out.view(np.uint64)
+
+
+def _tiles(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in even tiles, copied to each pair of tiles: ``l_tile, r_tile``."""
+    counts = [max(1, -(-side.count() // TILE)) for side in (left, right)]
+    dealt = []
+    for side, own, other, n, m in ((left, "l_tile", "r_tile", *counts), (right, "r_tile", "l_tile", *counts[::-1])):
+        tile = F.pmod(F.xxhash64(*side.columns), F.lit(n)).cast("int")
+        dealt.append(side.withColumn(own, tile).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))))
+    return dealt[0], dealt[1]
+
+
+def _hot_candidates(marked: DataFrame, top: int) -> DataFrame:
     """Pairs worth scoring because hot users share them; their count starts at 0."""
-    marked = items.where(F.col("m") != 0)
     in_class = Window.partitionBy("m").orderBy("n", "i")
     heads = (
         marked.withColumn("_r", F.row_number().over(in_class))
         .where(F.col("_r") <= top + 1)
-        .select(F.col("i").alias("y_i"), F.col("n").alias("y_n"), F.col("m").alias("y_m"))
+        .select(F.col("i").alias("y"), "n", "m")
     )
-    options = shared_classes(heads, "y_m", marked, "m")
-    value = F.bit_count(F.col("m").bitwiseAND(F.col("y_m"))) / F.sqrt(F.col("y_n").cast("double"))
-    best = Window.partitionBy("m").orderBy(F.desc(F.rint(value * 1e12)), "y_i")
-    chosen = (
-        options.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top + 1).drop("_r")
+    asked = marked.select("m").distinct()
+    kind = marked.schema["i"].dataType.simpleString()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The ``top + 1`` best items of this tile for each bitmap of the other, the lower item first on ties."""
+        right = right.sort_by("y")
+        a, b = _words(left.column("m")), _words(right.column("m"))
+        width = min(a.shape[1], b.shape[1])
+        root = np.sqrt(right.column("n").to_numpy().astype(np.float64))
+        none = np.zeros(0, dtype=np.int64)
+        rows, chosen, values = [none], [none], [none.astype(np.float64)]
+        for at in range(len(a)):
+            shared = np.bitwise_count(a[at, :width] & b[:, :width]).sum(axis=1)
+            value = np.rint(shared / root * 1e12)
+            some = np.flatnonzero(shared)
+            if len(some) > top + 1:
+                least = -np.partition(-value[some], top)[top]
+                some = some[value[some] >= least]
+            some = some[np.argsort(-value[some], kind="stable")][:top + 1]
+            rows.append(np.full(len(some), at))
+            chosen.append(some)
+            values.append(value[some])
+        return pa.table({"m": left.column("m").take(pa.array(np.concatenate(rows))),
+                         "y": right.column("y").take(pa.array(np.concatenate(chosen))), "value": pa.array(np.concatenate(values))})
+
+    left, right = _tiles(asked, heads)
+    keys = ["l_tile", "r_tile"]
+    options = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"m array<bigint>, y {kind}, value double")
+    in_mask = Window.partitionBy("m").orderBy(F.desc("value"), "y")
+    chosen = options.withColumn("_r", F.row_number().over(in_mask)).where(F.col("_r") <= top + 1).select("m", "y")
+    pairs = marked.select(F.col("i").alias("x"), "m").join(shuffled(chosen), "m").where("x <> y")
+    return _lower_first(pairs.select("x", "y", F.lit(0).alias("c"))).distinct()
+
+
+def _hot_pairs(marked: DataFrame) -> DataFrame:
+    """Without a limit per item every pair shared through a hot user is output."""
+    kind = marked.schema["i"].dataType.simpleString()
+
+    def shared(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = _words(left.column("m")), _words(right.column("m"))
+        width = min(a.shape[1], b.shape[1])
+        met = [np.flatnonzero((a[at, :width] & b[:, :width]).any(axis=1)) for at in range(len(a))]
+        rows = np.repeat(np.arange(len(a)), np.array([len(m) for m in met], dtype=np.int64))
+        cols = np.concatenate([*met, np.zeros(0, dtype=np.int64)])
+        return pa.table({"x": left.column("i").take(pa.array(rows)), "y": right.column("i").take(pa.array(cols))})
+
+    left, right = _tiles(marked.select("i", "m"), marked.select("i", "m"))
+    keys = ["l_tile", "r_tile"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(shared, f"x {kind}, y {kind}")
+    return met.where("x < y").select("x", "y", F.lit(0).alias("c"))
+
+
+def _neighbours(similarity: DataFrame) -> DataFrame:
+    """``i, near``: each item with its neighbours and their weights in whole units."""
+    weight = F.round(F.col("cosine") * UNITS).cast("bigint")
+    return similarity.groupBy(F.col("item_a").alias("i")).agg(
+        F.collect_list(F.struct(F.col("item_b").alias("j"), weight.alias("w"))).alias("near")
     )
-    pairs = marked.join(F.broadcast(chosen), "m").where("i <> y_i")
-    return _lower_first(
-        pairs.select(
-            F.col("i").alias("x_i"), F.col("n").alias("x_n"), F.col("m").alias("x_m"),
-            "y_i", "y_n", "y_m", F.lit(0).alias("c"),
-        )
-    ).distinct()
 
 
-def _hot_pairs(items: DataFrame, spread: int = 64) -> DataFrame:
-    """Without a limit per item every pair shared through a hot user is output."""
-    marked = items.where(F.col("m") != 0).withColumn("bit", F.explode(_bits("m")))
-    left = marked.withColumn("s", F.pmod(F.hash("i"), F.lit(spread)))
-    right = marked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    met = _end(left, "x", "bit", "s").join(_end(right, "y", "bit", "s"), ["bit", "s"])
-    return met.where("x_i < y_i").select(*PAIR, F.lit(0).alias("c"))
+def summed_neighbours(have: DataFrame, similarity: DataFrame, *also: DataFrame) -> DataFrame:
+    """``u, i, w, known`` and the marks of ``also``: the neighbours of a user's items, their weights added up.
+
+    ``have`` is (u, i), distinct. Each of ``also`` has (u, i) and one more
+    column, a mark of 1 for pairs to be recognised among the sums.
+    Most users are dealt to tasks once, items meet a broadcast table of neighbours (if
+    counted small) there, and sums are local; those with more than
+    ``MANY_ITEMS`` items are dealt by (user, neighbour), so that no task holds one.
+    """
+    near = settle(_neighbours(similarity), "neighbours")
+    entries = near.agg(F.sum(F.size("near"))).first()[0] or 0
+    many = have.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_ITEMS).select("u")
+    marks = [have.withColumn("known", F.lit(1)), *also]
+    names = [frame.columns[-1] for frame in marks]
+
+    def rows(frame: DataFrame, mark: str | None) -> DataFrame:
+        weight = [] if "w" in frame.columns else [F.lit(0).cast("bigint").alias("w")]
+        marked = [(F.lit(1) if n == mark else F.lit(0)).alias(n) for n in names]
+        return frame.select("u", "i", *(weight or ["w"]), *marked)
+
+    def summed(own: DataFrame, extra: list[DataFrame]) -> DataFrame:
+        met = own.join(small_side(near, entries, BROADCAST_ENTRIES), "i").select("u", F.explode("near").alias("e"))
+        every = rows(met.select("u", F.col("e.j").alias("i"), F.col("e.w").alias("w")), None)
+        for frame, mark in zip(extra, names, strict=True):
+            every = every.unionByName(rows(frame, mark))
+        return every.groupBy("u", "i").agg(F.sum("w").alias("w"), *(F.max(n).alias(n) for n in names))
+
+    if many.isEmpty():
+        return summed(have.repartition("u"), [m.repartition("u") for m in marks])
+    many = settle(many, "many-items")
+    few = [m.join(many, "u", "left_anti").repartition("u") for m in (have, *marks)]
+    rest = [m.join(many, "u", "left_semi") for m in (have, *marks)]
+    return summed(few[0], few[1:]).unionByName(summed(rest[0], rest[1:]))
 
 
 def recommend_items(
@@ -232,23 +326,8 @@ def recommend_items(
     Each item meets one row holding its neighbours (a bounded array), and known
     items are marked in the same aggregation instead of in another join.
     """
-    have = owned.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct()
-    weight = F.round(F.col("cosine") * UNITS).cast("bigint")
-    near = similarity.groupBy(F.col("item_a").alias("i")).agg(
-        F.collect_list(F.struct(F.col("item_b").alias("j"), weight.alias("w"))).alias("near")
-    )
-    reached = (
-        have.join(near, "i")
-        .select("u", F.explode("near").alias("e"))
-        .select("u", F.col("e.j").alias("i"), F.col("e.w").alias("w"), F.lit(0).alias("known"))
-    )
-    marks = have.select("u", "i", F.lit(0).cast("bigint").alias("w"), F.lit(1).alias("known"))
-    sums = (
-        reached.unionByName(marks)
-        .groupBy("u", "i")
-        .agg(F.sum("w").alias("w"), F.max("known").alias("known"))
-        .where((F.col("known") == 0) & (F.col("w") > 0))
-    )
+    have = settle(owned.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct(), "owned")
+    sums = summed_neighbours(have, similarity).where((F.col("known") == 0) & (F.col("w") > 0))
     best = Window.partitionBy("u").orderBy(F.desc("w"), "i")
     ranked = sums.withColumn("rnk", F.row_number().over(best))
     if k is not None:
@@ -260,3 +339,35 @@ def recommend_items(
         (F.col("w") / F.lit(float(UNITS)) / F.col("n")).alias("score"),
         "rnk",
     )
+
+
+def target_ranks(owned: DataFrame, targets: DataFrame, similarity: DataFrame) -> DataFrame:
+    """``u, i, rnk`` of the wanted items (u, i) that are recommended at all, without ranking the others.
+
+    The place of an item is one more than the number of better ones: those in
+    higher bins, from a histogram of the user's scores (eight bins to a doubling), and the
+    better ones of its own bin. So a user's scores are added up and counted, never sorted.
+    """
+    sums = summed_neighbours(owned, similarity, targets.withColumn("wanted", F.lit(1)))
+    # The bits before and after the leading one; whole numbers, so bins ascend exactly as scores do.
+    places = F.length(F.bin("w"))
+    low = F.call_function("shiftright", F.col("w"), F.greatest(places - 4, F.lit(0))) % 8
+    scored = settle(
+        sums.where("known = 0 AND w > 0").select("u", "i", "w", "wanted", (places * 8 + low).cast("int").alias("bin")), "scored"
+    )
+    wanted = scored.where("wanted = 1").drop("wanted")
+    histogram = scored.groupBy("u", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("u").agg(
+        F.collect_list(F.struct("bin", "n")).alias("bins")
+    )
+    higher = F.aggregate(
+        F.filter("bins", lambda x: x["bin"] > F.col("bin")), F.lit(0).cast("bigint"), lambda total, x: total + x["n"]
+    )
+    above = wanted.join(histogram, "u").select("u", "i", higher.alias("above"))
+    others = scored.select("u", "bin", F.col("i").alias("j"), F.col("w").alias("v"))
+    better = (
+        others.join(wanted.hint("shuffle_hash"), ["u", "bin"])
+        .where("v > w OR (v = w AND j < i)")
+        .groupBy("u", "i").agg(F.count(F.lit(1)).alias("beside"))
+    )
+    rank = (F.col("above") + F.coalesce("beside", F.lit(0)) + 1).alias("rnk")
+    return above.join(better, ["u", "i"], "left").select("u", "i", rank)

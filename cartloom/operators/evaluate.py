@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.operators.nearest import nearest_and_served, recommend_for_baskets
+from cartloom.operators.cosine import target_ranks
+from cartloom.operators.nearest import nearest_basket, recommend_for_baskets
+from cartloom.session import settle
 
 
 def _ends(lines: DataFrame, order: list[str]) -> DataFrame:
@@ -52,7 +54,10 @@ def hit_rate(
 def rank_positions(
     held_out: DataFrame, stored: DataFrame, similarity: DataFrame, order: list[str]
 ) -> DataFrame:
-    """``basket_id, target, pos``: 0-based places of the other items when asked by the first."""
+    """``basket_id, target, pos``: 0-based places of the other items when asked by the first.
+
+    A target listed several times in its basket is there as often.
+    """
     ends = _ends(held_out, order).where(F.col("n") >= 2)
     first = ends.select(F.col("basket_id").alias("query_id"), F.col("first_item").alias("item"))
     targets = (
@@ -60,12 +65,13 @@ def rank_positions(
         .where(F.struct(*order) > F.col("first_place"))
         .select("basket_id", F.col("item").alias("target"))
     )
-    # The served rows are those of the nearest baskets only; targets look them up by (basket, item),
-    # so no recommendation is written out for a query that doesn't want it.
-    near, served = nearest_and_served(first, stored, similarity, None)
-    wanted = targets.join(near.select(F.col("query_id").alias("basket_id"), F.col("basket_id").alias("_near")), "basket_id")
-    offered = served.select(F.col("basket_id").alias("_near"), F.col("item").alias("target"), (F.col("rnk") - 1).alias("pos"))
-    return wanted.join(offered, ["_near", "target"]).select("basket_id", "target", "pos")
+    near = settle(nearest_basket(first, stored).select(F.col("query_id").alias("basket_id"), F.col("basket_id").alias("u")), "nearest")
+    wanted = settle(targets.join(near, "basket_id").withColumnRenamed("target", "i"), "wanted")
+    # Many queries share a nearest basket and a target: each such pair is placed once.
+    asked = wanted.select("u", "i").distinct()
+    served = stored.select(F.col("basket_id").alias("u"), F.col("item").alias("i")).join(asked, "u", "left_semi").distinct()
+    places = target_ranks(settle(served, "served"), settle(asked, "asked"), similarity)
+    return wanted.join(places, ["u", "i"]).select("basket_id", F.col("i").alias("target"), (F.col("rnk") - 1).cast("int").alias("pos"))
 
 
 def rule_hits(baskets: DataFrame, rules: DataFrame, order: list[str]) -> DataFrame:

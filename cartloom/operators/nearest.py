@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.operators.cosine import hot_keys, recommend_items, shared_classes
+from cartloom.operators.cosine import recommend_items
 from cartloom.operators.similar import similar_products
 from cartloom.session import settle, shuffled
 
+# Items probed in the first round; each further round probes twice as many.
+FIRST_PROBES = 2
+# Sets of more distinct items are met by counting common items: their remainders
+# from each item on would take the square of their size.
+LONG_SET = 256
 
 
 def nearest_basket(
@@ -26,11 +31,16 @@ def nearest_basket(
 
     Baskets of the same items collapse first on both sides: only the best of
     them can be an answer (the second best if the best asks itself), so any
-    number of copies costs as much as one. Items in more than
-    ``max_postings`` different item sets would still pair up too many
-    candidates. The hottest of them become bits of a mask per set: a pair
-    found through another item adds the bit count of both masks, and for
-    pairs that share hot items only, two champions per mask are enough.
+    number of copies costs as much as one.
+
+    Items are probed rarest first, in rounds. A pair of sets is found at its
+    rarest common item, where what both have in common is in their remainders:
+    the items from there on. So a posting holds, for each different remainder,
+    its two best sets. However many sets hold the most frequent item, it has one
+    remainder; the next has two at most, and so on. A query leaves as soon as
+    its best overlap exceeds the number of items it hasn't probed. Postings of
+    more than ``max_postings`` remainders, and the queries that probe one, are
+    dealt to as many tasks as that takes.
     """
     place = Window.partitionBy("items").orderBy("size", "basket_id")
     first, second = F.col("_r") == 1, F.col("_r") == 2
@@ -53,18 +63,14 @@ def nearest_basket(
         asked.groupBy("items").agg(F.min("query_id").alias("kid")).join(own, "items", "left"),
         "query-sets",
     )
-
-    held = shelf.select("sid", "size", F.explode("items").alias("item"))
-    probes = kinds.select("kid", F.col("sid").alias("own"), F.explode("items").alias("item"))
-    postings = held.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    if postings.where(F.col("n") > max_postings).isEmpty():
-        found = _through(probes, held).withColumnRenamed("c", "overlap")
-    else:
-        found = _with_hot_items(probes, held, hot_keys(postings, "item", "n", max_postings))
-
-    best = found.groupBy("kid").agg(
-        F.min(F.struct((-F.col("overlap")).alias("o"), "size", "sid")).alias("b")
+    frequency = settle(
+        shelf.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")),
+        "item-frequency",
     )
+    held = settle(_rarest_first(shelf, frequency, "sid", "size"), "ordered-sets")
+    probing = _rarest_first(kinds.withColumnRenamed("sid", "own"), frequency, "kid", "own")
+    best = _best(settle(probing, "open-queries"), held, max_postings)
+
     full = (-F.size("items").cast("bigint")).alias("o")
     among_copies = F.when(
         F.col("sid") != F.col("query_id"), F.struct(full, F.col("size"), F.col("sid"))
@@ -90,49 +96,110 @@ def _item_sets(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _through(probes: DataFrame, held: DataFrame, *masks: str) -> DataFrame:
-    """Pairs of different sets that share an item, with the number ``c`` of such items."""
-    return (
-        probes.join(shuffled(held), "item")
-        .where(F.col("own").isNull() | (F.col("own") != F.col("sid")))
-        .groupBy("kid", "sid", "size", *masks)
-        .agg(F.count(F.lit(1)).alias("c"))
+def _rarest_first(sets: DataFrame, frequency: DataFrame, *keys: str) -> DataFrame:
+    """``keys, items``: the items that any stored set has, rarest first."""
+    ranked = sets.select(*keys, F.explode("items").alias("item")).join(frequency, "item")
+    return ranked.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("n", "item"))).getField("item").alias("items")
     )
 
 
-def _with_hot_items(probes: DataFrame, held: DataFrame, hot: DataFrame) -> DataFrame:
-    """Candidates ``kid, sid, size, overlap`` with the hot items as masks."""
-    none = F.lit(0).cast("bigint")
-    in_common = F.bit_count(F.col("qm").bitwiseAND(F.col("bm"))).cast("bigint")
+def _remainders(sets: DataFrame, *keys: str) -> DataFrame:
+    """``keys, at, item, rest``: each item with the items from it on."""
+    return sets.select(*keys, F.posexplode("items").alias("at", "item"), "items").select(
+        *keys, "at", "item", F.expr("slice(items, at + 1, size(items))").alias("rest")
+    )
 
-    def masks(df: DataFrame, *keys: str) -> DataFrame:
-        return df.join(F.broadcast(hot), "item").groupBy(*keys).agg(F.bit_or("bit").alias("m"))
 
-    def plain(df: DataFrame, key: str, marked: DataFrame, out: str) -> DataFrame:
-        rest = df.join(F.broadcast(hot.select("item")), "item", "left_anti")
-        return rest.join(marked.select(key, "m"), key, "left").withColumn(out, F.coalesce("m", none)).drop("m")
+def _postings(held: DataFrame, max_postings: int) -> DataFrame:
+    """``item, slice, slices, entries``: per item its remainders, each with its two best sets."""
+    in_rest = Window.partitionBy("item", "rest").orderBy("size", "sid")
+    champion = F.struct("size", "sid")
+    distinct = settle(
+        _remainders(held, "sid", "size")
+        .withColumn("_r", F.row_number().over(in_rest))
+        .where(F.col("_r") <= 2)
+        .groupBy("item", "rest")
+        .agg(
+            F.min(champion).alias("first"),
+            F.min(F.when(F.col("_r") == 2, champion)).alias("second"),
+        ),
+        "remainders",
+    )
+    slices = distinct.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / max_postings).cast("int").alias("slices"))
+    return (
+        distinct.join(slices, "item")
+        .withColumn("slice", F.pmod(F.xxhash64("rest"), F.col("slices")).cast("int"))
+        .groupBy("item", "slice", "slices")
+        .agg(F.collect_list(F.struct("rest", "first", "second")).alias("entries"))
+    )
 
-    marked = masks(held, "sid", "size")
-    wanted = masks(probes, "kid", "own")
-    through_plain = _through(
-        plain(probes, "kid", wanted, "qm"), plain(held, "sid", marked, "bm"), "qm", "bm"
-    ).select("kid", "sid", "size", (F.col("c") + in_common).alias("overlap"))
 
-    # Two champions per mask, then two per asked mask: one may be the asking set.
-    in_mask = Window.partitionBy("m").orderBy("size", "sid")
-    champions = (
-        marked.withColumn("_r", F.row_number().over(in_mask))
-        .where(F.col("_r") <= 2)
-        .select(F.col("m").alias("bm"), "sid", "size")
+def _probed(probes: DataFrame, postings: DataFrame, max_postings: int) -> DataFrame:
+    """``kid, b``: the best set that each query finds through the items it probes."""
+    asking = probes.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / max_postings).cast("int").alias("parts"))
+    dealt = (
+        probes.join(postings.select("item", "slices").distinct(), "item")
+        .join(asking, "item")
+        .withColumn("part", F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int"))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .drop("slices", "parts")
+    )
+    copies = postings.drop("slices").join(asking, "item").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
-    wanted = wanted.withColumnRenamed("m", "qm")
-    options = shared_classes(champions, "bm", wanted, "qm").withColumn("overlap", in_common)
-    in_asked = Window.partitionBy("qm").orderBy(F.desc("overlap"), "size", "sid")
-    per_mask = options.withColumn("_r", F.row_number().over(in_asked)).where(F.col("_r") <= 2)
-    through_hot = wanted.join(F.broadcast(per_mask), "qm").where(
-        F.col("own").isNull() | (F.col("own") != F.col("sid"))
+
+    def candidate(entry: Column) -> Column:
+        mine = entry["first"]["sid"] == F.col("own")
+        chosen = F.when(F.coalesce(mine, F.lit(False)), entry["second"]).otherwise(entry["first"])
+        common = F.size(F.array_intersect(entry["rest"], F.col("rest")))
+        found = F.struct((-common).cast("bigint").alias("o"), chosen["size"].alias("size"), chosen["sid"].alias("sid"))
+        return F.when(chosen.isNotNull(), found)
+
+    met = dealt.join(shuffled(copies.drop("parts")), ["item", "slice", "part"])
+    return met.select("kid", F.array_min(F.transform("entries", candidate)).alias("b")).groupBy("kid").agg(F.min("b").alias("b"))
+
+
+def _best(open_: DataFrame, held: DataFrame, max_postings: int) -> DataFrame:
+    """``kid, b`` with b (o: minus the overlap, size, sid) for each query that has a common item with a set."""
+    short, long_ = F.size("items") <= LONG_SET, F.size("items") > LONG_SET
+    counted = None
+    if not (held.where(long_).isEmpty() and open_.where(long_).isEmpty()):
+        counted = _through(open_, held.where(long_)).unionByName(_through(open_.where(long_), held.where(short)))
+        counted = counted.groupBy("kid").agg(F.min("b").alias("b"))
+    postings = settle(_postings(held.where(short), max_postings), "postings")
+    kind = held.schema["sid"].dataType.simpleString()
+    open_ = open_.where(short).withColumn("b", F.lit(None).cast(f"struct<o: bigint, size: bigint, sid: {kind}>"))
+    answered, done, probes = None, 0, FIRST_PROBES
+    while True:
+        upto = done + probes
+        turn = _remainders(open_, "kid", "own").where(F.col("at").between(done, upto - 1)).drop("at")
+        found = _probed(turn, postings, max_postings).withColumnRenamed("b", "new")
+        seen = settle(
+            open_.join(found, "kid", "left").select("kid", "own", "items", F.least("b", "new").alias("b")), "probed"
+        )
+        left = F.size("items") - upto
+        leaves = (left <= 0) | F.coalesce(-F.col("b.o") > left, F.lit(False))
+        gone = seen.where(leaves & F.col("b").isNotNull()).select("kid", "b")
+        answered = gone if answered is None else answered.unionByName(gone)
+        open_, done, probes = seen.where(~leaves), upto, probes * 2
+        if open_.isEmpty():
+            break
+    if counted is None:
+        return answered
+    return answered.unionByName(counted).groupBy("kid").agg(F.min("b").alias("b"))
+
+
+def _through(probing: DataFrame, held: DataFrame) -> DataFrame:
+    """``kid, b`` of all pairs of different sets that share an item, by counting such items."""
+    probes = probing.select("kid", "own", F.explode("items").alias("item"))
+    return (
+        probes.join(shuffled(held.select("sid", "size", F.explode("items").alias("item"))), "item")
+        .where(F.col("own").isNull() | (F.col("own") != F.col("sid")))
+        .groupBy("kid", "sid", "size")
+        .agg((-F.count(F.lit(1))).alias("o"))
+        .select("kid", F.struct("o", "size", "sid").alias("b"))
     )
-    return through_plain.unionByName(through_hot.select("kid", "sid", "size", "overlap"))
 
 
 def nearest_and_served(

@@ -107,6 +107,6 @@ def shuffled(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
+def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a narrow table whose counted size allows it, else leave the join to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df

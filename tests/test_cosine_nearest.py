@@ -3,6 +3,8 @@ from math import sqrt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cartloom import schemas
 from cartloom.operators import cosine, evaluate, nearest
 
@@ -87,6 +89,82 @@ def test_nearest_basket(spark, postings, same):
     assert got == want
 
 
+def brute_nearest(asked, lines, same):
+    """The best stored basket of each query, by looking at all."""
+    sets, out = {}, {}
+    for b, i in lines:
+        sets.setdefault(b, []).append(i)
+    mine = {}
+    for q, i in asked:
+        mine.setdefault(q, set()).add(i)
+    for q, own in mine.items():
+        options = [(-len(own & set(held)), len(held), b) for b, held in sets.items() if own & set(held) and not (same and q == b)]
+        if options:
+            o, s, b = min(options)
+            out[q] = (b, -o, s)
+    return out
+
+
+def hot_baskets(rng, n, hot=30, cold=400):
+    """Baskets of which most hold several of 30 items that a fifth to a half of all baskets hold."""
+    chance = {i: rng.uniform(0.2, 0.5) for i in range(hot)}
+    lines = []
+    for b in range(n):
+        items = [i for i in range(hot) if rng.random() < chance[i] * (rng.random() < 0.5)]
+        items += [hot + rng.randrange(cold) for _ in range(rng.randrange(3))]
+        lines += [(b, i) for i in items + items[:rng.randrange(2)]]
+    return lines
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_basket_with_thirty_hot_items(spark, same):
+    rng = random.Random(30)
+    lines = hot_baskets(rng, 500)
+    asked = lines if same else [(1000 + q, i) for q, i in hot_baskets(rng, 200)]
+    got = nearest.nearest_basket(
+        spark.createDataFrame(asked, "query_id long, item long"), spark.createDataFrame(lines, "basket_id long, item long"), 50, same
+    )
+    assert {r.query_id: (r.basket_id, r.overlap, r.size) for r in got.collect()} == brute_nearest(asked, lines, same)
+
+
+def test_nearest_basket_with_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LONG_SET", 12)
+    rng = random.Random(3)
+    lines = [(b, i) for b in range(80) for i in rng.sample(range(60), rng.choice([1, 3, 12, 13, 30]))]
+    for same in (True, False):
+        asked = lines if same else [(q + 500, i) for q, i in lines if q % 3]
+        got = nearest.nearest_basket(
+            spark.createDataFrame(asked, "query_id long, item long"), spark.createDataFrame(lines, "basket_id long, item long"), 10, same
+        )
+        assert {r.query_id: (r.basket_id, r.overlap, r.size) for r in got.collect()} == brute_nearest(asked, lines, same)
+
+
+def test_a_posting_holds_remainders_not_baskets(spark):
+    """The most frequent item has one remainder, however many baskets hold it."""
+    lines = [(b, i) for b in range(3000) for i in ([0] if b % 2 else [0, 1]) + [10 + b % 500]]
+    stored = spark.createDataFrame(lines, "basket_id long, item long")
+    sets = nearest._item_sets(stored, "basket_id").withColumnRenamed("basket_id", "sid")
+    frequency = stored.groupBy("item").agg(F.count("*").alias("n"))
+    postings = nearest._postings(nearest._rarest_first(sets, frequency, "sid", "size"), 1000)
+    entries = {r.item: r.n for r in postings.groupBy("item").agg(F.sum(F.size("entries")).alias("n")).collect()}
+    assert entries[0] == 1 and entries[1] == 1 and max(entries.values()) <= 2
+
+
+@pytest.mark.parametrize("many", [10_000, 5])
+def test_places_by_counting_equal_places_by_ranking(spark, monkeypatch, many):
+    monkeypatch.setattr(cosine, "MANY_ITEMS", many)
+    rows = skewed(9, 60, 40)
+    df = spark.createDataFrame(rows, "user long, item long")
+    sims = cosine.item_cosine(df, "user", "item", 12)
+    ranked = cosine.recommend_items(df, sims, "user", "item", None)
+    want = {(r.user, r.item): r.rnk for r in ranked.collect()}
+    users = sorted({u for u, _ in rows})
+    targets = [(u, i) for u in users for i in range(45)]
+    have = df.select(F.col("user").alias("u"), F.col("item").alias("i"))
+    got = cosine.target_ranks(have, spark.createDataFrame(targets, "u long, i long"), sims)
+    assert {(r.u, r.i): r.rnk for r in got.collect()} == want
+
+
 def test_fallback_chain(spark):
     stored = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 10)], "basket_id long, item long")
     sims = cosine.item_cosine(stored, "basket_id", "item")
