@@ -112,6 +112,35 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def best_window(short: str, long_: str) -> int:
+    """The largest LCS of ``short`` with any equally long window of ``long_``.
+
+    All windows are compared in one pass: each has its own lane in one big
+    integer, ``len(short)`` bits and a spare one that stops its carry. The
+    matches of all characters of ``long_``, one per lane, are laid out once;
+    each step shifts them on by a lane, so every window reads its next character.
+    """
+    n = len(short)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    lane = n + 1
+    matches = 0
+    for j, ch in enumerate(long_):
+        if ch in where:
+            matches |= where[ch] << (j * lane)
+    windows = len(long_) - n + 1
+    ones = ((1 << (windows * lane)) - 1) // ((1 << lane) - 1)
+    full = ((1 << n) - 1) * ones
+    row = full
+    for _ in range(n):
+        hit = row & matches
+        row = ((row + hit) | (row - hit)) & full
+        matches >>= lane
+    lanes = (1 << lane) - 1
+    return n - min(((row >> (i * lane)) & lanes).bit_count() for i in range(windows))
+
+
 def partial_ratio_of(a: str, b: str) -> int:
     """Best ``ratio`` of the shorter string with an equally long window."""
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
@@ -119,8 +148,7 @@ def partial_ratio_of(a: str, b: str) -> int:
         return 0
     if short in long_:
         return 100
-    n = len(short)
-    return max(ratio_of(short, long_[i : i + n]) for i in range(len(long_) - n + 1))
+    return round(100 * (2 * best_window(short, long_) / (2 * len(short))))
 
 
 def token_set_of(a: str, b: str, score=ratio_of) -> int:

@@ -237,15 +237,18 @@ def ratio_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataFram
 
 
 def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataFrame:
-    """``left_name, right_name, score`` with the weighted score, cutoff 90 or more.
+    """``left_name, right_name, score`` with the weighted score at or above the cutoff.
 
-    At these cutoffs the score comes from the plain ratio, from a token score
-    of at least ``cutoff / 0.95``, or from a string contained in one up to
-    eight times as long; each has its own equi-join.
+    The score comes from the plain ratio, from a token score of at least
+    ``cutoff / 0.95``, or, for names of unequal length, from the best window of
+    the longer one; each has its own candidates. At a cutoff of 90 a window must
+    contain the whole shorter name. Below, it may lack some characters, and
+    up to 86 a word in common is enough, since it fills a window by itself.
     """
-    if cutoff < 90:
-        raise ValueError("the weighted score is supported for cutoffs of 90 and more")
     lk, rk = _prepare(left, "left_name", False), _prepare(right, "right_name", False)
+    if cutoff < 90:
+        # Read by each route below.
+        lk, rk = settle(lk, "left-keys"), settle(rk, "right-keys")
     close = _close_candidates(lk, rk, _floor_of(cutoff)).select("l_key", "r_key")
 
     token_cutoff = math.ceil((cutoff - 0.5) / text.TOKEN_WEIGHT)
@@ -263,6 +266,8 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
     if cutoff == 90:
         found = found.unionByName(_contained(lk, "l_", rk, "r_")).unionByName(_contained(rk, "r_", lk, "l_"))
         found = found.unionByName(_nearly_contained(lk, rk))
+    elif cutoff < 90:
+        found = found.unionByName(_by_window(lk, rk, cutoff))
     scored = (
         found.distinct()
         .withColumn("score", text.weighted_ratio("l_key", "r_key"))
@@ -271,6 +276,35 @@ def weighted_pairs(left: DataFrame, right: DataFrame, cutoff: int = 90) -> DataF
     return _back_to_names(scored, left, right, False)
 
 
+def _by_window(left: DataFrame, right: DataFrame, cutoff: int) -> DataFrame:
+    """Pairs of unequal length that may reach a cutoff below 90 through a window of the longer name.
+
+    The strings compared are the names, their words sorted, or their distinct
+    words sorted, so none is shorter than the latter; and whatever the order, a
+    subsequence has no more characters than both have in common.
+    """
+    shorter, longer = "least(l_len, r_len)", "greatest(l_len, r_len)"
+    least_words = "least(length(array_join(array_distinct(l_words), ' ')), length(array_join(array_distinct(r_words), ' ')))"
+    most = text.common_at_most("l_len", "l_mask", "r_len", "r_mask")
+    sizes = {
+        text.PARTIAL_WEIGHT: f"{longer} >= {text.PARTIAL_FROM}D * {shorter} AND {longer} <= {text.LONG_FROM} * {shorter}",
+        text.LONG_PARTIAL_WEIGHT: f"{longer} > {text.LONG_FROM} * {shorter}",
+    }
+    routes, shared = [], []
+    for weight, sized in sizes.items():
+        # Scores are rounded twice: to a whole number, and after weighting.
+        needed = ((cutoff - 0.5) / weight - 0.5) / 100 - 1e-9
+        if needed <= 1:
+            routes.append(f"({sized} AND {most} >= {needed}D * {least_words})")
+        if round(100 * text.TOKEN_WEIGHT * weight) >= cutoff:
+            shared.append(f"({sized})")
+    found = _tiled(left, right, " OR ".join(routes), None).select("l_key", "r_key")
+    if shared:
+        each = [_with_prefix(side.selectExpr("*", "explode(array_distinct(words)) AS word"), p, "word") for side, p in ((left, "l_"), (right, "r_"))]
+        found = found.unionByName(each[0].join(each[1], ["block", "word"]).where(" OR ".join(shared)).select("l_key", "r_key"))
+    return found
+
+
 def _nearly_contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Long pairs whose partial score may round up to 100 without containment.
 

@@ -115,3 +115,45 @@ def test_enrich_codes(spark):
     registry = spark.createDataFrame([("unknown thing", "R9")], "name string, atx string")
     got = dict(catalog.enrich_codes(products, book, ["tab"], 90, "auto", registry).select("id", "atx").collect())
     assert got == {1: "A1", 2: "B2", 3: None, 4: "R9", 5: None}
+
+
+def test_windows_of_one_pass_equal_each_window():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 14)))
+        b = "".join(rng.choice("abcé ") for _ in range(rng.randint(len(a), 40)))
+        windows = [b[i:i + len(a)] for i in range(len(b) - len(a) + 1)]
+        assert text.best_window(a, b) == max(slow_lcs(a, w) for w in windows)
+        assert text.partial_ratio_of(b, a) == max(text.ratio_of(a, w) for w in windows)
+    assert text.partial_ratio_of("", "abc") == 0
+
+
+def uneven(rng, n):
+    """Names from one word to thirty, with repeated words."""
+    out = set(words(rng, n // 2))
+    while len(out) < n:
+        parts = rng.choices(words(rng, 5), k=rng.choice([1, 2, 3, 9]))
+        out.add(" ".join(parts + parts[:1] * rng.randrange(3)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cutoff", [51, 57, 58, 60, 75, 85, 86, 87, 89])
+def test_weighted_pairs_below_90_equal_brute_force(spark, cutoff):
+    names = uneven(random.Random(cutoff), 60)
+    left, right = names[::2], names
+    sides = [spark.createDataFrame([(n,) for n in side], c + "_name string") for c, side in (("left", left), ("right", right))]
+    got = {(r.left_name, r.right_name): r.score for r in fuzzy.weighted_pairs(*sides, cutoff).collect()}
+    want = {(a, b): text.weighted_of(a, b) for a in left for b in right if text.weighted_of(a, b) >= cutoff}
+    assert got == want
+
+
+def test_dictionary_below_90(spark):
+    names = spark.createDataFrame([("asperin fort",), ("nova cream",), ("zzz",)], "name string")
+    book = spark.createDataFrame([("aspirin forte", "A"), ("aspirin", "B"), ("novo cream tablet", "C")], "name string, atx string")
+    got = {r.name: (r.key, r.score) for r in catalog.best_dictionary_match(names, book, 70, "weighted").collect()}
+    keys = ["aspirin forte", "aspirin", "novo cream tablet"]
+    want = {}
+    for n in ("asperin fort", "nova cream"):
+        best = max(keys, key=lambda k: (text.weighted_of(n, k), [-ord(c) for c in k]))
+        want[n] = (best, text.weighted_of(n, best))
+    assert got == want
