@@ -241,6 +241,11 @@ siblings AS (SELECT a.id, b.id AS similar_id, b.name,
     row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS place
   FROM coded a JOIN coded b ON a.stem = b.stem AND a.id <> b.id)"""
 
+def second(ctes: str) -> str:
+    """The CTEs of ``nearest`` under other names."""
+    return re.sub(r"\b(q|held_items|basket_sizes|shared|near)\b", r"\1_second", ctes)
+
+
 PLAIN = "regexp_replace({0}, '<[^>]*>', '', 'g')"
 for _from, _to in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
     PLAIN = f"replace({PLAIN}, '{_from}', '{_to}')"
@@ -438,4 +443,45 @@ LEFT JOIN edges ON edges.a = first_item AND edges.c = numbered.item GROUP BY 1""
 placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)
 SELECT event_id, CASE WHEN quota IS NULL THEN 401 WHEN place <= quota - done THEN 200 ELSE 403 END AS status
 FROM placed LEFT JOIN ledger ON c_custkey = user_id""",
+    "popular_list_roundtrip": f"WITH {LINES}, {TOP} SELECT item, rnk AS rank FROM top WHERE rnk <= 100",
+    "stored_baskets_roundtrip": f"SELECT basket_id AS id, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM ({BRAND_PAIRS}) GROUP BY 1",
+    "wide_baskets_csv": f"""WITH {LINES},
+arrays AS (SELECT basket_id, list(item ORDER BY l_linenumber, l_partkey, l_suppkey) AS xs FROM lines GROUP BY 1),
+width AS (SELECT max(len(xs)) AS w FROM arrays)
+SELECT basket_id AS id, {text('xs || [-1 FOR i IN range(0, w - len(xs))]')} AS items FROM arrays, width""",
+    "siblings_as_json": f"""WITH {CATALOGUE}, {BY_CODE}
+SELECT id, string_agg(similar_id::VARCHAR, ',' ORDER BY similar_id) AS similar_ids FROM siblings WHERE place <= 5 GROUP BY 1""",
+    "ratings_by_phone": f"""WITH {RATINGS},
+asked AS (SELECT phone, tel_hashed FROM users ORDER BY md5('42|' || id), id LIMIT 20)
+SELECT DISTINCT phone, goods_id, purchases FROM asked JOIN ratings USING (tel_hashed)""",
+    "recommend_with_substitutes": f"""WITH RECURSIVE {LINES},
+{HOLD_OUT},
+stocked AS (SELECT * FROM history WHERE item % 4 <> 0),
+{cosine('stocked', 'basket_id')},
+owned AS (SELECT DISTINCT basket_id AS u, item AS i FROM stocked),
+{recommend('owned')},
+{ENDS.format('held')},
+asked_first AS (SELECT basket_id AS query_id, item FROM numbered WHERE pos = 1),
+{nearest('SELECT * FROM asked_first', 'stocked')},
+answers AS (SELECT query_id, recs.* FROM near JOIN recs ON u = basket_id WHERE rnk <= 10),
+{matches(80)}, {spread(1)}, {BY_CODE},
+swaps AS (SELECT id, similar_id FROM chosen UNION ALL SELECT id, similar_id FROM siblings WHERE place = 1),
+left_over AS (SELECT * FROM asked_first WHERE query_id NOT IN (SELECT query_id FROM answers)),
+swapped AS (SELECT query_id, similar_id AS item FROM left_over JOIN swaps ON id = left_over.item),
+{second(nearest('SELECT * FROM swapped', 'stocked'))},
+qty AS (SELECT item, sum(quantity::BIGINT) AS qty FROM history GROUP BY 1),
+{POPULAR}
+SELECT query_id, item, round(score, 6) AS score, 'basket' AS source, rnk FROM answers
+UNION ALL SELECT query_id, recs.item, round(score, 6), 'basket', rnk FROM near_second JOIN recs ON u = basket_id WHERE rnk <= 10
+UNION ALL SELECT query_id, popular.item, 0.0, 'popular', place FROM left_over, popular
+WHERE query_id NOT IN (SELECT query_id FROM near_second)""",
+    "page_first_quoted": "SELECT page_id, nullif(regexp_extract(html, '''([^'']+)''', 1), '') AS quoted FROM pages",
+    "page_panel_fields": "SELECT p_partkey AS page_id, '/maker/' || p_type AS link, p_name || ' & more' AS name FROM part",
+    "page_panel_links": "SELECT p_partkey AS page_id, 0 AS pos, p_brand AS anchor_text FROM part",
+    "sample_orders": "SELECT o_orderkey AS id FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500",
+    "ledger_after_batch": """WITH ledger AS (SELECT c_custkey, 50 + c_nationkey AS quota, c_nationkey // 2 AS done
+  FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+asked AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT c_custkey::VARCHAR AS api_key, quota, done + greatest(0, least(coalesce(n, 0), quota - done)) AS requests_done
+FROM ledger LEFT JOIN asked ON user_id = c_custkey""",
 }

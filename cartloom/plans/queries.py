@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom import schemas
-from cartloom.functions import phones
+from cartloom.functions import phones, text
 from cartloom.operators import (
     als, baskets, catalog, cosine, evaluate, fuzzy, mining, nearest, pages, popularity, quota,
     sampling, similar,
 )
 from cartloom.plans import bindings as b
 from cartloom.session import keep, scratch_path, settle
-from cartloom.sources import models, orders, tables
+from cartloom.sources import models, orders, store, tables
 from cartloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,52 @@ def orders_stream_ingest(spark, d):
     )
 
 
+@registered
+def popular_list_roundtrip(spark, d):
+    path = scratch_path(spark, "popular")
+    tables.write_popular(_popular(spark, d, 100).select(F.col("goods_id").alias("item"), F.col("rnk").alias("rank")), path)
+    return tables.read_popular(spark, path)
+
+
+@registered
+def stored_baskets_roundtrip(spark, d):
+    path = scratch_path(spark, "baskets")
+    orders.write_baskets(baskets.baskets(b.brand_lines(spark, d), "basket_id", "brand"), path)
+    return orders.read_baskets(spark, path).select(F.col("basket_id").alias("id"), text_of("items").alias("items"))
+
+
+@registered
+def wide_baskets_csv(spark, d):
+    """Padded baskets as a CSV file with a column for each place, read back."""
+    path = scratch_path(spark, "wide-baskets")
+    made = settle(baskets.padded(baskets.ordered_items(b.lines(spark, d), "basket_id", "item", b.LINE_ORDER)), "padded")
+    width = made.agg(F.max(F.size("items"))).first()[0] or 0
+    tables.write_csv(baskets.padded_wide(made, "basket_id", width), path)
+    places = [f"prod{i}" for i in range(width)]
+    wide = tables.read_csv(spark, path, ", ".join(["basket_id BIGINT", *(f"{c} BIGINT" for c in places)]))
+    return wide.select(F.col("basket_id").alias("id"), text_of(F.array(*places)).alias("items"))
+
+
+@registered
+def siblings_as_json(spark, d):
+    """One JSON array of substitutes for each product, as a service would answer."""
+    shelf = b.catalogue(spark, d)
+    answers = tables.json_array(similar.similar_by_code(shelf.select("id"), shelf, 5).select("id", "similar_id"), ["id"])
+    ids = F.transform(F.from_json("json", "array<struct<similar_id: bigint>>"), lambda x: x["similar_id"])
+    return answers.select("id", text_of(F.array_sort(ids)).alias("similar_ids"))
+
+
+@registered
+def ratings_by_phone(spark, d):
+    """Purchases of the clients of twenty sampled orders, looked up by phone in a bucketed store."""
+    path = scratch_path(spark, "ratings")
+    name = "ratings_" + path.rpartition("-")[2]
+    store.write_store(_ratings(spark, d), name, path, "tel_hashed")
+    asked = sampling.exact_sample(b.orders(spark, d), ["id"], 20).select("clientTel").collect()
+    found = store.lookup_phones(spark.table(name), [row.clientTel for row in asked])
+    return found.select("phone", "goods_id", "purchases")
+
+
 # --- cleaning ----------------------------------------------------------------------------
 
 
@@ -397,6 +444,20 @@ def recommend_last_trial(spark, d):
     return _recommended(spark, d, unknown, True)
 
 
+@registered
+def recommend_with_substitutes(spark, d):
+    """Three in four items are stocked; each held-out basket asks by its first item, then by that item's substitute."""
+    history, held_out = b.history_and_holdout(spark, d)
+    stocked = history.where("item % 4 <> 0").select("basket_id", "item")
+    sims = cosine.item_cosine(stocked, "basket_id", "item")
+    first = held_out.groupBy(F.col("basket_id").alias("query_id")).agg(F.min_by("item", F.struct(*b.LINE_ORDER)).alias("item"))
+    popular = popularity.top_items(popularity.popularity(history), 5).select(F.col("goods_id").alias("item"), "rnk")
+    found = nearest.recommend_with_substitutes(
+        first.select("query_id"), first, stocked, sims, popular, b.catalogue(spark, d), b.form_map(spark), 10
+    )
+    return found.select("query_id", "item", six("score"), "source", "rnk")
+
+
 # --- matrix factorisation ----------------------------------------------------------------
 
 
@@ -421,11 +482,8 @@ def als_rmse(spark, d):
     parts = als.split_by_key(_ratings(spark, d), "tel_hashed", "goods_id")
     model = als.train_als(parts.where("part = 'train'"))
     predicted = model.transform(parts.where("part = 'test'"))
-    error = als.rmse(predicted, "purchases", "prediction")
-    return predicted.agg(
-        F.count(F.lit(1)).alias("n_test"),
-        F.lit(int(error == error and error not in (float("inf"),))).cast("bigint").alias("rmse_is_finite"),
-    )
+    finite = ~F.isnan("rmse") & (F.col("rmse") < float("inf"))
+    return als.rmse(predicted, "purchases", "prediction").select("n_test", finite.cast("bigint").alias("rmse_is_finite"))
 
 
 @registered
@@ -434,8 +492,7 @@ def rmse_item_mean(spark, d):
     predicted = als.item_mean_predictions(
         parts.where("part = 'train'"), parts.where("part = 'test'"), "goods_id", "purchases"
     )
-    error = als.rmse(predicted, "purchases", "prediction")
-    return spark.range(1).select(F.round(F.lit(error), 6).alias("rmse"))
+    return als.rmse(predicted, "purchases", "prediction").select(six("rmse"))
 
 
 @registered
@@ -550,6 +607,40 @@ def page_field(spark, d):
     return pages.field(b.table(spark, d, "pages"), "title")
 
 
+@registered
+def page_first_quoted(spark, d):
+    return b.table(spark, d, "pages").select("page_id", text.first_quoted(F.col("html")).alias("quoted"))
+
+
+def _price_list(spark, d) -> DataFrame:
+    """A page per product: a menu, and a panel with its brand and a row that leads to its maker."""
+    html = (
+        '<div id="menu"><a href="/">Home</a><div><a>Other</a></div></div>'
+        '<div id="offers"><div><a href="/b">{p_brand}</a></div><table><tr class="head"><td>name</td></tr>'
+        '<tr class="offer" onclick="go(\'/maker/{p_type}\')"><td> <b>{p_name}</b> &amp; more</td><td>{p_brand}</td></tr></table></div>'
+    )
+    pieces = [F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split("[{}]", html))]
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(*pieces).alias("html"))
+
+
+@registered
+def page_panel_fields(spark, d):
+    shown = _price_list(spark, d)
+    return shown.select(
+        "page_id", pages.row_link(F.col("html"), "offer").alias("link"), pages.cell_text(F.col("html"), "offers", "offer").alias("name")
+    )
+
+
+@registered
+def page_panel_links(spark, d):
+    return pages.links(_price_list(spark, d), ("div", "offers"))
+
+
+@registered
+def sample_orders(spark, d):
+    return sampling.exact_sample(b.orders(spark, d).select("id"), ["id"], 500)
+
+
 @registered
 def sample_products(spark, d):
     return sampling.draw(b.catalogue(spark, d).select("id"), ["id"], 200)
@@ -582,3 +673,10 @@ def eval_rule_hit(spark, d):
 def quota_admission(spark, d):
     found = quota.admit_requests(b.request_log(spark, d), b.ledger(spark, d), ["ts", "event_id"])
     return found.select("event_id", "status")
+
+
+@registered
+def ledger_after_batch(spark, d):
+    before = b.ledger(spark, d)
+    admitted = quota.admit_requests(b.request_log(spark, d), before, ["ts", "event_id"])
+    return quota.settle_ledger(before, admitted)

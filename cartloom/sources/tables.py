@@ -85,6 +85,11 @@ def json_array(df: DataFrame, keys: list[str], name: str = "json") -> DataFrame:
     return df.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct(*rest))).alias(name))
 
 
+def write_popular(popular: DataFrame, path: str) -> None:
+    """The popular list ``item, rank``, best first in one file: it is a short top list."""
+    popular.orderBy("rank").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def read_popular(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.POPULAR).parquet(path)
 
