@@ -12,11 +12,14 @@ to the other. The band is as wide as 0.8 allows: a pair that has so many k-mers
 the same order never needs more edits, so only texts in another order are turned down.
 
 Equal texts are one row from the start. In a bucket everyone is compared with its
-first text, its hub; those that aren't in the hub's class then are compared with
-the next hub, ``ROUNDS`` times. What is left over in a bucket by then is compared
-with all texts there that share one of its rarest k-mers, as linked texts must. So
-a group of copies costs its size, not its square, and no link between different
-texts that share a bucket is lost.
+hub, the text that meets most others over all its buckets: of near copies that is
+the one they were made of, if it is there. Those that aren't in the hub's class
+then are compared with the next hub, ``ROUNDS`` times. What is left over in a bucket
+by then is compared with the texts there that share one of its rarest k-mers, as
+linked texts must; how many of them count follows from both sizes, and a text can't
+be linked at all if too many of its k-mers are its own. So a group of copies costs
+its size, not its square, and no link between different texts that share a bucket
+is lost.
 Classes are connected components, found by rounds of least labels; a class is
 named by its smallest id.
 
@@ -38,13 +41,15 @@ from pyspark.sql import functions as F
 
 from cartloom.llm.anchors import mix, word_hashes
 from cartloom.llm.tables import WORD, map_texts
-from cartloom.session import settle
+from cartloom.session import settle, shuffled, small_side
 
 KMER = 5
 SIMILARITY = (4, 5)
 SKETCHES, TAKEN = 24, 4
 #: Hubs that a bucket's texts are compared with before the rest is looked up by rare k-mers.
 ROUNDS = 2
+#: Pairs of one first text that are verified in one task.
+FAN = 256
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
 
@@ -99,54 +104,72 @@ def sketch(numbers: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def aligned(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int]] | None:
-    """Matching runs (start in a, start in b, words) of a shortest edit script of at most ``most`` single edits.
+def _prefix_sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[:len(values)], out=out[1:])
+    return out
+
+
+class _Runs:
+    """How long two texts agree from given places on, for many places at once, by hashes of their words' runs."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = mix(a), mix(b)
+        self.powers = np.full(max(len(a), len(b), 1), 0x2545F4914F6CDD1D, dtype=np.uint64)
+        self.powers[0] = 1
+        np.multiply.accumulate(self.powers, out=self.powers)
+        self.sums = _prefix_sums(self.a, self.powers), _prefix_sums(self.b, self.powers)
+        self.longest = 1 << max(0, min(len(a), len(b)).bit_length() - 1)
+
+    def length(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Words that agree from a[x] and b[y] on."""
+        out = np.zeros(len(x), dtype=np.int64)
+        inside = np.flatnonzero((x < len(self.a)) & (y < len(self.b)))
+        some = inside[self.a[x[inside]] == self.b[y[inside]]]
+        if not len(some):
+            return out
+        x, y, done = x[some], y[some], np.zeros(len(some), dtype=np.int64)
+        in_a, in_b = self.sums
+        size = self.longest
+        while size:
+            at = np.flatnonzero((x + done + size <= len(self.a)) & (y + done + size <= len(self.b)))
+            p, q = x[at] + done[at], y[at] + done[at]
+            same = (in_a[p + size] - in_a[p]) * self.powers[q] == (in_b[q + size] - in_b[q]) * self.powers[p]
+            done[at[same]] += size
+            size >>= 1
+        out[some] = done
+        return out
+
+
+def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Does a script of at most ``most`` single insertions and deletions lead from ``a`` to ``b``?
 
     The greedy search by furthest reaching paths stays on the diagonals that so
-    many edits can reach: the band. None if the script is longer.
+    many edits can reach: the band. Only the last paths are kept.
     """
     n, m = len(a), len(b)
-    reach = {1: 0}
-    trail: list[dict[int, int]] = []
+    if abs(n - m) > most:
+        return False
+    runs = _Runs(a, b)
+    never = np.int64(-1 << 40)
+    # Place on diagonal k (x - y) is at k + most + 1.
+    reach = np.full(2 * most + 3, never, dtype=np.int64)
+    zero = np.zeros(1, dtype=np.int64)
+    reach[most + 1] = runs.length(zero, zero)[0]
     for edits in range(most + 1):
-        fresh: dict[int, int] = {}
-        for k in range(-edits, edits + 1, 2):
-            if k < -m or k > n:
-                continue
-            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach.get(k + 1, 0) if down else reach.get(k - 1, -1) + 1
-            y = x - k
-            if y < 0 or x > n or y > m:
-                continue
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            fresh[k] = x
-            if x >= n and y >= m:
-                trail.append(fresh)
-                return _runs(trail, n, m)
-        trail.append(fresh)
-        reach = fresh
-    return None
-
-
-def _runs(trail: list[dict[int, int]], n: int, m: int) -> list[tuple[int, int, int]]:
-    runs, x, y = [], n, m
-    for edits in range(len(trail) - 1, -1, -1):
-        k = x - y
-        if not edits:
-            if x:
-                runs.append((0, 0, x))
-            break
-        before = trail[edits - 1]
-        down = k == -edits or (k != edits and before.get(k - 1, -1) < before.get(k + 1, -1))
-        last = k + 1 if down else k - 1
-        px = before[last]
-        start = px if down else px + 1
-        if x > start:
-            runs.append((start, start - k, x - start))
-        x, y = px, px - last
-    return runs[::-1]
+        if edits:
+            ks = np.arange(max(-edits, -m), min(edits, n) + 1)
+            ks = ks[(ks - edits) % 2 == 0]
+            at = ks + most + 1
+            x = np.maximum(reach[at - 1] + 1, reach[at + 1])
+            good = (x >= 0) & (x <= n) & (x - ks <= m) & (x >= ks)
+            x[~good] = never
+            ok = np.flatnonzero(good)
+            x[ok] += runs.length(x[ok], x[ok] - ks[ok])
+            reach[at] = x
+        if n - m >= -edits and n - m <= edits and reach[n - m + most + 1] >= n:
+            return True
+    return False
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,7 +193,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     head = int(differ[0]) if len(differ) else short
     differ = np.flatnonzero(a[len(a) - (short - head):][::-1] != b[len(b) - (short - head):][::-1])
     tail = int(differ[0]) if len(differ) else short - head
-    return aligned(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), spoilt) is not None
+    return edits_within(a[head:len(a) - tail], b[head:len(b) - tail], spoilt)
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -185,14 +208,15 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_texts(docs.select(F.col(key).cast("long").alias("id"), F.col(text)), make, "same string, sketches array<long>", "id", text)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b), with ``linked``; ``docs`` has (rep, text).
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked ones of the settled pairs (a, b); ``texts`` has (rep, text), one row a rep.
 
-    Only texts that are in a pair are moved. Those of ``a`` come last: a pair's
-    first text is its bucket's, which may have very many pairs.
+    Few pairs are broadcast to the texts, so that only texts in pairs are moved.
+    A first text may have very many pairs: it is given to tasks of ``FAN`` of them.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = settle(docs.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")), "texts")
+    n = pairs.count()
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -202,11 +226,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if x != last:
                     last, own = x, word_numbers(x)
                 ok.append(similar(own, word_numbers(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("of_b")), "b")
-    both = right.hint("merge").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("of_a")), "a")
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, linked boolean")
+    seconds = texts.select(F.col("rep").alias("b"), F.col("text").alias("of_b")).join(small_side(dealt.drop("shares"), n), "b")
+    firsts = texts.select(F.col("rep").alias("a"), F.col("text").alias("of_a")).join(small_side(shares, n), "a")
+    firsts = firsts.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    both = shuffled(seconds).join(shuffled(firsts), ["a", "share"])
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,13 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rare_kmers(texts: DataFrame) -> DataFrame:
-    """(rep, gram, n, short): each text's rarest labelled k-mers, so many that a linked text must share one of them.
+    """(rep, gram, n, own, at): each text's rarest labelled k-mers that others have too, so many that a linked text must share one.
 
-    Rare ones, by their number of texts, come first in every text. With n k-mers
-    and a similarity of 4/5, at least 4n/5 are common, so one of any
-    n - ceil(4n/5) + 1 is. To a text of at least as many k-mers 8n/9 are common:
-    the first n - ceil(8n/9) + 1 are marked ``short``, and in a linked pair a
-    short one of the smaller text is among the rarest of the larger.
+    Rare ones, by their number of texts, come first in every text; ``own`` of its
+    ``n`` k-mers are in no other text, and ``at`` counts those too. With a similarity
+    of 4/5, at least 4n/5 are common, so one of any n - ceil(4n/5) + 1 is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,9 +272,9 @@ def _rare_kmers(texts: DataFrame) -> DataFrame:
     by_text = grams.join(counted, "gram").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     size = F.size("grams")
     needed = (size - F.ceil(size * above / below) + 1).cast("int")
-    shorter = (size - F.ceil(size * (2 * above) / (above + below)) + 1).cast("int")
-    rare = by_text.select("rep", size.alias("n"), shorter.alias("first"), F.posexplode(F.slice("grams", F.lit(1), needed)).alias("at", "g"))
-    return rare.select("rep", "g.gram", "n", (F.col("at") < F.col("first")).alias("short"))
+    own = F.size(F.filter("grams", lambda g: g["n"] == 1))
+    rare = by_text.select("rep", size.alias("n"), own.alias("own"), F.posexplode(F.slice("grams", F.lit(1), needed)).alias("at", "g"))
+    return rare.where("g.n > 1").select("rep", "g.gram", "n", "own", "at")
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -265,23 +289,28 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # A text whose ids are all null is named by its digest, below zero, apart from all ids.
     same = settle(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("sketches").alias("sketches")).withColumn(
         "named", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", -F.abs(F.xxhash64("same") / 2).cast("long") - 1)), "same")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     buckets = same.where("named").select("rep", F.posexplode("sketches").alias("place", "digest")).distinct()
     crowded = buckets.groupBy("place", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    members = settle(buckets.join(crowded.select("place", "digest"), ["place", "digest"]), "members")
+    members = buckets.join(crowded, ["place", "digest"])
+    central = members.groupBy("rep").agg(F.sum("n").alias("meets"))
+    members = settle(members.drop("n").join(central, "rep"), "members")
+    crowd = settle(members.select("rep").distinct(), "crowd")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(small_side(crowd, crowd.count()), "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+    texts = settle(texts, "texts")
     open_, first, links, labels = members, None, None, None
     for _ in range(ROUNDS):
-        hubs = open_.groupBy("place", "digest").agg(F.min("rep").alias("hub"))
+        hubs = open_.groupBy("place", "digest").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
         # Those that aren't in their hub's class stay, to be compared with the next hub of their bucket.
         open_ = settle(open_.join(hubs, ["place", "digest"]).where("hub != rep"), "open")
         first = open_ if first is None else first
         pairs = open_.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         if labels is not None:
             pairs = _labelled(_labelled(pairs, labels, "a"), labels, "b").where("class_a != class_b").select("a", "b")
-        found = _verified(settle(pairs, "pairs"), texts).where("linked").select("a", "b")
+        found = _verified(settle(pairs, "pairs"), texts)
         links = settle(found if links is None else found.unionByName(links), "verified")
         labels = components(links)
-        open_ = _labelled(_labelled(open_, labels, "hub"), labels, "rep").where("class_hub != class_rep").select("place", "digest", "rep")
+        open_ = _labelled(_labelled(open_, labels, "hub"), labels, "rep").where("class_hub != class_rep").select("place", "digest", "rep", "meets")
     apart = _labelled(_labelled(first, labels, "hub"), labels, "rep").where("class_hub != class_rep")
     apart = settle(apart.select("place", "digest").distinct(), "apart")
     if apart.limit(1).count():
@@ -300,22 +329,26 @@ def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFr
     k-mer, all but the most frequent one look for the others; so neither is a
     class paired with itself.
     """
-    crowd = members.join(apart, ["place", "digest"], "left_semi").select("rep").distinct()
-    own = settle(texts.join(crowd, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")), "crowd")
+    crowd = settle(members.join(apart, ["place", "digest"], "left_semi").select("rep").distinct(), "crowd")
+    own = texts.join(small_side(crowd, crowd.count()), "rep", "left_semi")
     rare = settle(_labelled(_rare_kmers(own), labels, "rep"), "rare")
     by_class = rare.groupBy("gram", "class_rep").agg(F.count("*").alias("n"))
     contested = by_class.groupBy("gram").agg(F.max_by("class_rep", F.struct("n", "class_rep")).alias("major"), F.count("*").alias("classes"))
     contested = settle(contested.where("classes > 1").select("gram", "major"), "contested")
+    listed = settle(rare.join(contested, "gram").withColumn("seeks", F.col("class_rep") != F.col("major")), "listed")
+
     def side(rows: DataFrame, to: str) -> DataFrame:
-        return rows.select("gram", *(F.col(c).alias(f"{c}_{to}") for c in ("rep", "class_rep", "n", "short")))
+        return rows.select("gram", *(F.col(c).alias(f"{c}_{to}") for c in ("rep", "class_rep", "n", "own", "at", "seeks")))
 
-    seekers = side(rare.join(contested, "gram").where("class_rep != major"), "x")
-    sought = side(rare.join(contested.select("gram"), "gram", "left_semi"), "y")
-    met = seekers.hint("merge").join(sought, "gram").where(
-        "class_rep_x != class_rep_y AND ((short_x AND n_x <= n_y) OR (short_y AND n_y <= n_x))"
+    above, below = SIMILARITY
+    # K-mers that the pair must share, by both sizes; so one of the first n - shared + 1 of each is.
+    shared = f"(({above} * (n_x + n_y) + {above + below - 1}) div {above + below})"
+    met = side(listed.where("seeks"), "x").hint("merge").join(side(listed, "y"), "gram").where(
+        f"class_rep_x != class_rep_y AND (NOT seeks_y OR rep_x < rep_y) AND {shared} <= least(n_x - own_x, n_y - own_y) "
+        f"AND at_x <= n_x - {shared} AND at_y <= n_y - {shared}"
     ).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return _verified(settle(pairs, "remaining"), texts).where("linked").select("a", "b")
+    return _verified(settle(pairs, "remaining"), texts)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -16,17 +17,91 @@ def lcs(a, b):
     return row[-1]
 
 
+def aligned(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int]] | None:
+    """Matching runs (start in a, start in b, words) of a shortest edit script of at most ``most`` single edits.
+
+    The greedy search by furthest reaching paths stays on the diagonals that so
+    many edits can reach: the band. None if the script is longer.
+    """
+    n, m = len(a), len(b)
+    reach = {1: 0}
+    trail: list[dict[int, int]] = []
+    for edits in range(most + 1):
+        fresh: dict[int, int] = {}
+        for k in range(-edits, edits + 1, 2):
+            if k < -m or k > n:
+                continue
+            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
+            x = reach.get(k + 1, 0) if down else reach.get(k - 1, -1) + 1
+            y = x - k
+            if y < 0 or x > n or y > m:
+                continue
+            while x < n and y < m and a[x] == b[y]:
+                x += 1
+                y += 1
+            fresh[k] = x
+            if x >= n and y >= m:
+                trail.append(fresh)
+                return _runs(trail, n, m)
+        trail.append(fresh)
+        reach = fresh
+    return None
+
+
+def _runs(trail: list[dict[int, int]], n: int, m: int) -> list[tuple[int, int, int]]:
+    runs, x, y = [], n, m
+    for edits in range(len(trail) - 1, -1, -1):
+        k = x - y
+        if not edits:
+            if x:
+                runs.append((0, 0, x))
+            break
+        before = trail[edits - 1]
+        down = k == -edits or (k != edits and before.get(k - 1, -1) < before.get(k + 1, -1))
+        last = k + 1 if down else k - 1
+        px = before[last]
+        start = px if down else px + 1
+        if x > start:
+            runs.append((start, start - k, x - start))
+        x, y = px, px - last
+    return runs[::-1]
+
+
 def test_alignment_is_shortest():
     rng = random.Random(3)
     for _ in range(500):
         a = [rng.randrange(4) for _ in range(rng.randrange(14))]
         b = a[:] if rng.random() < 0.3 else [rng.randrange(4) for _ in range(rng.randrange(14))]
-        runs = near_dups.aligned(a, b, 99)
+        runs = aligned(a, b, 99)
         common = lcs(a, b)
         assert sum(n for _, _, n in runs) == common and all(a[p:p + n] == b[q:q + n] for p, q, n in runs)
         edits = len(a) + len(b) - 2 * common
-        assert near_dups.aligned(a, b, edits) is not None
-        assert not edits or near_dups.aligned(a, b, edits - 1) is None
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        assert aligned(a, b, edits) is not None and near_dups.edits_within(x, y, edits) and near_dups.edits_within(x, y, 99)
+        assert not edits or aligned(a, b, edits - 1) is None and not near_dups.edits_within(x, y, edits - 1)
+
+
+def test_edits_of_longer_texts_within_bands():
+    rng = random.Random(4)
+    for _ in range(60):
+        a = [rng.randrange(rng.choice([3, 300])) for _ in range(rng.randrange(200, 400))]
+        b = a[:]
+        for _ in range(rng.randrange(40)):
+            at = rng.randrange(len(b))
+            b[at:at + 1] = rng.choice([[], [b[at], 7], [999]])
+        edits = len(a) + len(b) - 2 * lcs(a, b)
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        assert near_dups.edits_within(x, y, edits) and not (edits and near_dups.edits_within(x, y, edits - 1))
+
+
+def test_alignment_of_long_texts_takes_little_memory():
+    """Halves swapped: the worst case, which no band holds."""
+    words = near_dups.word_numbers(" ".join(f"w{i}" for i in range(16_000)))
+    swapped = np.concatenate((words[8000:], words[:8000]))
+    tracemalloc.start()
+    assert not near_dups.similar(words, swapped)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
 
 
 def test_similarity():
