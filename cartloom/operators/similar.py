@@ -109,12 +109,12 @@ def dosage_forms(queries: DataFrame, catalogue: DataFrame, form_map: DataFrame)
     )
 
 
-def _matched_names(
+def _scored_names(
     asked: DataFrame, catalogue: DataFrame, form_map: DataFrame, cutoff: int
-) -> DataFrame:
-    """``asked_name, own_name, found_name, score`` once per distinct pair of asked names.
+) -> tuple[DataFrame, DataFrame]:
+    """The asked names with the forms they reach, and each pair of names at the cutoff with the forms it is stocked in.
 
-    Products sharing both names share the answer, so copies cost nothing.
+    ``asked_name, own_name, fs`` and ``own_name, found_name, score, gs``.
     """
     kinds = asked.select("asked_name", "own_name").distinct()
     forms = form_candidates(asked, catalogue, form_map)
@@ -128,14 +128,24 @@ def _matched_names(
     shelf, forms = settle(shelf, "shelf"), settle(forms, "forms")
     scored = settle(fuzzy.token_set_pairs(settle(left, "asked-names"), shelf, cutoff), "matched-names")
     # Sets of forms: their number is the size of the form vocabulary at most.
-    reachable = forms.groupBy("asked_name").agg(F.collect_set("candidate_form").alias("fs"))
+    reachable = forms.groupBy("asked_name").agg(F.sort_array(F.collect_set("candidate_form")).alias("fs"))
     stocked = shelf.groupBy("right_name").agg(F.collect_set("block").alias("gs"))
-    return (
-        kinds.join(reachable, "asked_name")
-        .join(scored, F.col("own_name") == F.col("left_name"))
-        .join(stocked, "right_name")
-        .where(F.arrays_overlap("fs", "gs"))
-        .select("asked_name", "own_name", F.col("right_name").alias("found_name"), "score")
+    pairs = scored.join(stocked, "right_name").select(
+        F.col("left_name").alias("own_name"), F.col("right_name").alias("found_name"), "score", "gs"
+    )
+    return kinds.join(reachable, "asked_name"), pairs
+
+
+def _matched_names(
+    asked: DataFrame, catalogue: DataFrame, form_map: DataFrame, cutoff: int
+) -> DataFrame:
+    """``asked_name, own_name, found_name, score`` once per distinct pair of asked names.
+
+    Products sharing both names share the answer, so copies cost nothing.
+    """
+    kinds, pairs = _scored_names(asked, catalogue, form_map, cutoff)
+    return kinds.join(pairs, "own_name").where(F.arrays_overlap("fs", "gs")).select(
+        "asked_name", "own_name", "found_name", "score"
     )
 
 
@@ -227,9 +237,10 @@ def similar_products(
 def similar_counts(catalogue: DataFrame, form_map: DataFrame, cutoff: int = 75) -> DataFrame:
     """``id, n_similar`` of every product, without listing the pairs.
 
-    A coded product has its group's size minus one; for the others the matches
-    are counted once per pair of asked names, minus the product itself where
-    it stands for its own name.
+    A coded product has its group's size minus one. The others' matches are
+    counted by names: once for each own name and set of forms that its products
+    reach, however many products or asked names lead there, minus the product
+    itself where it stands for its own name.
     """
     stem = text.without_last(F.col("atx"))
     coded = catalogue.where(has_code(F.col("atx"))).select("id", stem.alias("stem"))
@@ -237,16 +248,21 @@ def similar_counts(catalogue: DataFrame, form_map: DataFrame, cutoff: int = 75)
     by_code = coded.join(groups, "stem").select("id", (F.col("n") - 1).alias("n_similar"))
 
     asked = settle(asked_products(catalogue, catalogue), "asked-products")
+    kinds, pairs = _scored_names(asked, catalogue, form_map, cutoff)
+    kinds = settle(kinds, "asked-kinds")
     itself = F.max((F.col("found_name") == F.col("own_name")).cast("int")).alias("itself")
     counted = (
-        _matched_names(asked, catalogue, form_map, cutoff)
-        .groupBy("asked_name", "own_name")
+        kinds.select("own_name", "fs").distinct()
+        .join(pairs, "own_name")
+        .where(F.arrays_overlap("fs", "gs"))
+        .groupBy("own_name", "fs")
         .agg(F.count(F.lit(1)).alias("n"), itself)
     )
     first = _first_rows(catalogue).select(F.col("found_name").alias("own_name"), "similar_id")
     own = F.when(F.col("id") == F.col("similar_id"), F.col("itself")).otherwise(0)
     by_name = (
-        asked.join(counted, ["asked_name", "own_name"], "left")
+        asked.join(kinds, ["asked_name", "own_name"], "left")
+        .join(counted, ["own_name", "fs"], "left")
         .join(first, "own_name", "left")
         .select("id", F.coalesce(F.col("n") - own, F.lit(0)).alias("n_similar"))
     )

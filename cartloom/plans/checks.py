@@ -338,6 +338,7 @@ qty AS (SELECT item, sum(quantity::BIGINT) AS qty FROM history GROUP BY 1),
 UNION ALL SELECT o_orderkey, item, 0.0, 'popular', place FROM orders, popular
 WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey NOT IN (SELECT query_id FROM near)""",
     "als_topn": f"WITH {RATINGS} SELECT DISTINCT tel_hashed AS user, 3::BIGINT AS n_recs FROM ratings",
+    "factor_model_roundtrip": f"WITH {RATINGS} SELECT DISTINCT tel_hashed AS user, 2::BIGINT AS n_recs FROM ratings",
     "als_user_lookup": f"WITH {RATINGS} SELECT DISTINCT phone, 3::BIGINT AS n_recs FROM users WHERE tel_hashed IN (SELECT tel_hashed FROM ratings)",
     "als_rmse": f"""WITH {RATINGS}, train AS (SELECT * FROM parts WHERE part = 'train')
 SELECT count(*) AS n_test, 1::BIGINT AS rmse_is_finite FROM parts WHERE part = 'test'

@@ -469,6 +469,15 @@ def als_topn(spark, d):
     )
 
 
+@registered
+def factor_model_roundtrip(spark, d):
+    path = scratch_path(spark, "factor-model")
+    models.save_model(als.train_als(_ratings(spark, d)), path)
+    return als.als_topn(models.load_factor_model(path), 2).select(
+        F.col("tel_hashed").alias("user"), F.size("recommendations").cast("bigint").alias("n_recs")
+    )
+
+
 @registered
 def als_user_lookup(spark, d):
     top = settle(als.als_topn(als.train_als(_ratings(spark, d)), 3), "recommendations")

@@ -32,18 +32,6 @@ def parse_order_feed(raw: DataFrame, column: str) -> DataFrame:
     )
 
 
-def nest_lines(lines: DataFrame, client: str | None = None) -> DataFrame:
-    """Lines ``basket_id, goodsId, quantity`` to order documents with a nested basket."""
-    phone = F.min(client) if client else F.lit(None).cast("string")
-    return (
-        lines.groupBy(F.col("basket_id").alias("id"))
-        .agg(
-            phone.alias("clientTel"),
-            F.array_sort(F.collect_list(F.struct("goodsId", "quantity"))).alias("basket"),
-        )
-    )
-
-
 def write_orders(orders: DataFrame, path: str, mode: str = "overwrite") -> None:
     orders.write.mode(mode).json(path)
 
