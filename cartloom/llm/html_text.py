@@ -14,8 +14,10 @@ by a hash of the page id; what they count is added to a small prior, so that
 places they never show still have a sensible weight.
 
 Character references are decoded, white space in a block becomes one space, and
-blocks are joined by a newline, in page order. Nothing is cut off. A null or empty
-page, and one without words that score, has an empty text.
+blocks are joined by a newline, in page order. Nothing is cut off, and the time for a
+page grows with its length, however deep its elements. A null or empty
+page, and one without words that score, has an empty text. Repeated rows are treated
+one by one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -125,27 +127,71 @@ def raw_ends(html: str) -> dict[int, int]:
     return ends
 
 
+class Open:
+    """The open elements. What each token asks of them is kept up as they come and go, so its cost doesn't grow with their number."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, bool, bool, bool]] = []
+        self.names: Counter[str] = Counter()
+        # Places, outermost first.
+        self.furniture: list[str] = []
+        self.headers: list[str] = []
+        self.telling: list[str] = []
+        # Depths of paragraphs, and of anything that isn't inside a line.
+        self.paragraphs: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, name: str, place: str, furniture: bool) -> None:
+        depth, tells, block = len(self.elements), place not in BARE, name not in INLINE
+        self.elements.append((name, furniture, tells, block))
+        self.names[name] += 1
+        for held, where, item in ((self.furniture, furniture, place), (self.headers, name == "header", place), (self.telling, tells, place),
+                                  (self.paragraphs, name == "p", depth), (self.blocks, block, depth)):
+            if where:
+                held.append(item)
+
+    def pop(self) -> str:
+        name, furniture, tells, block = self.elements.pop()
+        self.names[name] -= 1
+        for held, where in ((self.furniture, furniture), (self.headers, name == "header"), (self.telling, tells),
+                            (self.paragraphs, name == "p"), (self.blocks, block)):
+            if where:
+                held.pop()
+        return name
+
+    def close(self, name: str) -> None:
+        """Close the innermost such element and all in it; nothing, if there is none."""
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
+    def end_paragraph(self) -> None:
+        """A block ends an open paragraph, but not one outside the block that it stands in."""
+        if self.paragraphs and self.blocks[-1] == self.paragraphs[-1]:
+            self.close("p")
+
+    def place(self) -> tuple[str, bool]:
+        inside = self.names["article"] > 0
+        # A header is the page's, unless it is the article's own.
+        outer = self.furniture or ([] if inside else self.headers)
+        if outer:
+            return outer[0] + " in article" * inside, inside
+        return self.telling[0] if self.telling else "", inside
+
+
 def tokens(html: str) -> list[Token]:
     """Tags and texts of a page in order. Scripts, styles, titles and comments are none."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = []
+    open_ = Open()
     block = at = 0
 
-    def place() -> tuple[str, bool]:
-        inside = any(e[0] == "article" for e in stack)
-        furniture = next((e[1] for e in stack if e[2]), None)
-        # A header is the page's, unless it is the article's own.
-        if furniture is None and not inside:
-            furniture = next((e[1] for e in stack if e[0] == "header"), None)
-        if furniture is not None:
-            return furniture + " in article" * inside, inside
-        return next((e[1] for e in stack if e[1] not in BARE), ""), inside
+    def add(text: str) -> None:
+        place, inside = open_.place()
+        out.append(Token(text, place, block, inside))
 
     def text(piece: str) -> None:
-        if piece and not piece.isspace():
-            out.append(Token(unescape(piece), *(where := place())[:1], block, where[1]))
-        elif piece:
-            out.append(Token(" ", *(where := place())[:1], block, where[1]))
+        if piece:
+            add(" " if piece.isspace() else unescape(piece))
 
     ends = raw_ends(html)
     while m := MARKUP.search(html, at):
@@ -158,21 +204,15 @@ def tokens(html: str) -> list[Token]:
             continue
         if name not in INLINE:
             block += 1
-        closing = bool(m["close"] or m["close2"])
-        if closing:
-            out.append(Token("", place()[0], block, place()[1]))
-            if any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
-                    pass
+        if m["close"] or m["close2"]:
+            add("")
+            open_.close(name)
         else:
-            if name not in INLINE and name not in VOID and any(e[0] == "p" for e in stack):
-                # A block ends an open paragraph, but not one outside the article that it stands in.
-                last = max(i for i, e in enumerate(stack) if e[0] == "p")
-                if all(e[0] in INLINE for e in stack[last + 1:]):
-                    del stack[last:]
+            if name not in INLINE and name not in VOID:
+                open_.end_paragraph()
             if name not in VOID and not (m["rest"] or m["rest2"] or "").endswith("/"):
-                stack.append((name, *_element(name, m["rest"] or m["rest2"] or "")))
-            out.append(Token("", place()[0], block, place()[1]))
+                open_.push(name, *_element(name, m["rest"] or m["rest2"] or ""))
+            add("")
     text(html[at:])
     return out
 

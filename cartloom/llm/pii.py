@@ -49,6 +49,8 @@ PARTS = 10_000
 #: Characters before an instance in which its word is looked for.
 REACH = 60
 CHUNK = 256
+#: Trusted patterns that are sent to all tasks when texts are redacted.
+TOLD = 2000
 SPAN = "struct<kind:string,start:long,end:long>"
 
 
@@ -119,21 +121,40 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.when(signs[kind], _spans_of(kind, text)).otherwise(none) for kind in KINDS))
 
 
+def _chunked(whole: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each run of about the root of the array's size, in order; empty for an empty array."""
+    def cut(items: Column) -> Column:
+        size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(items))).cast("int"))
+        last = F.floor((F.size(items) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: _let(F.slice(items, i * size + 1, size), body))
+
+    return _let(whole, lambda items: F.when(F.size(items) > 0, cut(items)))
+
+
 def instances(text: Column, spans: Column) -> Column:
-    """Tokens with a digit: value, place, whether a base span touches them, and their patterns."""
-    def one(m: Column) -> Column:
+    """Tokens with a digit: value, place, whether a base span touches them, and their patterns.
+
+    Tokens are looked at in runs, each next to the spans that touch the run.
+    """
+    def one(m: Column, near: Column) -> Column:
         value = F.regexp_replace(m["match"], r"[.,;:!?)\]}>\"']+$", "")
         end = m["start"] + F.length(value)
         before = F.lower(F.regexp_extract(F.right(m["gap"], F.lit(REACH)), r"([^ \t-\r]+)[ \t-\r]+$", 1))
         key = F.regexp_extract(value, KEY, 1)
         return F.struct(
             value.alias("value"), m["start"].alias("start"), end.alias("end"),
-            F.exists(spans, lambda s: (s["start"] < end) & (m["start"] < s["end"])).alias("seed"),
+            F.exists(near, lambda s: (s["start"] < end) & (m["start"] < s["end"])).alias("seed"),
             F.filter(F.array(F.when(before != "", F.concat(F.lit("after "), before)), F.when(key != "", F.concat(F.lit("key "), key))),
                      lambda p: p.isNotNull()).alias("patterns"))
 
+    def run(chunk: Column) -> Column:
+        first, last = F.element_at(chunk, 1), F.element_at(chunk, -1)
+        touching = F.filter(spans, lambda s: (s["start"] < last["start"] + F.length(last["match"])) & (first["start"] < s["end"]))
+        return _let(touching, lambda near: F.transform(chunk, lambda m: one(m, near)))
+
     none = F.array().cast("array<struct<value:string,start:long,end:long,seed:boolean,patterns:array<string>>>")
-    return F.when(text.rlike("[0-9]"), F.transform(_located(text, TOKEN), one)).otherwise(none)
+    found = F.when(text.rlike("[0-9]"), F.flatten(_chunked(_located(text, TOKEN), run)))
+    return F.coalesce(found, none)
 
 
 def text_key(text: Column) -> Column:
@@ -212,34 +233,64 @@ def with_counts(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each group of overlapping spans replaced by the kind of its first, like ``<EMAIL>``."""
+    """The text with each group of overlapping spans replaced by the kind of its first, like ``<EMAIL>``.
+
+    Spans are replaced in runs, each in its own part of the text.
+    """
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.array(F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")),
-                        F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= state["at"], F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def state(at: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def finish(state: Column) -> Column:
-        return F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+    def within(part: Column, begin: Column) -> Callable[[Column, Column], Column]:
+        def step(done: Column, s: Column) -> Column:
+            piece = F.array(F.substring(part, (done["at"] - begin + 1).cast("int"), (s["start"] - done["at"]).cast("int")),
+                            F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.struct(F.greatest(done["at"], s["end"]).alias("at"),
+                            F.when(s["start"] >= done["at"], F.concat(done["out"], piece)).otherwise(done["out"]).alias("out"))
+        return step
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, finish)).otherwise(text)
+    def over(done: Column, run: Column) -> Column:
+        begin = done["at"]
+        part = F.substring(text, (begin + 1).cast("int"), (F.element_at(run, -1)["start"] - begin).cast("int"))
+        replaced = _let(part, lambda p: F.aggregate(run, state(begin), within(p, begin)))
+        return _let(replaced, lambda r: F.struct(r["at"].alias("at"), F.concat(done["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
+
+    def finish(done: Column) -> Column:
+        return F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+
+    runs = _chunked(ordered, lambda run: run)
+    return F.when(F.size(spans) > 0, F.aggregate(runs, state(F.lit(0)), over, finish)).otherwise(text)
+
+
+def known_context_spans(text: Column, base: Column, trusted: list[str]) -> Column:
+    """The spans of unseen instances of one text that one of the trusted patterns gives."""
+    def span(i: Column) -> Column:
+        return F.struct(F.lit("context").alias("kind"), i["start"].alias("start"), i["end"].alias("end"))
+
+    found = F.filter(instances(text, base), lambda i: ~i["seed"] & F.exists(i["patterns"], lambda p: p.isin(trusted)))
+    return F.array_sort(F.array_distinct(F.transform(found, span))).cast(f"array<{SPAN}>")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are but for the text, whose personal data is replaced.
 
-    A null text stays null.
+    Up to ``TOLD`` trusted patterns are told to all tasks, and each row is decided
+    where it is read; more than that meet the texts in a join. A null text stays null.
     """
     value = F.coalesce(F.col(f"row.{text}").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     examined = examine(docs.select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text")), "id", "text")
-    more = context_spans(examined, trusted_patterns(examined))
-    keyed = rows.withColumn("text_key", F.when(value.rlike("[0-9]"), text_key(value))).withColumn("id", F.col("row"))
-    spans = F.concat(base_spans(value), F.col("more"))
+    patterns = trusted_patterns(examined)
+    if patterns.count() <= TOLD:
+        trusted = [row.pattern for row in patterns.select("pattern").orderBy("pattern").collect()]
+        known = rows.withColumn("base", base_spans(value))
+        more = known_context_spans(value, F.col("base"), trusted) if trusted else F.array().cast(f"array<{SPAN}>")
+        found = known.withColumn("all_spans", F.concat("base", more))
+    else:
+        keyed = rows.withColumn("text_key", F.when(value.rlike("[0-9]"), text_key(value))).withColumn("id", F.col("row"))
+        joined = _joined(keyed, context_spans(examined, patterns))
+        found = joined.withColumn("all_spans", F.concat(base_spans(value), F.col("more")))
     clean = F.when(F.col(f"row.{text}").isNotNull(), redacted(value, F.col("all_spans")))
-    out = _joined(keyed, more).withColumn("all_spans", spans).withColumn("clean", clean)
+    out = found.withColumn("clean", clean)
     return out.select(*(F.col("clean").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-
