@@ -232,6 +232,18 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return (keys >> np.uint64(32)) % np.uint64(slices)
 
 
+def by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[int], list[tuple[int, int]]]:
+    """The order of the keys by slice, the slices that have any, and where each of them begins and ends.
+
+    Only slices that are used cost anything, however many there are.
+    """
+    place = slice_of(keys, slices).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    used, begins = np.unique(place[order], return_index=True)
+    cuts = [*begins.tolist(), len(keys)]
+    return order, used.tolist(), list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for at in range(batch.num_rows):
@@ -243,15 +255,12 @@ def shared_anchors(packs: DataFrame, unit: Unit, slices: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             keys, several = pack_anchors(open_pack(row, unit))
-            place = slice_of(keys, slices)
-            order = np.argsort(place, kind="stable")
+            order, used, cuts = by_slice(keys, slices)
             low, several = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), several[order]
-            cuts = np.searchsorted(place[order], np.arange(slices + 1, dtype=np.uint64))
-            used = [s for s in range(slices) if cuts[s] < cuts[s + 1]]
             yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(used, pa.int32()), "pack": pa.array([row["pack"]] * len(used), pa.int64()),
-                "low": pa.array([low[cuts[s]:cuts[s + 1]].tobytes() for s in used], pa.binary()),
-                "several": pa.array([np.packbits(several[cuts[s]:cuts[s + 1]]).tobytes() for s in used], pa.binary())})
+                "slice": pa.array(used, pa.int64()), "pack": pa.array([row["pack"]] * len(used), pa.int64()),
+                "low": pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()),
+                "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         lows = [np.frombuffer(b, dtype=np.uint32) for b in group.column("low").to_pylist()]
@@ -269,8 +278,8 @@ def shared_anchors(packs: DataFrame, unit: Unit, slices: int) -> DataFrame:
         return pa.table({"pack": group.column("pack"), "slice": group.column("slice"),
                          "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
 
-    sent = packs.mapInArrow(send, "slice int, pack long, low binary, several binary")
-    return sent.groupBy("slice").applyInArrow(answer, "pack long, slice int, bits binary")
+    sent = packs.mapInArrow(send, "slice long, pack long, low binary, several binary")
+    return sent.groupBy("slice").applyInArrow(answer, "pack long, slice long, bits binary")
 
 
 SEGMENTS = "shard int, pack long, blob binary"
@@ -302,12 +311,11 @@ def segments(packs: DataFrame, shared: DataFrame, unit: Unit, slices: int, shard
         for row in _rows(batches):
             texts = open_pack(row, unit)
             keys, _ = pack_anchors(texts)
-            place = slice_of(keys, slices)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(slices + 1, dtype=np.uint64))
+            order, used, cuts = by_slice(keys, slices)
+            place = dict(zip(used, cuts, strict=True))
             wanted = np.zeros(len(keys), dtype=bool)
             for flag in row["flags"]:
-                a, b = cuts[flag["slice"]], cuts[flag["slice"] + 1]
+                a, b = place[flag["slice"]]
                 wanted[order[a:b]] = np.unpackbits(np.frombuffer(flag["bits"], dtype=np.uint8))[:b - a].astype(bool)
             keys = keys[wanted]
             if not len(keys):

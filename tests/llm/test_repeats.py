@@ -66,6 +66,17 @@ def test_words_and_bytes_equal_brute_force(spark, rows, monkeypatch, pack_bytes)
     assert got == sorted(want)
 
 
+def test_keys_cost_their_slices_only():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    for slices in (1, 7, 1 << 40):
+        order, used, cuts = anchors.by_slice(keys, slices)
+        assert len(used) == len(cuts) <= len(keys) and sorted(order.tolist()) == list(range(len(keys)))
+        place = anchors.slice_of(keys, slices)[order]
+        assert all((place[a:b] == s).all() and a < b for s, (a, b) in zip(used, cuts, strict=True)) and cuts[-1][1] == len(keys)
+    assert anchors.by_slice(keys[:0], 5)[1:] == ([], [])
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert fm_dedup.remove_repeats(none).count() == suffix_dedup.remove_repeats(none).count() == 0
