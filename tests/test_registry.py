@@ -20,7 +20,8 @@ SAMPLE = [
     "rules_single", "item_cosine", "nearest_basket", "similar_by_code", "similar_diversified",
     "category_path_export", "page_links", "quota_admission", "rules_strict", "rules_for_product",
     "eval_rank_positions", "similar_products_requests", "code_enrichment_weighted", "sample_products",
-    "recommend_last_trial",
+    "recommend_last_trial", "recommend_with_substitutes", "ratings_by_phone", "wide_baskets_csv", "siblings_as_json",
+    "page_panel_fields", "sample_orders", "ledger_after_batch", "popular_list_roundtrip",
 ]
 
 
