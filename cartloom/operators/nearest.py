@@ -10,7 +10,7 @@ from cartloom.operators.similar import similar_products
 from cartloom.session import settle, shuffled
 
 # Items probed in the first round; each further round probes twice as many.
-FIRST_PROBES = 2
+FIRST_PROBES = 4
 # Sets of more distinct items are met by counting common items: their remainders
 # from each item on would take the square of their size.
 LONG_SET = 256
@@ -111,8 +111,13 @@ def _remainders(sets: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _postings(held: DataFrame, max_postings: int) -> DataFrame:
-    """``item, slice, slices, entries``: per item its remainders, each with its two best sets."""
+def _postings(held: DataFrame, asking: DataFrame, max_postings: int) -> tuple[DataFrame, DataFrame]:
+    """Per item its remainders, each with its two best sets, and how the larger postings are dealt.
+
+    ``item, slice, part, entries``, and ``item, slices, parts`` for items of more
+    than one slice or part: a slice holds so many remainders, a part is for so
+    many of the queries ``asking``.
+    """
     in_rest = Window.partitionBy("item", "rest").orderBy("size", "sid")
     champion = F.struct("size", "sid")
     distinct = settle(
@@ -126,28 +131,30 @@ def _postings(held: DataFrame, max_postings: int) -> DataFrame:
         ),
         "remainders",
     )
-    slices = distinct.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / max_postings).cast("int").alias("slices"))
-    return (
-        distinct.join(slices, "item")
-        .withColumn("slice", F.pmod(F.xxhash64("rest"), F.col("slices")).cast("int"))
-        .groupBy("item", "slice", "slices")
-        .agg(F.collect_list(F.struct("rest", "first", "second")).alias("entries"))
-    )
+    share = F.ceil(F.count(F.lit(1)) / max_postings).cast("int")
+    slices = distinct.groupBy("item").agg(share.alias("slices"))
+    parts = asking.select(F.explode("items").alias("item")).groupBy("item").agg(share.alias("parts"))
+    dealt = settle(slices.join(parts, "item").where("slices > 1 OR parts > 1"), "dealt")
+    whole = _dealt(distinct, dealt).withColumn("slice", F.pmod(F.xxhash64("rest"), F.col("slices")).cast("int"))
+    postings = whole.groupBy("item", "slice", "parts").agg(F.collect_list(F.struct("rest", "first", "second")).alias("entries"))
+    copies = postings.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return settle(copies, "postings"), dealt
 
 
-def _probed(probes: DataFrame, postings: DataFrame, max_postings: int) -> DataFrame:
+def _dealt(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Adds ``slices`` and ``parts``, 1 for all but the larger postings."""
+    joined = rows.join(dealt, "item", "left")
+    return joined.withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _probed(probes: DataFrame, postings: DataFrame, dealt: DataFrame) -> DataFrame:
     """``kid, b``: the best set that each query finds through the items it probes."""
-    asking = probes.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / max_postings).cast("int").alias("parts"))
-    dealt = (
-        probes.join(postings.select("item", "slices").distinct(), "item")
-        .join(asking, "item")
+    spread = (
+        _dealt(probes, dealt)
         .withColumn("part", F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int"))
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .drop("slices", "parts")
     )
-    copies = postings.drop("slices").join(asking, "item").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
 
     def candidate(entry: Column) -> Column:
         mine = entry["first"]["sid"] == F.col("own")
@@ -156,7 +163,7 @@ def _probed(probes: DataFrame, postings: DataFrame, max_postings: int) -> DataFr
         found = F.struct((-common).cast("bigint").alias("o"), chosen["size"].alias("size"), chosen["sid"].alias("sid"))
         return F.when(chosen.isNotNull(), found)
 
-    met = dealt.join(shuffled(copies.drop("parts")), ["item", "slice", "part"])
+    met = spread.join(shuffled(postings), ["item", "slice", "part"])
     return met.select("kid", F.array_min(F.transform("entries", candidate)).alias("b")).groupBy("kid").agg(F.min("b").alias("b"))
 
 
@@ -167,14 +174,14 @@ def _best(open_: DataFrame, held: DataFrame, max_postings: int) -> DataFrame:
     if not (held.where(long_).isEmpty() and open_.where(long_).isEmpty()):
         counted = _through(open_, held.where(long_)).unionByName(_through(open_.where(long_), held.where(short)))
         counted = counted.groupBy("kid").agg(F.min("b").alias("b"))
-    postings = settle(_postings(held.where(short), max_postings), "postings")
+    postings, dealt = _postings(held.where(short), open_.where(short), max_postings)
     kind = held.schema["sid"].dataType.simpleString()
     open_ = open_.where(short).withColumn("b", F.lit(None).cast(f"struct<o: bigint, size: bigint, sid: {kind}>"))
     answered, done, probes = None, 0, FIRST_PROBES
     while True:
         upto = done + probes
         turn = _remainders(open_, "kid", "own").where(F.col("at").between(done, upto - 1)).drop("at")
-        found = _probed(turn, postings, max_postings).withColumnRenamed("b", "new")
+        found = _probed(turn, postings, dealt).withColumnRenamed("b", "new")
         seen = settle(
             open_.join(found, "kid", "left").select("kid", "own", "items", F.least("b", "new").alias("b")), "probed"
         )
