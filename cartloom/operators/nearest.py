@@ -11,6 +11,8 @@ from cartloom.session import settle, shuffled
 
 # Items probed in the first round; each further round probes twice as many.
 FIRST_PROBES = 4
+# Pairs of items up to which two remainders are compared item by item.
+FEW = 64
 # Sets of more distinct items are met by counting common items: their remainders
 # from each item on would take the square of their size.
 LONG_SET = 256
@@ -159,7 +161,10 @@ def _probed(probes: DataFrame, postings: DataFrame, dealt: DataFrame) -> DataFra
     def candidate(entry: Column) -> Column:
         mine = entry["first"]["sid"] == F.col("own")
         chosen = F.when(F.coalesce(mine, F.lit(False)), entry["second"]).otherwise(entry["first"])
-        common = F.size(F.array_intersect(entry["rest"], F.col("rest")))
+        # Looking each item up costs less than a hash set where few are compared with few.
+        looked_up = F.size(F.filter("rest", lambda item: F.array_contains(entry["rest"], item)))
+        few = F.size("rest") * F.size(entry["rest"]) <= FEW
+        common = F.when(few, looked_up).otherwise(F.size(F.array_intersect(entry["rest"], F.col("rest"))))
         found = F.struct((-common).cast("bigint").alias("o"), chosen["size"].alias("size"), chosen["sid"].alias("sid"))
         return F.when(chosen.isNotNull(), found)
 
