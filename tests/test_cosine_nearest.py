@@ -43,6 +43,18 @@ def test_item_cosine(spark, degree, top):
     assert got == brute_cosine(rows, top)
 
 
+@pytest.mark.parametrize("top", [4, None])
+def test_item_cosine_with_many_hot_users(spark, monkeypatch, top):
+    """Eighty hot users: bitmaps of two words, compared in several tiles."""
+    monkeypatch.setattr(cosine, "TILE", 16)
+    rng = random.Random(80)
+    rows = {(u, i) for u in range(80) for i in rng.sample(range(50), rng.randint(8, 40))}
+    rows |= {(u, i) for u in range(80, 140) for i in rng.sample(range(55), rng.randint(1, 5))}
+    df = spark.createDataFrame(sorted(rows), "user long, item long")
+    got = {(r.item_a, r.item_b): round(r.cosine, 9) for r in cosine.item_cosine(df, "user", "item", top, 5).collect()}
+    assert got == brute_cosine(sorted(rows), top)
+
+
 def test_recommend_items(spark):
     rows = skewed(5)
     df = spark.createDataFrame(rows, "user long, item long")
