@@ -169,3 +169,22 @@ def test_als(spark):
         assert len(values) == 3 and values == sorted(values, reverse=True) and all(v == v for v in values)
     train, test = als.split_random(ratings)
     assert train.count() + test.count() == len(rows)
+
+
+@pytest.mark.parametrize("side,leaf", [(400_000, 256), (7, 3)])
+def test_als_lists_equal_spark_s_own(spark, monkeypatch, side, leaf):
+    """In one tile and in many, with leaves passed over; only tiles meet, never all users and items in one plan row."""
+    monkeypatch.setattr(als, "SIDE", side)
+    monkeypatch.setattr(als, "LEAF", leaf)
+    monkeypatch.setattr(als, "BATCH", leaf)
+    rng = random.Random(3)
+    rows = [(phones.KEY_RANGE - 1 - u, i, float(rng.randint(1, 5))) for u in range(40) for i in rng.sample(range(30), 6)]
+    model = als.train_als(spark.createDataFrame(rows, "tel_hashed int, goods_id long, purchases double"))
+    found, want = als.als_topn(model, 4), model.recommendForAllUsers(4)
+    assert found.dtypes == want.dtypes and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    value = lambda df: {r.tel_hashed: [x.rating for x in r.recommendations] for r in df.collect()}
+    got, own = value(found), value(want)
+    assert got.keys() == own.keys() and all(got[u] == pytest.approx(own[u], rel=1e-4, abs=1e-6) for u in own)
+    assert all(len({x.goods_id for x in r.recommendations}) == 4 for r in found.collect())
+    many = als.als_topn(model, 50).collect()
+    assert all(len(r.recommendations) == 30 for r in many)
