@@ -14,9 +14,13 @@ Users fall into three kinds by their number of distinct items:
 * the rest: their items are cut into blocks of about ``max_degree`` and the
   block pairs are spread over tasks by their own key.
 
-Without any big user only the first part is planned.
+Without any big user only the first part is planned, and with a limit per item
+its pairs aren't shuffled one by one: every item gets the lists of its users, items
+are dealt to groups of bounded size, and an item's neighbours are counted
+and chosen where its lists meet. Items whose lists may be too long for a group are counted
+as pairs.
 
-Nothing is dropped: all three parts add up to the exact counts. Pairs travel as
+Nothing is dropped: all parts add up to the exact counts. Pairs travel as
 two items and a count; item counts and bitmaps are attached to the sums.
 """
 
@@ -27,6 +31,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +44,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HOT_SHARE = 32
 # Rows of a tile of bitmaps.
 TILE = 2048
+# Entries of users' lists in a group of items, and the most that one item may add to them.
+GROUP_ENTRIES = 2_000_000
+ITEM_ENTRIES = 4_000_000
 # Neighbours (all lists together) that are broadcast; users with more items are spread.
 BROADCAST_ENTRIES = 4_000_000
 MANY_ITEMS = 10_000
@@ -91,6 +99,8 @@ def item_cosine(
     n_items = items.count()
     big = degree.where(F.col("d") > max_degree)
     if big.isEmpty():
+        if top is not None:
+            return _best_from_lists(pairs, items, n_items, degree, top)
         counted, marked = _meet(pairs, pairs, ["u"]), None
     else:
         big = settle(big, "big-users")
@@ -106,7 +116,68 @@ def item_cosine(
     scored = _cosines(counted, items, n_items, marked)
     if top is None:
         return _both_ways(scored)
-    return _best_per_item(settle(scored, "item-pairs"), top, n_items)
+    return _best_per_item(_both_ways(settle(scored, "item-pairs")), top, n_items)
+
+
+def _best_from_lists(pairs: DataFrame, items: DataFrame, n_items: int, degree: DataFrame, top: int) -> DataFrame:
+    """The best neighbours, from the lists that an item's users have; for users of few items."""
+    entries, longest = degree.where("u IS NOT NULL").agg(F.sum(F.col("d") * F.col("d")), F.max("d")).first()
+    heavy = F.col("n") * (longest or 0) > ITEM_ENTRIES
+    few = items.where(heavy).count()
+    known = pairs.where("u IS NOT NULL AND i IS NOT NULL")
+    met = _counted_lists(known, items, n_items, -(-(entries or 0) // GROUP_ENTRIES) or 1, heavy, top)
+    if not few:
+        return met
+    # Groups of these are as large as their lists, so their pairs are summed map-side and shuffled.
+    own = small_side(items.where(heavy).select(F.col("i").alias("x")), few)
+    asked = known.withColumnRenamed("i", "x").join(own, "x", "left_semi")
+    counted = asked.join(shuffled(known.withColumnRenamed("i", "y")), "u").where("x <> y").select("x", "y", F.lit(1).alias("c"))
+    return met.unionByName(_best_per_item(settle(_cosines(counted, items, n_items, None), "item-pairs"), top, n_items))
+
+
+def _counted_lists(pairs: DataFrame, items: DataFrame, n_items: int, groups: int, heavy: Column, top: int) -> DataFrame:
+    kind = items.schema["i"].dataType.simpleString()
+    entry = F.struct("i", "n", heavy.alias("h"))
+    lists = pairs.join(small_side(items, n_items), "i").groupBy("u").agg(F.collect_list(entry).alias("l"))
+    light = F.filter("l", lambda e: ~e["h"])["i"]
+    sent = lists.where(F.size("l") > 1).select(F.explode(light).alias("x"), F.col("l.i").alias("i"), F.col("l.n").cast("array<int>").alias("n"))
+    dealt = sent.withColumn("g", F.pmod(F.xxhash64("x"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("g").applyInArrow(
+        lambda table: _count_and_choose(table, top), f"item_a {kind}, item_b {kind}, cosine double"
+    )
+
+
+def _ordered_codes(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different values in order, and each value's place among them."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def _count_and_choose(table: pa.Table, top: int) -> pa.Table:
+    """``item_a, item_b, cosine`` of each x of the table, from all lists that hold it."""
+    table = table.combine_chunks()
+    x, lists, numbers = (table.column(c).combine_chunks() for c in ("x", "i", "n"))
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    values, y = _ordered_codes(lists.flatten())
+    bought = np.zeros(len(values), dtype=np.float64)
+    bought[y] = numbers.flatten().to_numpy()
+    # An item is in its own lists, so it has a place there.
+    own = pc.index_in(x, value_set=values).to_numpy().astype(np.int64)
+    met, common = np.unique(np.repeat(own, sizes) * len(values) + y, return_counts=True)
+    x, y = np.divmod(met, len(values))
+    apart = x != y
+    x, y, common = x[apart], y[apart], common[apart]
+    cosine = common / np.sqrt(bought[x] * bought[y])
+    # rint: equal cosines that differ in the last bit count as ties. Stable, so lower items come first.
+    order = np.lexsort((-np.rint(cosine * 1e12), x))
+    x, y, cosine = x[order], y[order], cosine[order]
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    best = rank < top
+    return pa.table({"item_a": values.take(pa.array(x[best])), "item_b": values.take(pa.array(y[best])), "cosine": pa.array(cosine[best])})
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,26 +225,25 @@ def _cosines(counted: DataFrame, items: DataFrame, n_items: int, marked: DataFra
     return total.select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), (common / norm).alias("cosine"))
 
 
-def _both_ways(scored: DataFrame, *more: Column) -> DataFrame:
+def _both_ways(scored: DataFrame) -> DataFrame:
     ends = F.array(
         F.struct(F.col("item_a").alias("a"), F.col("item_b").alias("b")),
         F.struct(F.col("item_b").alias("a"), F.col("item_a").alias("b")),
     )
-    return scored.select(F.explode(ends).alias("e"), "cosine", *more).select(
-        F.col("e.a").alias("item_a"), F.col("e.b").alias("item_b"), "*"
-    ).drop("e")
+    return scored.select(F.explode(ends).alias("e"), "cosine").select(
+        F.col("e.a").alias("item_a"), F.col("e.b").alias("item_b"), "cosine"
+    )
 
 
-def _best_per_item(scored: DataFrame, top: int, n_items: int) -> DataFrame:
-    """The ``top`` highest neighbours of each item.
+def _best_per_item(directed: DataFrame, top: int, n_items: int) -> DataFrame:
+    """The ``top`` highest neighbours of each ``item_a``.
 
     A histogram of the cosines per item (16 steps per octave, summed map-side)
     tells from which step on a neighbour can be among the best. Only rows above
     it are shuffled and sorted, a little more than ``top`` per item.
     """
     # The shift keeps powers of two, and equal values a bit apart, off the step edges.
-    step = F.floor(F.log2("cosine") * 16 + 1e-7).cast("int").alias("step")
-    directed = _both_ways(scored, step)
+    directed = directed.withColumn("step", F.floor(F.log2("cosine") * 16 + 1e-7).cast("int"))
     steps = directed.groupBy("item_a", "step").agg(F.count(F.lit(1)).alias("n"))
     above = Window.partitionBy("item_a").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     lowest = (

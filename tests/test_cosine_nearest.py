@@ -55,6 +55,25 @@ def test_item_cosine_with_many_hot_users(spark, monkeypatch, top):
     assert got == brute_cosine(sorted(rows), top)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("heavy", [4_000_000, 60, 0])
+def test_item_cosine_from_lists(spark, monkeypatch, kind, heavy):
+    """Many small groups, items too heavy for one, missing users and items; no pair of items is shuffled without need."""
+    monkeypatch.setattr(cosine, "GROUP_ENTRIES", 40)
+    monkeypatch.setattr(cosine, "ITEM_ENTRIES", heavy)
+    rows = skewed(7)
+    df = spark.createDataFrame([*rows, *rows[:9], (None, 3), (None, 4), (5, None)], "user long, item long")
+    counted = {(u, i) for u, i in rows} | {(-1, 3), (-2, 4)}  # a missing user counts as a buyer, but links nothing
+    text = lambda i: i if kind == "long" else f"{i:03}"
+    shaped = df if kind == "long" else df.withColumn("item", F.lpad(F.col("item").cast("string"), 3, "0"))
+    found = cosine.item_cosine(shaped, "user", "item", 6)
+    assert found.columns == ["item_a", "item_b", "cosine"]
+    want = {(text(a), text(b)): c for (a, b), c in brute_cosine(sorted(counted), 6).items()}
+    assert {(r.item_a, r.item_b): round(r.cosine, 9) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert heavy < 4_000_000 or "SortMergeJoin" not in plan and "Join Inner, (u" not in plan
+
+
 def test_recommend_items(spark):
     rows = skewed(5)
     df = spark.createDataFrame(rows, "user long, item long")
