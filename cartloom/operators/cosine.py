@@ -384,6 +384,72 @@ def summed_neighbours(have: DataFrame, similarity: DataFrame, *also: DataFrame)
     return summed(few[0], few[1:]).unionByName(summed(rest[0], rest[1:]))
 
 
+def _few_and_many(have: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Users (u, i) whose lists fit a group, and those with more than ``MANY_ITEMS`` items, if any."""
+    many = have.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_ITEMS).select("u")
+    if many.isEmpty():
+        return have, None
+    many = settle(many, "many-items")
+    return have.join(many, "u", "left_anti"), have.join(many, "u", "left_semi")
+
+
+def _served(have: DataFrame, similarity: DataFrame, k: int | None, targets: DataFrame | None = None) -> DataFrame:
+    """``u, i, w, n, rnk``: the first k sums of each user (all if None), or the places of ``targets`` (u, i).
+
+    The lists of neighbours go to groups of users of bounded size, where
+    they are added up and ranked, so that no sum is shuffled.
+    """
+    near = settle(_neighbours(similarity), "neighbours")
+    entries, longest = near.agg(F.sum(F.size("near")), F.max(F.size("near"))).first()
+    groups = -(-have.count() * (longest or 0) // GROUP_ENTRIES) or 1
+    rows = have.select("u", "i", F.lit(False).alias("target"))
+    if targets is not None:
+        rows = rows.unionByName(targets.select("u", "i", F.lit(True).alias("target")))
+    dealt = rows.where("u IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int"))
+    if (entries or 0) <= BROADCAST_ENTRIES:
+        # The lists are here already: dealing first leaves them out of the shuffle.
+        dealt = dealt.repartition("g")
+    lists = near.select("i", F.col("near.j").alias("j"), F.col("near.w").alias("w"))
+    met = dealt.join(small_side(lists, entries or 0, BROADCAST_ENTRIES), "i", "left")
+    own = lambda c: F.when(~F.col("target"), F.col(c)).alias(c)
+    places = targets is not None
+    users, items = (have.schema[c].dataType.simpleString() for c in "ui")
+    return met.select("g", "u", "i", "target", own("j"), own("w")).groupBy("g").applyInArrow(
+        lambda table: _sum_and_rank(table, k, places),
+        f"u {users}, i {items}, w bigint, n bigint, rnk int",
+    )
+
+
+def _sum_and_rank(table: pa.Table, k: int | None, places: bool) -> pa.Table:
+    """The users of one group: their neighbours' weights added up, known items left out, ranked."""
+    users, items, target, j, w = (table.column(c).combine_chunks() for c in ("u", "i", "target", "j", "w"))
+    named, u = _ordered_codes(users)
+    target = target.to_numpy(zero_copy_only=False)
+    size = np.bincount(u[~target], minlength=len(named))
+    known = items.is_valid().to_numpy(zero_copy_only=False)
+    listed = items.drop_null()
+    values, codes = _ordered_codes(pa.concat_arrays([listed, j.flatten().cast(listed.type)]))
+    at = u[known] * len(values) + codes[:len(listed)]
+    lengths = pc.fill_null(pc.list_value_length(j), 0).to_numpy().astype(np.int64)
+    keys, place = np.unique(np.repeat(u, lengths) * len(values) + codes[len(listed):], return_inverse=True)
+    # Whole units of at most 10,000 items: exact in doubles.
+    sums = np.bincount(place, w.flatten().to_numpy(), minlength=len(keys)).astype(np.int64)
+    new = (sums > 0) & ~np.isin(keys, at[~target[known]])
+    keys, sums = keys[new], sums[new]
+    owner = keys // max(len(values), 1)
+    # Stable: lower items first.
+    order = np.lexsort((-sums, owner))
+    keys, sums, owner = keys[order], sums[order], owner[order]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    rank = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys)))) + 1
+    chosen = np.isin(keys, at[target[known]]) if places else np.full(len(keys), True) if k is None else rank <= k
+    keys, sums, owner, rank = keys[chosen], sums[chosen], owner[chosen], rank[chosen]
+    return pa.table({
+        "u": named.take(pa.array(owner)), "i": values.take(pa.array(keys - owner * len(values))),
+        "w": pa.array(sums), "n": pa.array(size[owner].astype(np.int64)), "rnk": pa.array(rank.astype(np.int32)),
+    })
+
+
 def recommend_items(
     owned: DataFrame,
     similarity: DataFrame,
@@ -393,17 +459,21 @@ def recommend_items(
 ) -> DataFrame:
     """``user, item, score, rnk``: mean similarity to the user's items, known ones left out.
 
-    Each item meets one row holding its neighbours (a bounded array), and known
-    items are marked in the same aggregation instead of in another join.
+    Each item meets one row holding its neighbours (a bounded array). Sums and
+    ranks are local to groups of users; those with very many items are spread.
     """
     have = settle(owned.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct(), "owned")
-    sums = summed_neighbours(have, similarity).where((F.col("known") == 0) & (F.col("w") > 0))
-    best = Window.partitionBy("u").orderBy(F.desc("w"), "i")
-    ranked = sums.withColumn("rnk", F.row_number().over(best))
-    if k is not None:
-        ranked = ranked.where(F.col("rnk") <= k)
-    sizes = have.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(sizes, "u").select(
+    few, many = _few_and_many(have)
+    ranked = _served(few, similarity, k)
+    if many is not None:
+        sums = summed_neighbours(many, similarity).where((F.col("known") == 0) & (F.col("w") > 0))
+        best = Window.partitionBy("u").orderBy(F.desc("w"), "i")
+        spread = sums.withColumn("rnk", F.row_number().over(best))
+        if k is not None:
+            spread = spread.where(F.col("rnk") <= k)
+        sizes = many.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        ranked = ranked.unionByName(spread.join(sizes, "u").select("u", "i", "w", "n", "rnk"))
+    return ranked.select(
         F.col("u").alias(user),
         F.col("i").alias(item),
         (F.col("w") / F.lit(float(UNITS)) / F.col("n")).alias("score"),
@@ -412,7 +482,21 @@ def recommend_items(
 
 
 def target_ranks(owned: DataFrame, targets: DataFrame, similarity: DataFrame) -> DataFrame:
-    """``u, i, rnk`` of the wanted items (u, i) that are recommended at all, without ranking the others.
+    """``u, i, rnk`` of the wanted items (u, i) that are recommended at all.
+
+    Where a user's sums are local, so are the places of the targets; users with very many items are counted.
+    """
+    few, many = _few_and_many(owned)
+    if many is None:
+        return _served(few, similarity, None, targets).select("u", "i", F.col("rnk").cast("bigint").alias("rnk"))
+    big = settle(many.select("u").distinct(), "big-targets")
+    placed = _served(few, similarity, None, targets.join(big, "u", "left_anti"))
+    counted = _counted_ranks(many, targets.join(big, "u", "left_semi"), similarity)
+    return placed.select("u", "i", F.col("rnk").cast("bigint").alias("rnk")).unionByName(counted)
+
+
+def _counted_ranks(owned: DataFrame, targets: DataFrame, similarity: DataFrame) -> DataFrame:
+    """``u, i, rnk`` of the wanted items of users with very many, without ranking the others.
 
     The place of an item is one more than the number of better ones: those in
     higher bins, from a histogram of the user's scores (eight bins to a doubling), and the

@@ -198,6 +198,32 @@ def test_places_by_counting_equal_places_by_ranking(spark, monkeypatch, many):
     assert {(r.u, r.i): r.rnk for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("entries", [4_000_000, 0])
+def test_sums_of_neighbours_are_not_shuffled(spark, monkeypatch, entries):
+    """Lists are added up and ranked where a user's group is, with lists broadcast or dealt, in many groups."""
+    monkeypatch.setattr(cosine, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(cosine, "GROUP_ENTRIES", 50)
+    rows = skewed(9, 40, 40)
+    df = spark.createDataFrame([*rows, (3, None), (None, 5)], "user long, item long")
+    sims = cosine.item_cosine(spark.createDataFrame(rows, df.schema), "user", "item", 12)
+    found = cosine.recommend_items(df, sims, "user", "item", 4)
+    assert "HashAggregate(keys=[u" not in found._jdf.queryExecution().toString()
+    near, owned = {}, {}
+    for (a, b), c in brute_cosine(rows, 12).items():
+        near.setdefault(a, []).append((b, round(c * cosine.UNITS)))
+    for u, i in [*rows, (3, None)]:
+        owned.setdefault(u, set()).add(i)
+    want = set()
+    for u, items in owned.items():
+        sums = {}
+        for i in items:
+            for j, w in near.get(i, []):
+                sums[j] = sums.get(j, 0) + w
+        best = sorted(((-w, j) for j, w in sums.items() if j not in items))[:4]
+        want |= {(u, j, round(-w / cosine.UNITS / len(items), 7), at) for at, (w, j) in enumerate(best, 1)}
+    assert {(r.user, r.item, round(r.score, 7), r.rnk) for r in found.collect()} == want
+
+
 def test_fallback_chain(spark):
     stored = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 10)], "basket_id long, item long")
     sims = cosine.item_cosine(stored, "basket_id", "item")
