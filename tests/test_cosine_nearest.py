@@ -270,3 +270,40 @@ def test_evaluation(spark):
     rules = spark.createDataFrame([([11], [12]), ([10], [99])], "antecedent array<long>, consequent array<long>")
     hits = dict(evaluate.rule_hits(held, rules, ["n"]).collect())
     assert hits == {5: 1, 6: 0, 7: 0}
+
+
+@pytest.mark.parametrize("kind,light", [("long", 256), ("string", 9)])
+def test_nearest_basket_in_many_groups(spark, monkeypatch, kind, light):
+    """Light items meet in many small groups, the others in rounds; a missing basket or query is a basket like others."""
+    monkeypatch.setattr(nearest, "LIGHT", light)
+    monkeypatch.setattr(nearest, "GROUP_ENTRIES", 50)
+    monkeypatch.setattr(nearest, "PAIRS", 20)
+    rng = random.Random(light)
+    lines = [(b, i) for b in range(60) for i in rng.sample(range(25), rng.randrange(1, 9))] + [(b, 90 + b % 2) for b in range(70, 76)]
+    lines += [(b, i) for b in range(80, 84) for i in (1, 2, 3)] + [(59, 1), (59, 1)]
+    name = {b: b if kind == "long" else f"{b:05}" for b in range(2000)}
+    for same in (True, False):
+        asked = lines if same else [(1000 + q, i) for q, i in lines if q % 3] + [(1999, 777)]
+        want = {name[q]: (name[b], o, s) for q, (b, o, s) in brute_nearest(asked, lines, same).items()}
+        stored = spark.createDataFrame([(name[b], name[i]) for b, i in lines], f"basket_id {kind}, item {kind}")
+        queries = spark.createDataFrame([(name[q], name[i]) for q, i in asked], f"query_id {kind}, item {kind}")
+        got = nearest.nearest_basket(queries, stored, 10_000, same)
+        assert {r.query_id: (r.basket_id, r.overlap, r.size) for r in got.collect()} == want
+        # A basket without an id comes first among equals, and is nobody's own.
+        missing = stored.unionByName(spark.createDataFrame([(None, i) for i in map(name.get, (1, 2, 3))] + [(name[999], None)], stored.schema))
+        found = nearest.nearest_basket(queries, missing, 10_000, same).where(F.col("query_id").isin(name[82], name[1082]))
+        assert [(r.basket_id, r.overlap, r.size) for r in found.collect()] == [(None, 3, 3)]
+
+
+@pytest.mark.parametrize("postings", [10_000, 10])
+def test_light_items_write_no_postings(spark, monkeypatch, postings):
+    """Remainders of light items are shuffled once to where they meet, and not written."""
+    labels = []
+    settled = nearest.settle
+    monkeypatch.setattr(nearest, "settle", lambda df, label: labels.append(label) or settled(df, label))
+    lines = [(b, i) for b in range(50) for i in (b % 10, 20 + b % 9)]
+    stored = spark.createDataFrame(lines, "basket_id long, item long")
+    queries = stored.withColumnRenamed("basket_id", "query_id")
+    got = {r.query_id: (r.basket_id, r.overlap, r.size) for r in nearest.nearest_basket(queries, stored, postings, True).collect()}
+    assert got == brute_nearest(lines, lines, True)
+    assert not {"remainders", "postings", "probed"} & set(labels)
