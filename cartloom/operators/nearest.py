@@ -407,10 +407,11 @@ def recommend_with_substitutes(
     """Like :func:`recommend_with_fallback`; baskets left without an answer try once more.
 
     The second trial asks with the substitutes of their items, and falls back
-    to the popular items.
+    to the popular items. Both trials use the same sets and neighbours, made once.
     """
+    shelf, similarity = basket_sets(stored), settle(similarity, "similarity")
     first = settle(
-        recommend_with_fallback(requests, queries, stored, similarity, popular, k, False, max_postings),
+        recommend_with_fallback(requests, queries, stored, similarity, popular, k, False, max_postings, shelf),
         "first-trial",
     )
     again = requests.join(first.select("query_id").distinct(), "query_id", "left_anti")
@@ -425,6 +426,6 @@ def recommend_with_substitutes(
         "substitutes",
     )
     second = recommend_with_fallback(
-        again, swapped, stored, similarity, popular, k, True, max_postings
+        again, swapped, stored, similarity, popular, k, True, max_postings, shelf
     )
     return first.unionByName(second)

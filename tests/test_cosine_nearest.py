@@ -307,3 +307,20 @@ def test_light_items_write_no_postings(spark, monkeypatch, postings):
     got = {r.query_id: (r.basket_id, r.overlap, r.size) for r in nearest.nearest_basket(queries, stored, postings, True).collect()}
     assert got == brute_nearest(lines, lines, True)
     assert not {"remainders", "postings", "probed"} & set(labels)
+
+
+def test_both_trials_use_the_same_sets(spark, monkeypatch):
+    """The stored sets and the neighbours are made once for both trials."""
+    labels = []
+    settled = nearest.settle
+    monkeypatch.setattr(nearest, "settle", lambda df, label: labels.append(label) or settled(df, label))
+    stored = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 10)], "basket_id long, item long")
+    requests = spark.createDataFrame([(7,), (8,)], "query_id long")
+    queries = spark.createDataFrame([(7, 11), (8, 99)], "query_id long, item long")
+    popular = spark.createDataFrame([(10, 1)], "item long, rnk int")
+    monkeypatch.setattr(nearest, "similar_products", lambda asked, *rest, **limit: asked.select("id", F.lit(12).cast("bigint").alias("similar_id")))
+    sims = cosine.item_cosine(stored, "basket_id", "item")
+    got = nearest.recommend_with_substitutes(requests, queries, stored, sims, popular, stored, stored)
+    rows = {(r.query_id, r.item, r.source) for r in got.collect()}
+    assert {q for q, _, _ in rows} == {7, 8} and (8, 11, "basket") in rows
+    assert labels.count("basket-sets") == labels.count("similarity") == 1
