@@ -102,6 +102,16 @@ def test_induced_sort_orders_suffixes(tmp_path, monkeypatch, block):
         assert down.tolist() == [0, *common]
 
 
+def test_queues_share_three_files(tmp_path, monkeypatch):
+    """However many bytes occur, a sort opens one file for each pass and not one for each queue."""
+    monkeypatch.setattr(suffix_dedup, "HELD", 4)
+    text = bytes(random.Random(1).randrange(1, 250) for _ in range(20_000))
+    (tmp_path / "text").write_bytes(text)
+    found = list(suffix_dedup.InducedSort(os.fspath(tmp_path / "text"), len(text), os.fspath(tmp_path)).blocks())
+    assert sum(len(at) for at, _ in found) == len(text)
+    assert sorted(os.listdir(tmp_path)) == ["kept", "large", "small", "text"]
+
+
 def test_fm_index_counts():
     rng = random.Random(5)
     sequence = np.array([rng.randrange(1, 5) for _ in range(400)])
