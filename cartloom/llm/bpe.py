@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from cartloom.llm.tables import map_texts
+from cartloom.llm.tables import held, map_texts
 
 #: How the vocabulary's tokenizer cuts words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -155,16 +155,9 @@ def definition(spark: SparkSession, path: str) -> str:
         return file.read()
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(shared) -> Encoder:
     """One encoder for each Python worker, built from the broadcast definition."""
-    key = hash(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+    return held(f"bpe-{hash(shared.value)}", lambda: Encoder(shared.value))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

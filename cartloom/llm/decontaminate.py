@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cartloom.llm.tables import small, whole_rows
+from cartloom.llm.tables import held, small, whole_rows
 
 #: Of the UTF-8 bytes, once A-Z are lower case: digits, letters, and all beyond ASCII.
 WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -159,16 +159,10 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text", limit: in
             for i in range(n)]
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automaton(block) -> Automaton:
     """Built once in each Python worker for each broadcast block."""
     name, items = block.value
-    if name not in _built:
-        _built.clear()
-        _built[name] = Automaton([(k, words_of(t)) for k, t in items])
-    return _built[name]
+    return held(name, lambda: Automaton([(k, words_of(t)) for k, t in items]))
 
 
 def scan(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.tables import held_out, map_texts, whole_rows
+from cartloom.llm.tables import held, held_out, map_texts, whole_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Sampled labelled documents, at most.
@@ -203,19 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(toxic, ordinary)
 
 
-_models: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, the ``score`` from 0 to 1, and ``predicted``, 1 from one half on."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     def make():
-        name, own = shared.value
-        if name not in _models:
-            _models.clear()
-            _models[name] = own
-        own = _models[name]
+        name, sent = shared.value
+        own = held(name, lambda: sent)
 
         def rows(texts):
             for t in texts:

@@ -3,8 +3,10 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from cartloom.llm import near_dups
+from cartloom.llm import near_dups, tables
 
 
 def lcs(a, b):
@@ -208,3 +210,36 @@ def test_sketches_of_long_texts_are_the_same_in_parts(monkeypatch):
     whole = near_dups.sketch(numbers)
     monkeypatch.setattr(near_dups, "SKETCHES", 24)
     assert len(whole) == 24 and (near_dups.sketch(numbers[::-1].copy()) != whole).any()
+
+
+def test_workers_get_few_bytes_of_texts_at_a_time(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    text = F.concat(F.repeat(F.lit("w "), 2000), F.floor(F.col("doc_id") / 2))
+    docs = spark.range(0, 3000, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", text)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    found = near_dups.classes(docs)
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= tables.BATCH_BYTES + 8192 < 12_000_000
+    assert found.where("class_id = doc_id").count() < found.count() == 3000
+    spark.conf.unset(limit)
+
+
+def test_a_worker_holds_the_last_model_only():
+    made = []
+
+    def make(name):
+        made.append(name)
+        return [name]
+
+    tables.let_go()
+    first = tables.held("a", lambda: make("a"))
+    assert tables.held("a", lambda: make("a")) is first and made == ["a"]
+    assert tables.held("b", lambda: make("b")) == ["b"] and list(tables._held) == ["b"]
+    tables.held("a", lambda: make("a"))
+    assert made == ["a", "b", "a"]
+    tables.let_go()
+    assert not tables._held
