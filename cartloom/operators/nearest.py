@@ -53,8 +53,8 @@ def nearest_basket(
     Only items on both sides are looked at, rarest first. A pair of sets is
     found at its first common item, where what both have in common is in their
     remainders: the items from there on. Light items (of ``LIGHT`` stored sets
-    and ``max_postings`` queries at most) come first and are dealt to groups of
-    bounded size, where the remainders meet.
+    and the larger of ``LIGHT`` and ``max_postings`` queries at most) come first
+    and are dealt to groups of bounded size, where the remainders meet.
 
     The others are probed in rounds. A posting holds, for each different remainder,
     its two best sets. However many sets hold the most frequent item, it has one
@@ -66,7 +66,7 @@ def nearest_basket(
     ``shelf`` is what :func:`basket_sets` makes of ``stored``, if asked more than once.
     """
     shelf = basket_sets(stored) if shelf is None else shelf
-    asked = _item_sets(queries, "query_id").select("query_id", "items")
+    asked = settle(_item_sets(queries, "query_id").select("query_id", "items"), "asked-sets")
     own = shelf if same_ids else shelf.limit(0)
     kinds = settle(
         asked.groupBy("items").agg(F.min("query_id").alias("kid")).join(own, "items", "left"),
@@ -74,7 +74,7 @@ def nearest_basket(
     )
     held_by = shelf.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     asked_by = kinds.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("asked"))
-    heavy = (F.col("n") > min(LIGHT, max_postings)) | (F.col("asked") > max_postings)
+    heavy = (F.col("n") > LIGHT) | (F.col("asked") > max(LIGHT, max_postings))
     frequency = settle(held_by.join(asked_by, "item").select("item", "n", heavy.alias("heavy")), "item-frequency")
     held = settle(_rarest_first(shelf, frequency, "sid", "size"), "ordered-sets")
     probing = _rarest_first(kinds.withColumnRenamed("sid", "own"), frequency, "kid", "own")

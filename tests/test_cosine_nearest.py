@@ -309,6 +309,27 @@ def test_light_items_write_no_postings(spark, monkeypatch, postings):
     assert not {"remainders", "postings", "probed"} & set(labels)
 
 
+def test_small_postings_leave_light_items_out_of_rounds(spark, monkeypatch):
+    """Items of more sets than a posting's part may hold are light as long as ``LIGHT`` says so; sets are made once."""
+    labels = []
+    settled = nearest.settle
+    monkeypatch.setattr(nearest, "settle", lambda df, label: labels.append(label) or settled(df, label))
+    lines = [(b, i) for b in range(120) for i in (b % 2, 20 + b % 7, 40 + b % 11)]
+    stored = spark.createDataFrame(lines, "basket_id long, item long")
+    queries = stored.withColumnRenamed("basket_id", "query_id")
+
+    def found(postings):
+        labels.clear()
+        return {r.query_id: (r.basket_id, r.overlap, r.size) for r in nearest.nearest_basket(queries, stored, postings, True).collect()}
+
+    want = brute_nearest(lines, lines, True)
+    assert found(5) == want
+    assert "asked-sets" in labels and not {"remainders", "postings", "probed"} & set(labels)
+    monkeypatch.setattr(nearest, "LIGHT", 12)
+    assert found(5) == want
+    assert {"remainders", "postings", "probed"} <= set(labels)
+
+
 def test_both_trials_use_the_same_sets(spark, monkeypatch):
     """The stored sets and the neighbours are made once for both trials."""
     labels = []
