@@ -1,4 +1,8 @@
-"""Substitute products: by code, by fuzzy name within equal forms, diversified."""
+"""Substitute products: by code, by fuzzy name within equal forms, diversified.
+
+Joins by product, request or code group are shuffled: their sides grow with the catalogue
+or the requests, and files of repeated words look small enough to Spark to broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions import text
 from cartloom.operators import fuzzy
-from cartloom.session import settle
+from cartloom.session import settle, shuffled
 
 CODE_SCORE = 1.0
 
@@ -49,10 +53,10 @@ def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: Limit = Non
     coded = catalogue.where(has_code(F.col("atx"))).select(
         "id", text.without_last(F.col("atx")).alias("stem")
     )
-    asked = _requests(queries, limit, request).join(coded, "id")
+    asked = _requests(queries, limit, request).join(shuffled(coded), "id")
     siblings = coded.select(F.col("id").alias("similar_id"), "stem")
     score = F.lit(CODE_SCORE).alias("score")
-    unlimited = asked.where("_limit <= 0").join(siblings, "stem").where("id <> similar_id").select(
+    unlimited = asked.where("_limit <= 0").join(shuffled(siblings), "stem").where("id <> similar_id").select(
         "_req", "id", "similar_id", score
     )
     if not limit:
@@ -60,7 +64,7 @@ def similar_by_code(queries: DataFrame, catalogue: DataFrame, limit: Limit = Non
     limited = asked.where("_limit > 0")
     most = limited.groupBy("stem").agg(F.max("_limit").alias("_most"))
     in_group = Window.partitionBy("stem").orderBy("similar_id")
-    heads = siblings.join(most, "stem").withColumn("_r", F.row_number().over(in_group)).where("_r <= _most + 1")
+    heads = siblings.join(shuffled(most), "stem").withColumn("_r", F.row_number().over(in_group)).where("_r <= _most + 1")
     lists = heads.groupBy("stem").agg(F.array_sort(F.collect_list("similar_id")).alias("ids"))
     own = F.filter("ids", lambda x: x != F.col("id"))
     first = limited.join(lists, "stem").select(
@@ -94,7 +98,7 @@ def form_candidates(asked: DataFrame, catalogue: DataFrame, form_map: DataFrame)
 def asked_products(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Query products without a code, with the name they're looked up by."""
     plain = catalogue.where(~has_code(F.col("atx")))
-    return plain.join(queries.select("id").distinct(), "id", "left_semi").select(
+    return plain.join(shuffled(queries.select("id").distinct()), "id", "left_semi").select(
         "id",
         F.coalesce("tradeName", "normalized_name").alias("asked_name"),
         F.col("normalized_name").alias("own_name"),
@@ -170,8 +174,8 @@ def similar_fuzzy(
     """
     asked = settle(asked_products(queries, catalogue), "asked-products")
     found = _matched_names(asked, catalogue, form_map, cutoff).join(_first_rows(catalogue), "found_name")
-    rows = asked.join(found, ["asked_name", "own_name"]).where(F.col("id") != F.col("similar_id"))
-    matches = rows.select("id", "similar_id", "score", "company").join(_requests(queries, limit, request), "id")
+    rows = shuffled(asked).join(found, ["asked_name", "own_name"]).where(F.col("id") != F.col("similar_id"))
+    matches = rows.select("id", "similar_id", "score", "company").join(shuffled(_requests(queries, limit, request)), "id")
     ranked = diversify(matches, "_limit" if limit else None, "_req")
     return _named_request(ranked.select("_req", "id", "similar_id", "score", "rnk"), request)
 
@@ -200,7 +204,7 @@ def diversify(matches: DataFrame, limit: Limit = None, key: str = "id") -> DataF
     first = F.when(~spread | (F.col("_place") <= F.col("_share")), 0).otherwise(1)
     return (
         matches.withColumn("_place", place)
-        .join(totals, key)
+        .join(shuffled(totals), key)
         .withColumn("_share", share)
         .withColumn("_late", first)
         .withColumn("rnk", F.row_number().over(per_query.orderBy("_late", *by_score)))
@@ -229,7 +233,7 @@ def similar_products(
         *own, "id", "similar_id", (F.col("score") / 100).alias("score")
     )
     names = catalogue.select(F.col("id").alias("similar_id"), F.col("normalized_name").alias("name"))
-    return by_code.unionByName(by_name).join(names, "similar_id").select(
+    return by_code.unionByName(by_name).join(shuffled(names), "similar_id").select(
         *own, "id", "similar_id", "name", "score"
     )
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from cartloom import session
 from cartloom.functions import text
@@ -22,6 +23,25 @@ def test_an_id_asked_twice(spark):
     assert sorted((r.request, r.rnk) for r in found) == [(10, 1), (10, 2), (11, 1), (11, 2), (11, 3), (11, 4)]
 
 
+def test_no_table_of_products_or_requests_is_broadcast(spark, tmp_path):
+    """Files of repeated words look small, however many rows they hold."""
+    names = ["aspirin forte", "aspirin fort", "iodine"]
+    rows = [(i, names[i % 3], names[i % 3], "f", f"c{i % 4}", "A10" if i % 2 else None) for i in range(400)]
+    spark.createDataFrame(rows, SHELF).write.parquet(f"{tmp_path}/shelf")
+    shelf = spark.read.parquet(f"{tmp_path}/shelf")
+    asked = shelf.selectExpr("id", "id * 10 as request", "if(id % 4 < 2, 2, 0) as most")
+    forms = spark.createDataFrame([("f", "f")], "form string, equal_form string")
+    found = similar.similar_products(asked, shelf, forms, 80, "most", "request")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [similar_id#" in plan and not re.search(r"BroadcastHashJoin \[(id|similar_id|_req|request)#", plan)
+    listed = {}
+    for r in found.collect():
+        listed.setdefault(r.id, set()).add(r.similar_id)
+    assert listed[3] == set(range(1, 400, 2)) - {3} and listed[1] == {3, 5} and listed[5] == {1, 3}
+    # By name, each name's lowest id stands for it; the third name is far from the others.
+    assert listed[6] == listed[100] == {0, 1} and listed[8] == {2} and 2 not in listed
+
+
 def test_missing_companies_are_one_company(spark):
     rows = [(1, i, 90 - i, None if i % 2 else "") for i in range(6)] + [(1, 9, 10, "x")]
     matches = spark.createDataFrame(rows, "id long, similar_id long, score int, company string")
