@@ -1,10 +1,11 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cartloom import schemas
+from cartloom import schemas, session
 from cartloom.functions import phones, text
 from cartloom.operators import als, baskets, mining, popularity
 from cartloom.operators.ranking import ranked
@@ -188,3 +189,27 @@ def test_als_lists_equal_spark_s_own(spark, monkeypatch, side, leaf):
     assert all(len({x.goods_id for x in r.recommendations}) == 4 for r in found.collect())
     many = als.als_topn(model, 50).collect()
     assert all(len(r.recommendations) == 30 for r in many)
+
+
+def test_training_blocks_are_bounded(spark, monkeypatch):
+    """More ratings are trained in more blocks; a table of few keeps the library's ten."""
+    rows = [(u, i, float((u + i) % 4 + 1)) for u in range(40) for i in range(u % 7, 30, 4)]
+    ratings = spark.createDataFrame(rows, "tel_hashed int, goods_id long, purchases double")
+    few = als.train_als(ratings)
+    monkeypatch.setattr(als, "BLOCK_RATINGS", 20, raising=False)
+    model = als.train_als(ratings)
+    parts = [m.userFactors.rdd.getNumPartitions() for m in (few, model)]
+    assert parts == [10, -(-len(rows) // 20)]
+    assert model.itemFactors.rdd.getNumPartitions() == parts[1] and model.userFactors.count() == 40
+    assert als.train_als(ratings, blocks=3).userFactors.rdd.getNumPartitions() == 3
+
+
+def test_settled_tables_leave_no_shuffle(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", found))
+
+    before, was = files(), spark.conf.get(session.SHUFFLE_CLEANUP)
+    made = session.settle(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 900).alias("k")).count(), "sums")
+    assert files() <= before and spark.conf.get(session.SHUFFLE_CLEANUP) == was
+    assert made.count() == 900 and made.selectExpr("sum(count)").first()[0] == 5000
