@@ -18,7 +18,8 @@ Without any big user only the first part is planned, and with a limit per item
 its pairs aren't shuffled one by one: every item gets the lists of its users, items
 are dealt to groups of bounded size, and an item's neighbours are counted
 and chosen where its lists meet. Items whose lists may be too long for a group are counted
-as pairs.
+as pairs. Lists of whole numbers travel in packs, and many of them in several
+rounds, each written before the next, so that the disk holds the shuffle of one round.
 
 Nothing is dropped: all parts add up to the exact counts. Pairs travel as
 two items and a count; item counts and bitmaps are attached to the sums.
@@ -26,7 +27,9 @@ two items and a count; item counts and bitmaps are attached to the sums.
 
 from __future__ import annotations
 
+import functools
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartloom.operators import packs
 from cartloom.session import settle, shuffled, small_side
 
 # Ship the helpers of this module inside the task, so that executors don't need the package installed.
@@ -47,6 +51,8 @@ TILE = 2048
 # Entries of users' lists in a group of items, and the most that one item may add to them.
 GROUP_ENTRIES = 2_000_000
 ITEM_ENTRIES = 4_000_000
+# Entries of lists that are shuffled in one round.
+ROUND_ENTRIES = 4_000_000_000
 # Neighbours (all lists together) that are broadcast; users with more items are spread.
 BROADCAST_ENTRIES = 4_000_000
 MANY_ITEMS = 10_000
@@ -125,7 +131,8 @@ def _best_from_lists(pairs: DataFrame, items: DataFrame, n_items: int, degree: D
     heavy = F.col("n") * (longest or 0) > ITEM_ENTRIES
     few = items.where(heavy).count()
     known = pairs.where("u IS NOT NULL AND i IS NOT NULL")
-    met = _counted_lists(known, items, n_items, -(-(entries or 0) // GROUP_ENTRIES) or 1, heavy, top)
+    counted_lists = _counted_packs if items.schema["i"].dataType.simpleString() in packs.WHOLE else _counted_lists
+    met = counted_lists(known, items, n_items, entries or 0, heavy, top)
     if not few:
         return met
     # Groups of these are as large as their lists, so their pairs are summed map-side and shuffled.
@@ -135,8 +142,76 @@ def _best_from_lists(pairs: DataFrame, items: DataFrame, n_items: int, degree: D
     return met.unionByName(_best_per_item(settle(_cosines(counted, items, n_items, None), "item-pairs"), top, n_items))
 
 
-def _counted_lists(pairs: DataFrame, items: DataFrame, n_items: int, groups: int, heavy: Column, top: int) -> DataFrame:
+def _groups(entries: int) -> int:
+    return -(-entries // GROUP_ENTRIES) or 1
+
+
+def _in_rounds(rows: DataFrame, groups: int, entries: int, work: Callable[[pa.Table], pa.Table], schema: str, label: str) -> DataFrame:
+    """What ``work`` makes of the packs of each group, in as many rounds as the entries of all lists need."""
+    rounds = min(-(-entries // ROUND_ENTRIES) or 1, groups)
+    if rounds > 1:
+        rows = settle(rows, f"{label}-lists")
+    done = []
+    for k in range(rounds):
+        sent = packs.sent(rows, groups * k // rounds, groups * (k + 1) // rounds)
+        made = sent.groupBy("g").applyInArrow(work, schema)
+        done.append(made if rounds == 1 else settle(made, f"{label}-round"))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _counted_packs(pairs: DataFrame, items: DataFrame, n_items: int, entries: int, heavy: Column, top: int) -> DataFrame:
     kind = items.schema["i"].dataType.simpleString()
+    groups = _groups(entries)
+    # Heavy items are in others' lists, and get none.
+    group = F.when(heavy, -1).otherwise(F.pmod(F.xxhash64("i"), F.lit(groups))).cast("int")
+    entry = F.struct("i", "n", group.alias("g"))
+    lists = pairs.join(small_side(items, n_items), "i").groupBy("u").agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    rows = lists.where(F.size("l") > 1).select(
+        F.col("l.i").alias("to"), F.col("l.g").alias("g"), F.lit(None).cast("bigint").alias("own"), F.lit(False).alias("mark"),
+        F.col("l.i").alias("ids"), F.col("l.n").alias("vals"),
+    )
+    schema = f"item_a {kind}, item_b {kind}, cosine double"
+    return _in_rounds(rows, groups, entries, lambda table: _best_of_packs(table, top, kind), schema, "users")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+
+
+def _best_of_packs(table: pa.Table, top: int, kind: str) -> pa.Table:
+    """``item_a, item_b, cosine`` of each receiver of the packs, from all lists that it got."""
+    lists = packs.received(table.column("pack"))
+    named, own = np.unique(lists.to, return_inverse=True)
+    y, span, base = packs.narrow(lists.ids, len(named))
+    keys = np.repeat(own, lists.size) * span + y
+    order = packs.order_of(keys)
+    keys, bought = keys[order], lists.values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    common = np.diff(np.append(first, len(keys)))
+    x, y = np.divmod(keys[first], span)
+    y, bought = packs.widened(y, base), bought[first]
+    # An item is in its own lists, so its number is there.
+    itself = named[x] == y
+    times = np.zeros(len(named), dtype=np.float64)
+    times[x[itself]] = bought[itself]
+    x, y, common, bought = x[~itself], y[~itself], common[~itself], bought[~itself]
+    cosine = common / np.sqrt(times[x] * bought)
+    # rint: equal cosines that differ in the last bit count as ties.
+    score = np.rint(cosine * 1e12)
+    some = packs.likely(score, x, top)
+    x, y, cosine, score = x[some], y[some], cosine[some], score[some]
+    # Stable, so lower items come first.
+    order = np.lexsort((-score, x))
+    x, y, cosine = x[order], y[order], cosine[order]
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    best = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < top
+    ends = [pa.array(end[best]).cast(_arrow(kind)) for end in (named[x], y)]
+    return pa.table({"item_a": ends[0], "item_b": ends[1], "cosine": pa.array(cosine[best])})
+
+
+def _counted_lists(pairs: DataFrame, items: DataFrame, n_items: int, entries: int, heavy: Column, top: int) -> DataFrame:
+    """As ``_counted_packs``, for items that aren't whole numbers."""
+    kind, groups = items.schema["i"].dataType.simpleString(), _groups(entries)
     entry = F.struct("i", "n", heavy.alias("h"))
     lists = pairs.join(small_side(items, n_items), "i").groupBy("u").agg(F.collect_list(entry).alias("l"))
     light = F.filter("l", lambda e: ~e["h"])["i"]
@@ -401,10 +476,14 @@ def _served(have: DataFrame, similarity: DataFrame, k: int | None, targets: Data
     """
     near = settle(_neighbours(similarity), "neighbours")
     entries, longest = near.agg(F.sum(F.size("near")), F.max(F.size("near"))).first()
-    groups = -(-have.count() * (longest or 0) // GROUP_ENTRIES) or 1
+    met = have.count() * (longest or 0)
+    groups = _groups(met)
     rows = have.select("u", "i", F.lit(False).alias("target"))
     if targets is not None:
         rows = rows.unionByName(targets.select("u", "i", F.lit(True).alias("target")))
+    kinds = [frame.schema[c].dataType.simpleString() for frame, c in ((have, "u"), (have, "i"), (near, "i"))]
+    if all(kind in packs.WHOLE for kind in kinds):
+        return _served_packs(rows, near, longest or 1, groups, met, k, targets is not None, kinds)
     dealt = rows.where("u IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int"))
     if (entries or 0) <= BROADCAST_ENTRIES:
         # The lists are here already: dealing first leaves them out of the shuffle.
@@ -420,6 +499,66 @@ def _served(have: DataFrame, similarity: DataFrame, k: int | None, targets: Data
     )
 
 
+def _served_packs(
+    rows: DataFrame, near: DataFrame, longest: int, groups: int, entries: int, k: int | None, places: bool, kinds: list[str]
+) -> DataFrame:
+    """The lists of neighbours go to the groups of the users in packs; an item's users are dealt to several rows if there are many."""
+    most = max(packs.CHUNK_ENTRIES // longest, 1)
+    cut = F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / most)).cast("int")
+    often = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    part = F.lit(0)
+    if not often.isEmpty():
+        # Fewer than one in ``most`` rows.
+        rows = rows.join(small_side(often := settle(often, "often"), often.count()), "i", "left")
+        part = F.coalesce(cut, F.lit(0))
+    # A missing item meets nothing, but counts among its users' items.
+    part = F.when(F.col("i").isNull(), F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int")).otherwise(part)
+    dealt = F.struct("u", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int").alias("g"))
+    users = rows.where("u IS NOT NULL").groupBy("i", "target", part.alias("part")).agg(F.collect_list(dealt).alias("l"))
+    lists = near.select("i", F.sort_array("near").alias("near"))
+    none = F.array().cast("array<bigint>")
+    own = lambda c: F.when(~F.col("target"), F.coalesce(F.col(f"near.{c}").cast("array<bigint>"), none)).otherwise(none)
+    asked = users.join(lists, "i", "left").select(
+        F.col("l.u").alias("to"), F.col("l.g").alias("g"), F.col("i").alias("own"), F.col("target").alias("mark"), own("j").alias("ids"), own("w").alias("vals")
+    )
+    schema = f"u {kinds[0]}, i {kinds[1]}, w bigint, n bigint, rnk int"
+    return _in_rounds(asked, groups, entries, lambda table: _rank_packs(table, k, places, kinds), schema, "items")
+
+
+def _rank_packs(table: pa.Table, k: int | None, places: bool, kinds: list[str]) -> pa.Table:
+    """As ``_sum_and_rank``, for the users of the packs."""
+    lists = packs.received(table.column("pack"))
+    named, u = np.unique(lists.to, return_inverse=True)
+    held = ~lists.mark
+    size = np.bincount(u[held], minlength=len(named))
+    items, span, base = packs.narrow(np.concatenate([lists.ids, lists.own[lists.known]]), len(named))
+    at = u[lists.known] * span + items[len(lists.ids):]
+    keys = np.repeat(u, lists.size) * span + items[:len(lists.ids)]
+    order = packs.order_of(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    # Whole units, exact in any order.
+    sums = np.add.reduceat(lists.values[order], first) if len(keys) else keys
+    keys = keys[first]
+    new = (sums > 0) & ~np.isin(keys, at[held[lists.known]])
+    keys, sums = keys[new], sums[new]
+    owner = keys // span
+    if k is not None and not places:
+        some = packs.likely(sums, owner, k)
+        keys, sums, owner = keys[some], sums[some], owner[some]
+    # Stable: lower items first.
+    order = np.lexsort((-sums, owner))
+    keys, sums, owner = keys[order], sums[order], owner[order]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    rank = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys)))) + 1
+    chosen = np.isin(keys, at[lists.mark[lists.known]]) if places else np.full(len(keys), True) if k is None else rank <= k
+    keys, sums, owner, rank = keys[chosen], sums[chosen], owner[chosen], rank[chosen]
+    return pa.table({
+        "u": pa.array(named[owner]).cast(_arrow(kinds[0])), "i": pa.array(packs.widened(keys - owner * span, base)).cast(_arrow(kinds[1])),
+        "w": pa.array(sums), "n": pa.array(size[owner].astype(np.int64)), "rnk": pa.array(rank.astype(np.int32)),
+    })
+
+
 def _sum_and_rank(table: pa.Table, k: int | None, places: bool) -> pa.Table:
     """The users of one group: their neighbours' weights added up, known items left out, ranked."""
     users, items, target, j, w = (table.column(c).combine_chunks() for c in ("u", "i", "target", "j", "w"))
